@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, packing, secret_scan, simhash
-from .common import table
+from . import embedding_dedup, language_id, mixing, packing, secret_scan, simhash, warc
+from .common import new_path, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,17 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -46,6 +57,8 @@ def queries() -> dict:
         "op5_language_id": op5_language_id,
         "op6_simhash": op6_simhash,
         "op7_pfair_mixing": op7_pfair_mixing,
+        "op9_warc_zstd": op9_warc_zstd,
+        "op10_epsilon_grid_join": op10_epsilon_grid_join,
         "pipeline": corpus_pipeline.run,
     }
 
