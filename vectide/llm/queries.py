@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, mixing, packing, secret_scan, simhash, warc
+from . import embedding_dedup, imatch, language_id, line_dedup, mixing, packing, secret_scan, simhash, warc
 from .common import new_path, table
 
 
@@ -14,6 +14,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.cut_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("removed_spans", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",")
+    gone = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
+    return cut.select("doc_id", F.size("removed_spans").cast("long").alias("n_spans"), gone.alias("n_removed"), spans.alias("removed_spans"), "text")
+
+
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     of = lambda k: F.size(F.filter("secret_spans", lambda x: x["k"] == k)).cast("long")
@@ -53,6 +64,8 @@ def queries() -> dict:
 
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_line_dedup": op2_line_dedup,
+        "op3_imatch": op3_imatch,
         "op4_secret_scan": op4_secret_scan,
         "op5_language_id": op5_language_id,
         "op6_simhash": op6_simhash,
