@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, imatch, language_id, line_dedup, mixing, packing, secret_scan, simhash, warc
+from . import embedding_dedup, imatch, language_id, line_dedup, mixing, packing, secret_scan, simhash, suffix_dedup, warc
 from .common import new_path, table
 
 
@@ -48,6 +48,12 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed_bytes", F.lit(0).cast("long"), lambda acc, x: acc + x["e"] - x["s"])
+    return cut.select("doc_id", (F.octet_length("kept") + gone).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("removed_bytes").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -70,6 +76,7 @@ def queries() -> dict:
         "op5_language_id": op5_language_id,
         "op6_simhash": op6_simhash,
         "op7_pfair_mixing": op7_pfair_mixing,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_warc_zstd": op9_warc_zstd,
         "op10_epsilon_grid_join": op10_epsilon_grid_join,
         "pipeline": corpus_pipeline.run,
