@@ -15,7 +15,8 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "random")
 
 _SPANS = "array<struct<s:int,k:int,e:int>>"
-_BINS = 50
+#: Bins of p-values; classes with fewer candidates are judged with all classes together.
+_BINS, FEW = 50, 20
 
 
 def _positions(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -70,7 +71,7 @@ def _with(rows: Column, **fields) -> Column:
 
 
 def randomness(tokens: Column) -> Column:
-    """For an array of structs (token, chars), each struct with p: Bonferroni's p-value of three tests of the token as
+    """For an array of structs (token, chars), each struct with p: Sidak's p-value of three tests of the token as
     draws from its alphabet chars, small if it isn't random; null without an alphabet.
 
     Chi-squared: characters repeat more than if uniform. Runs: codes change sides of the middle too often or seldom.
@@ -116,7 +117,7 @@ def randomness(tokens: Column) -> Column:
         runs=lambda r: F.when(r["both"] > r["n"], F.abs(r["turns"] - r["both"] / r["n"]) * r["n"] * F.sqrt((r["n"] - 1) / (r["both"] * (r["both"] - r["n"])))).otherwise(8.0),
         serial=lambda r: F.when(r["square"] > 0, F.abs(r["lag"] / r["square"] + 1 / r["n"]) * F.sqrt(r["n"])).otherwise(8.0),
     )
-    return F.transform(rows, lambda r: F.struct(r["old"].alias("old"), F.least(F.lit(1.0), 3 * F.least(r["p1"], 2 * _tail(r["runs"]), 2 * _tail(r["serial"]))).alias("p")))
+    return F.transform(rows, lambda r: F.struct(r["old"].alias("old"), (1 - F.pow(1 - F.least(r["p1"], 2 * _tail(r["runs"]), 2 * _tail(r["serial"]), F.lit(1.0)), F.lit(3.0))).alias("p")))
 
 
 def _length_class(n: Column) -> Column:
@@ -151,11 +152,14 @@ def thresholds(docs: DataFrame, fdr: float = 0.05) -> dict[int, float]:
     hist: dict[int, list[int]] = {}
     for r in bins:
         hist.setdefault(r["cls"], [0] * _BINS)[r["bin"]] += r["count"]
-    out = {}
-    for cls, h in hist.items():
-        true = 2.0 * sum(h[_BINS // 2 :])
-        out[cls] = next((i / _BINS for i in range(_BINS // 2 + 1) if (over := sum(h[i:])) and 1 - true * (1 - i / _BINS) / over <= fdr), 0.5)
-    return out
+    pooled = [sum(x) for x in zip(*hist.values())]
+    return {cls: _least(h if sum(h) >= FEW else pooled, fdr) for cls, h in hist.items()}
+
+
+def _least(h: list[int], fdr: float) -> float:
+    half = sum(h[_BINS // 2 :])
+    true = 2 * (half + math.sqrt(half))  # with room for chance
+    return next((i / _BINS for i in range(_BINS // 2 + 1) if (over := sum(h[i:])) and 1 - true * (1 - i / _BINS) / over <= fdr), 0.5)
 
 
 def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
