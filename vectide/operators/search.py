@@ -138,7 +138,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, by: str | Metric =
 def top_k(found: DataFrame, k: int) -> DataFrame:
     """The k nearest of (query_id, id, distance) for each query, ranked from 0."""
     w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select("query_id", "rank", "id", "distance")
+    first = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)  # in this form each task keeps k rows before the shuffle
+    return first.select("query_id", (F.col("rank") - 1).alias("rank"), "id", "distance")
 
 
 def radius_search(vectors: DataFrame, query: Sequence[float], radius: float, by: str | Metric = "euclidean", dim: int | None = None) -> DataFrame:
