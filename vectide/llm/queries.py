@@ -83,5 +83,38 @@ def queries() -> dict:
     }
 
 
+# SQL that says the same by brute force.
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, o, substring(h, 2 * o + 1, 910) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199, 256)) AS o FROM d WHERE len(h) >= 400)),
+w AS (SELECT doc_id, o + j AS i, md5(substring(h, 2 * j + 1, 400)) AS m FROM (SELECT doc_id, o, h, unnest(range(len(h) // 2 - 199)) AS j FROM x)),
+t AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+s AS (SELECT doc_id, i FROM w JOIN t USING (m)),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200 AS gap FROM s),
+k AS (SELECT doc_id, i, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+r AS (SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM k GROUP BY doc_id, k),
+p AS (SELECT doc_id, coalesce(lag(e) OVER o, 0) AS a, s AS b FROM r WINDOW o AS (PARTITION BY doc_id ORDER BY s) UNION ALL SELECT d.doc_id, coalesce(max(r.e), 0), len(d.h) // 2 FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, len(d.h)),
+q AS (SELECT doc_id, string_agg(substring(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, len(d.h) // 2 - len(kept) // 2 AS n_removed, (SELECT count(*) FROM r WHERE r.doc_id = d.doc_id) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM d JOIN q USING (doc_id)
+"""
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f
+"""
+
+OP10_SQL = """
+WITH RECURSIVE u AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM u),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n AS a JOIN n AS b ON a.vec_id <> b.vec_id AND list_inner_product(a.v, b.v) >= 0.95 * a.n * b.n AND a.n > 0 AND b.n > 0),
+r AS (SELECT vec_id AS a, vec_id AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY 1)
+SELECT c.vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_suffix_array_dedup": OP8_SQL, "op9_warc_zstd": OP9_SQL, "op10_epsilon_grid_join": OP10_SQL}
