@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bisect
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 CONTEXT, END_ID = 1024, 2
+#: Exchanges of the local search, at most; each changes all sequences of two contents.
+SWAPS = 20_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _encoders: dict[str, object] = {}
@@ -137,56 +140,56 @@ def _exchange(low: tuple[int, ...], high: tuple[int, ...], room: int) -> tuple[t
     Nothing, one or two pieces come from the emptier one, nothing or one from the fuller.
     """
     best, found = 0, None
-    take = [(x,) for x in set(low)] + [(x, y) for i, x in enumerate(low) for y in set(low[i + 1 :])]
-    give = [()] + [(x,) for x in set(high)]
-    sums_give = sorted(((sum(g), g) for g in give), key=lambda x: x[0])
-    for t in take:
-        s = sum(t)
-        for g_sum, g in sums_give:
-            gain = s - g_sum
-            if gain <= best:
-                break
-            if gain <= room:
-                best, found = gain, (t, g)
-                break
+    give = sorted({0, *high})
+    take = {x: (x,) for x in low} | {x + y: (x, y) for i, x in enumerate(low) for y in low[i + 1 :]}
+    for s, t in take.items():
+        i = bisect.bisect_left(give, s - room)
+        if i < len(give) and s - give[i] > best:
+            best, found = s - give[i], (t, (give[i],) if give[i] else ())
     return found
 
 
-def improve(bins: Bins) -> Bins:
+def improve(bins: Bins, steps: int = SWAPS) -> Bins:
     """Local search: moves, one-for-one and two-for-one exchanges between underfull sequences that increase squared fill.
 
     The emptiest content gives to fuller ones until nothing more fits; contents are taken with their counts, so that a
-    step changes many sequences. Each step raises the sum of squared fills, so it ends. It stops early once the number
-    of sequences is the least that the tokens need.
+    step changes many sequences. Each step raises the sum of squared fills, so it ends; it stops early once the number
+    of sequences is the least that the tokens need, or after so many steps. Pairs that can't gain aren't tried again.
     """
     context = bins.context
     least = -(-sum(sum(c) * n for c, n in bins.count.items()) // context)
-    while sum(bins.count.values()) > least:
-        under = sorted((c for c in bins.count if sum(c) < context), key=lambda c: (sum(c), c))
+    total = sum(bins.count.values())
+    under = sorted((sum(c), c) for c in bins.count if sum(c) < context)
+    vain: set = set()
+    changed = True
+    while changed and total > least and steps > 0:
         changed = False
-        for i, low in enumerate(under):
-            for high in reversed(under[i:]):
+        for fill, low in list(under):
+            for filled, high in reversed(under[bisect.bisect_left(under, (fill, low)) :]):
                 n = bins.count[low] // 2 if low == high else min(bins.count[low], bins.count[high])
-                if n and (found := _exchange(low, high, context - sum(high))):
-                    t, g = found
-                    if sum(low) > sum(high) or (low == high and sum(t) == sum(g)):
+                if not n or (low, high) in vain or total <= least or steps <= 0:
+                    continue
+                found = _exchange(low, high, context - filled)
+                if not found or (low == high and sum(found[0]) == sum(found[1])):
+                    vain.add((low, high))
+                    continue
+                t, g = found
+                a, b = Counter(low), Counter(high)
+                a.subtract(t)
+                a.update(g)
+                b.subtract(g)
+                b.update(t)
+                for content, m in ((low, -n), (high, -n), (a.elements(), n), (b.elements(), n)):
+                    key = tuple(sorted(content, reverse=True))
+                    if not key:
+                        total -= n
                         continue
-                    a, b = Counter(low), Counter(high)
-                    a.subtract(t)
-                    a.update(g)
-                    b.subtract(g)
-                    b.update(t)
-                    bins.add(low, -n)
-                    bins.add(high, -n)
-                    if rest := list(a.elements()):
-                        bins.add(rest, n)
-                    bins.add(b.elements(), n)
-                    changed = True
-                    break
-            if changed:
-                break
-        if not changed:
-            break
+                    if key not in bins.count and sum(key) < context:
+                        bisect.insort(under, (sum(key), key))
+                    bins.add(key, m)
+                    if key not in bins.count and sum(key) < context:
+                        del under[bisect.bisect_left(under, (sum(key), key))]
+                changed, steps = True, steps - 1
     return bins
 
 
