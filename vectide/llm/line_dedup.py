@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 #: Units with fewer words are too common to be copies: lines, sentences within lines.
-LINE_WORDS, SENTENCE_WORDS = 5, 8
+LINE_WORDS, SENTENCE_WORDS = 5, 5
 
 _LINE, _SENTENCE = re.compile(r"[^\r\n]+"), re.compile(r"(?<=[.!?…])\s+")
 _LAST = (1 << 63) - 1
