@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,10 +22,14 @@ from .suffix_array import common_prefixes, suffix_array
 
 WINDOW, ANCHOR = 200, 64
 #: Bytes hashed at once and bytes of a shard, about.
-CHUNK, SHARD = 2 << 20, 512 << 10
+CHUNK, SHARD = 1 << 20, 512 << 10
 #: An anchor with more different runs than this is handled by digests of its strings instead of a suffix array.
 MOST_RUNS = 2000
 _POSITION_BITS = 23
+#: A run is packed in a long: 22 bits of its text's hash (which only tell rows of one id apart), 31 of its first start,
+#: 10 of its number of starts.
+_COUNT_BITS, _START_BITS = 10, 31
+_COUNT, _START = (1 << _COUNT_BITS) - 1, (1 << _START_BITS) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -120,51 +125,60 @@ def _text_runs(hasher: Hasher, texts: list[bytes]) -> tuple[np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _emit_runs(window: int, anchor: int):
+def _emit_runs(window: int, anchor: int, digests: bool):
+    """Runs of rows (doc, tag, t), as (doc, run, key, d) or the key alone."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(window, anchor)
         for b in batches:
-            for s in range(0, b.num_rows, 1000):
-                part = b.slice(s, 1000)
-                i, first, count, key = _text_runs(hasher, [x.as_py() for x in part.column(2)])
-                if len(i):
-                    at = pa.array(i)
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(first), pa.array(count.astype(np.int16)), pa.array(key)], names=["doc", "tag", "lo", "n", "key"])
+            for s in range(0, b.num_rows, 500):
+                part = b.slice(s, 500)
+                texts = [x.as_py() for x in part.column(part.num_columns - 1)]
+                i, first, count, key = _text_runs(hasher, texts)
+                if not len(i):
+                    continue
+                if not digests:
+                    yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
+                    continue
+                h = xxhash.xxh3_64_intdigest
+                d = np.array([h(texts[j][f : f + n + window - 1]) for j, f, n in zip(i.tolist(), first.tolist(), count.tolist())], dtype=np.uint64).view(np.int64)
+                run = part.column(1).to_numpy()[i] << (_COUNT_BITS + _START_BITS) | first << _COUNT_BITS | count
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(i)), pa.array(run), pa.array(key), pa.array(d)], names=["doc", "run", "key", "d"])
 
     return run
 
 
 def _cut_fragments(window: int):
+    """The bytes of runs: rows (packed text, runs), runs being structs (run, key, d, c), to (key, d, c, frag)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, tag, lo, n, key, digests, frags, held = [], [], [], [], [], [], [], 0
-
-            def batch() -> pa.RecordBatch:
-                h = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                cols = [pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int16()), pa.array(key, pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(frags, pa.binary())]
-                return pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "lo", "n", "key", "d1", "d2", "frag"])
-
-            for d, g, text, rs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
-                data = text.as_py()
-                for r in rs:
-                    f = data[r["lo"] : r["lo"] + r["n"] + window - 1]
-                    doc.append(d)
-                    tag.append(g)
-                    lo.append(r["lo"])
-                    n.append(r["n"])
-                    key.append(r["key"])
-                    digests.append(xxhash.xxh3_128_digest(f))
-                    frags.append(f)
-                    held += len(f)
-                if held > 8_000_000:
-                    yield batch()
-                    doc, tag, lo, n, key, digests, frags, held = [], [], [], [], [], [], [], 0
-            if doc:
-                yield batch()
+            for s in range(0, b.num_rows, 200):
+                part = b.slice(s, 200)
+                lists = part.column(1)
+                flat = lists.flatten()
+                of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                run = flat.field("run").to_numpy()
+                first, count = run >> _COUNT_BITS & _START, run & _COUNT
+                texts = [zstandard.decompress(x.as_py()) for x in part.column(0)]
+                frags = [texts[j][f : f + n + window - 1] for j, f, n in zip(of.tolist(), first.tolist(), count.tolist())]
+                yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("d"), flat.field("c"), pa.array(frags, pa.binary())], names=["key", "d", "c", "frag"])
 
     return run
 
 
+def _small(rows: DataFrame, text: str) -> DataFrame:
+    """rows with a column of bytes packed by Zstandard, so that their shuffle takes half the disk; nulls become empty."""
+    at = rows.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield b.set_column(at, text, pa.array([pack(x.as_py() or b"") for x in b.column(at)], pa.binary()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def repeated_starts(fragments: list[bytes], counts: list[int], window: int = WINDOW) -> list[np.ndarray]:
     """For each different fragment, which of its starts have a window that occurs at another start of any or in a copy of it."""
     lengths = np.array([len(f) for f in fragments])
@@ -190,25 +204,54 @@ def _spans(hit: np.ndarray) -> list[dict]:
     return [{"s": int(s), "e": int(e)} for s, e in zip(edge[::2], edge[1::2])]
 
 
-_FOUND = pa.schema([("key", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
+_FOUND = pa.schema([("key", pa.int64()), ("d", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
 
 
 def _shard(window: int):
     def run(group: pa.Table) -> pa.Table:
         hits = repeated_starts([f.as_py() for f in group.column("frag")], group.column("c").to_pylist(), window)
-        rows = [{"key": k, "d1": a, "d2": b, "spans": _spans(h)} for k, a, b, h in zip(*(group.column(x).to_pylist() for x in ("key", "d1", "d2")), hits) if h.any()]
+        rows = [{"key": k, "d": d, "spans": _spans(h)} for k, d, h in zip(group.column("key").to_pylist(), group.column("d").to_pylist(), hits) if h.any()]
         return pa.Table.from_pylist(rows, schema=_FOUND)
 
     return run
 
 
 def _strings(window: int):
+    """Each start of each fragment with the digest of its string."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, a, d, c, f in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for k, d, c, f in zip(*(b.column(i).to_pylist() for i in range(4))):
                 h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(f[i : i + window]) for i in range(len(f) - window + 1)), "<i8").reshape(-1, 2)
                 m = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * m, pa.int64()) for x in (k, a, d, c)] + [pa.array(np.arange(m, dtype=np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["key", "d1", "d2", "c", "at", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array([x] * m, pa.int64()) for x in (k, d, c)] + [pa.array(np.arange(m, dtype=np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["key", "d", "c", "at", "w1", "w2"])
+
+    return run
+
+
+def _remove(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans_type = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                removed, kept = [], []
+                for text, spans in zip(b.column(0), b.column(1)):
+                    data = zstandard.decompress(text.as_py())
+                    if not spans.is_valid or not len(spans):
+                        removed.append([])
+                        kept.append(data)
+                        continue
+                    flat = spans.values
+                    s = np.stack([flat.field("s").to_numpy(), flat.field("e").to_numpy() + window - 1], axis=1)
+                    s = s[np.argsort(s[:, 0], kind="stable")]
+                    reach = np.maximum.accumulate(s[:, 1])
+                    first = np.append(True, s[1:, 0] > reach[:-1])
+                    starts = s[first, 0].tolist()
+                    ends = reach[np.append(np.flatnonzero(first)[1:] - 1, len(s) - 1)].tolist()
+                    removed.append([{"s": x, "e": y} for x, y in zip(starts, ends)])
+                    kept.append(b"".join(data[x:y] for x, y in zip([0, *ends], [*starts, len(data)])))
+                yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(removed, spans_type), pa.array(kept, pa.binary())], names=[*b.schema.names[2:], "removed_bytes", "kept"])
 
     return run
 
@@ -218,7 +261,7 @@ def _remove(window: int):
         for b in batches:
             removed, kept = [], []
             for text, spans in zip(b.column(0), b.column(1).to_pylist()):
-                data = text.as_py()
+                data = zstandard.decompress(text.as_py())
                 if not spans:
                     removed.append([])
                     kept.append(data)
@@ -237,7 +280,8 @@ def _remove(window: int):
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """docs (doc_id, text, ...) with removed_bytes, an array of (s, e) in UTF-8 bytes of the text, and kept, the bytes left.
+    """The columns of docs (doc_id, text, ...) but text, removed_bytes, an array of (s, e) in UTF-8 bytes of the text, and
+    kept, the bytes left.
 
     A byte goes if a string of window bytes that covers it starts at another place too, of the same document or another;
     strings don't cross documents and are judged on the input. A null text counts as empty; texts shorter than the window
@@ -245,35 +289,43 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     Columns removed_bytes and kept of docs are replaced.
     """
     docs = docs.drop("removed_bytes", "kept")
+    others = [f for f in docs.schema if f.name.lower() != "text"]
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    doc, tag = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(data)
+    doc, tag = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(data)), F.xxhash64(data).bitwiseAND(F.lit((1 << 22) - 1))
     rows = docs.select(doc.alias("doc"), tag.alias("tag"), data.alias("t")).where(F.octet_length("t") >= window)
-    runs = rows.mapInArrow(_emit_runs(window, anchor), "doc long, tag long, lo long, n short, key long")
-    twice = runs.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    place = ["doc", "tag"]
-    wanted = runs.join(twice, "key").groupBy(*place).agg(F.collect_list(F.struct("lo", "n", "key")).alias("runs"))
-    texts = rows.join(wanted, place).select("doc", "tag", "t", "runs")
-    frags = cut(texts.mapInArrow(_cut_fragments(window), "doc long, tag long, lo long, n short, key long, d1 long, d2 long, frag binary"), "fragments")
-    same = ["key", "d1", "d2"]
-    kinds = cut(frags.groupBy(*same).agg(F.count("*").alias("c"), F.first("frag").alias("frag"), F.first("n").alias("n")), "kinds")
+    keys = rows.select("t").mapInArrow(_emit_runs(window, anchor, False), "key long")
+    twice = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    same = ["key", "d"]
+    tag_of = lambda run: F.shiftright(run, _COUNT_BITS + _START_BITS)
+    runs = rows.mapInArrow(_emit_runs(window, anchor, True), "doc long, run long, key long, d long")
+    runs = cut(runs.join(twice, "key"), "runs")
+    kinds = cut(runs.groupBy(*same).agg(F.count("*").alias("c"), F.min(F.struct("doc", "run")).alias("first")), "kinds")
     per = kinds.groupBy("key").agg(F.count("*").alias("different"))
     kinds = kinds.join(per, "key")
     alone = kinds.where("different = 1 and c > 1")
-    whole = alone.select(*same, F.array(F.struct(F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))).alias("spans"))
-    several = kinds.where(f"different between 2 and {MOST_RUNS}").select(*same, "c", "frag")
-    total = several.agg(F.sum(F.octet_length("frag"))).first()[0] or 0
+    whole = alone.select(*same, F.array(F.struct(F.lit(0).alias("s"), F.col("first.run").bitwiseAND(F.lit(_COUNT)).cast("int").alias("e"))).alias("spans"))
+    several = kinds.where("different > 1").groupBy("first.doc", tag_of(F.col("first.run")).alias("tag")).agg(F.collect_list(F.struct("first.run", *same, "c", "different")).alias("runs"))
+    texts = _small(rows, "t").join(several, ["doc", "tag"])
+    few = lambda x: x["different"] <= MOST_RUNS
+    form = "key long, d long, c long, frag binary"
+    frags = cut(texts.select("t", F.filter("runs", few).alias("runs")).mapInArrow(_cut_fragments(window), form), "fragments")
+    total = frags.agg(F.sum(F.octet_length("frag"))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
-    found = several.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(_shard(window), "key long, d1 long, d2 long, spans array<struct<s:int,e:int>>")
-    crowd = kinds.where(f"different > {MOST_RUNS}").select(*same, "c", "frag")
-    strings = crowd.mapInArrow(_strings(window), "key long, d1 long, d2 long, c long, at int, w1 long, w2 long")
-    again = strings.groupBy("key", "w1", "w2").agg(F.sum("c").alias("k")).where("k > 1").select("key", "w1", "w2")
-    of_crowd = strings.join(again, ["key", "w1", "w2"]).select(*same, F.struct(F.col("at").alias("s"), (F.col("at") + 1).alias("e")).alias("x")).groupBy(*same).agg(F.collect_list("x").alias("spans"))
-    spans = whole.unionByName(found).unionByName(of_crowd)
-    hits = frags.select(*place, "lo", *same).join(spans, same).select(*place, "lo", F.explode("spans").alias("x"))
-    hits = hits.groupBy(*place).agg(F.collect_list(F.struct((F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e"))).alias("hits"))
-    k_doc, k_tag = free_name(docs, "__doc"), free_name(docs, "__tag")
-    keyed = docs.withColumns({k_doc: doc, k_tag: tag})
+    found = frags.groupBy(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).applyInArrow(_shard(window), "key long, d long, spans array<struct<s:int,e:int>>")
+    spans = whole.unionByName(found)
+    if not per.where(F.col("different") > MOST_RUNS).isEmpty():
+        crowd = texts.select("t", F.filter("runs", lambda x: ~few(x)).alias("runs")).mapInArrow(_cut_fragments(window), form)
+        strings = cut(crowd.mapInArrow(_strings(window), "key long, d long, c long, at int, w1 long, w2 long"), "strings")
+        again = strings.groupBy("key", "w1", "w2").agg(F.sum("c").alias("k")).where("k > 1").select("key", "w1", "w2")
+        hit = strings.join(again, ["key", "w1", "w2"]).select(*same, F.struct(F.col("at").alias("s"), (F.col("at") + 1).alias("e")).alias("x"))
+        spans = spans.unionByName(hit.groupBy(*same).agg(F.collect_list("x").alias("spans")))
+    lo = F.shiftright("run", _COUNT_BITS).bitwiseAND(F.lit(_START))
+    hits = runs.join(spans, same).select("doc", tag_of(F.col("run")).alias("tag"), lo.alias("lo"), F.explode("spans").alias("x"))
+    hits = hits.groupBy("doc", "tag").agg(F.collect_list(F.struct((F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e"))).alias("hits"))
+    k_doc, k_tag, k_data = (free_name(docs, x) for x in ("__doc", "__tag", "__data"))
+    own = [F.col(f"`{f.name}`") for f in others]
+    keyed = _small(docs.select(*own, doc.alias(k_doc), tag.alias(k_tag), data.alias(k_data)), k_data)
     joined = keyed.join(hits.select(F.col("doc").alias("h_doc"), F.col("tag").alias("h_tag"), "hits"), (F.col(k_doc) == F.col("h_doc")) & (F.col(k_tag) == F.col("h_tag")), "left")
-    joined = joined.select(data.alias("__data"), "hits", *[F.col(f"`{c}`") for c in docs.columns])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(_remove(window), f"{fields}, removed_bytes array<struct<s:bigint,e:bigint>>, kept binary")
+    joined = joined.select(k_data, "hits", *own)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+    return joined.mapInArrow(_remove(window), f"{fields}removed_bytes array<struct<s:bigint,e:bigint>>, kept binary")
