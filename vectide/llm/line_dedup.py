@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import cut, free_name
 
 #: Units with fewer words are too common to be copies: lines, sentences within lines.
 LINE_WORDS, SENTENCE_WORDS = 5, 5
@@ -81,6 +81,7 @@ def repeated_spans(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words
     units = rows.mapInArrow(_emit(line_words, sentence_words), "doc long, key long, s int, e int, h1 long, h2 long")
     place = F.struct("doc", "key", "s")
     first = units.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = cut(first, "units")  # a table of its own, so that the join may split a hot unit's partition
     return units.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc", "key", "s", "e")
 
 
