@@ -13,7 +13,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     n = len(t)
     known = np.ones(n, dtype=np.int8)
     known[:-1] = np.where(t[:-1] < t[1:], 1, np.where(t[:-1] > t[1:], 0, -1))
-    at = np.where(known >= 0, np.arange(n, dtype=np.int64), n)
+    at = np.where(known >= 0, np.arange(n, dtype=np.int32), np.int32(n))
     return known[np.minimum.accumulate(at[::-1])[::-1]] == 1
 
 
@@ -33,7 +33,7 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.n
 
     Within a bucket whole arrays move at once: those whose predecessor has the same symbol make the next array.
     """
-    none = np.zeros(0, dtype=np.int64)
+    none = np.zeros(0, dtype=np.int32)
     symbol = t.astype(np.uint16)
     start: list[list[np.ndarray]] = [[] for _ in range(k)]
     _by_symbol(seeds, symbol[seeds], start)
@@ -67,7 +67,7 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.n
             _by_symbol(p[~same], s[~same], wait)
             now = p[same]
         if c == 0:
-            got = [np.array([len(t) - 1])]
+            got = [np.array([len(t) - 1], dtype=np.int32)]
         p = larger[c][::-1]
         p = p[p > 0] - 1
         p = p[small[p]]
@@ -102,7 +102,7 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
         return np.array(_suffix_list(t.tolist(), k), dtype=np.int64)
     n = len(t)
     small = _types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if not len(lms):
         return np.arange(n - 1, -1, -1) if n < 2 else _induce(t, small, np.array([n - 1]), k)
     sa = _induce(t, small, lms, k)

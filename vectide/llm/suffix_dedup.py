@@ -22,9 +22,9 @@ from .suffix_array import common_prefixes, suffix_array
 
 WINDOW, ANCHOR = 200, 64
 #: Bytes hashed at once and bytes of a shard, about.
-CHUNK, SHARD = 1 << 20, 512 << 10
+CHUNK, SHARD = 512 << 10, 192 << 10
 #: An anchor with more different runs than this is handled by digests of its strings instead of a suffix array.
-MOST_RUNS = 2000
+MOST_RUNS = 4000
 _POSITION_BITS = 23
 #: A run is packed in a long: 22 bits of its text's hash (which only tell rows of one id apart), 31 of its first start,
 #: 10 of its number of starts.
@@ -184,7 +184,7 @@ def repeated_starts(fragments: list[bytes], counts: list[int], window: int = WIN
     lengths = np.array([len(f) for f in fragments])
     base = np.cumsum(lengths + 1) - lengths - 1
     data = b"\0".join(fragments) + b"\0"
-    symbols = np.append(np.frombuffer(data, dtype=np.uint8).astype(np.int64) + 2, 0)
+    symbols = np.append(np.frombuffer(data, dtype=np.uint8).astype(np.int32) + 2, np.int32(0))
     symbols[base + lengths] = 1  # apart from every byte
     ok = np.zeros(len(data), dtype=bool)
     for s, n in zip(base, lengths):
@@ -295,6 +295,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     rows = docs.select(doc.alias("doc"), tag.alias("tag"), data.alias("t")).where(F.octet_length("t") >= window)
     keys = rows.select("t").mapInArrow(_emit_runs(window, anchor, False), "key long")
     twice = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    twice = cut(twice, "keys")  # a table of its own, so that the join may split a hot anchor's partition
     same = ["key", "d"]
     tag_of = lambda run: F.shiftright(run, _COUNT_BITS + _START_BITS)
     runs = rows.mapInArrow(_emit_runs(window, anchor, True), "doc long, run long, key long, d long")
