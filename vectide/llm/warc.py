@@ -30,9 +30,13 @@ class ArchiveError(ValueError):
 
 
 def train(pages: DataFrame) -> bytes:
-    """A dictionary from at most SAMPLE_PAGES pages, those whose page_id has the smallest hash."""
-    picked = pages.where("html is not null").orderBy(F.xxhash64(F.col("page_id").cast("string")), "page_id").select(F.col("html").cast("string").cast("binary").alias("h"))
-    samples = [bytes(r["h"][:SAMPLE_BYTES]) for r in picked.limit(SAMPLE_PAGES).collect()]
+    """A dictionary from at most SAMPLE_PAGES pages, those whose page_id has the smallest hash. Ids come to the driver
+    first, so that no task sends pages that aren't in the sample."""
+    ids = pages.where("page_id is not null").select("page_id").orderBy(F.xxhash64(F.col("page_id").cast("string")), "page_id").limit(SAMPLE_PAGES)
+    picked = pages.where(F.col("page_id").isin([r[0] for r in ids.collect()]))
+    first = F.substring(F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary"), 1, SAMPLE_BYTES)
+    samples = [bytes(r[0]) for r in picked.select(first).limit(SAMPLE_PAGES).collect()]
+    samples = [s for s in samples if s]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too short
