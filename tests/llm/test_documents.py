@@ -217,6 +217,14 @@ def test_secret_spans(docs):
     assert not any(v for k, v in extra.items() if k not in (13, 14))
 
 
+def test_random_values_right_after_an_equals_sign(spark):
+    forms = ["export AUTH_KEY={}", "https://host.example/file?sig={}&x=1", 'x="1" key={}', "auth: {}", "sig={}=="]
+    rows = [(i, forms[i % len(forms)].format(t), t) for i, t in enumerate(TOKENS)]
+    got = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, t string")).collect()
+    found = Counter(r.doc_id % len(forms) for r in got if any(x.k == 3 and r.text[x.s : x.e].rstrip("=") == r.t for x in r.secret_spans))
+    assert all(found[k] >= 5 for k in range(len(forms)))
+
+
 def test_redaction(docs):
     got = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
     assert got[14].text.count("[SECRET]") > 25 and got[14].text.endswith("not internationalization_of_everything_12 though") and got[14].n_chars == len(got[14].text)
