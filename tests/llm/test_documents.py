@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -359,6 +360,34 @@ def test_schedule_places_every_block():
     assert {x: sum(p.last - p.first for p in plan if p.source == x) for x in blocks} == blocks
 
 
+@pytest.mark.parametrize("n", [10, 50, 500, 1000])
+def test_schedule_holds_the_targets_themselves(n):
+    """One hot source of weight one half among many; whole parts of a short cycle would drift off."""
+    weights = {f"s{i}": 0.5 / (n - 1) * (1 + i / n) for i in range(1, n)} | {"s0": 0.5}
+    blocks = {x: 1 + int(3000 * w) for x, w in weights.items()} | {"s0": 2000}
+    whole, have = {x: int(Fraction(w) * 2**80) for x, w in weights.items()}, Counter()  # exact: doubles of this size end within 80 bits
+    total = sum(whole.values())
+    plan = mixing.schedule(blocks, weights)
+    order = {p.start + (i // p.k) * p.d + p.slots[i % p.k]: (p.source, p.phase) for p in plan for i in range(p.last - p.first)}
+    assert sorted(order) == list(range(sum(blocks.values())))
+    for t in range(sum(ph == 0 for _, ph in order.values())):
+        have[order[t][0]] += 1
+        assert order[t][1] == 0 and all(abs(have[x] * total - w * (t + 1)) < total for x, w in whole.items())
+
+
+def test_mix_holds_skewed_weights_over_many_blocks(spark):
+    """The default weights over enough blocks of one source that its plan takes many rows."""
+    rows = spark.range(9000).selectExpr("id as doc_id", "if(id < 3000, 'hot', concat('s', id % 200)) as source")
+    got = rows.groupBy("source").count().collect()
+    total, hot = sum(r["count"] ** 0.5 for r in got), 3000**0.5
+    placed = mixing.mix(rows, block=1).collect()
+    assert sorted(r.doc_id for r in placed) == list(range(9000)) and sorted(r.mix_slot for r in placed) == list(range(9000))
+    have = 0
+    for t, r in enumerate(sorted((r for r in placed if r.mix_phase == 0), key=lambda r: r.mix_slot), 1):
+        have += r.source == "hot"
+        assert abs(have - hot / total * t) < 1 + 1e-9
+
+
 @pytest.mark.parametrize("weights", [None, {"a": 0.5, "b": 0.25, None: 0.25}])
 def test_mixing(docs, weights):
     got = mixing.mix(docs, weights, block=2).collect()

@@ -3,42 +3,58 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: Documents in a block, slots in a full cycle of the schedule, documents in a part that is numbered at once.
-BLOCK, CYCLE, PART = 16, 1000, 2048
-#: The schedule has at most CYCLE slots for each phase and a phase ends a source; so many sources keep it in bounds.
+#: Documents in a block, slots in a cycle of whole weights, documents in a part that is numbered at once, blocks in a row of the plan.
+BLOCK, CYCLE, PART, RUN = 16, 1000, 2048, 64
+#: A phase ends a source and begins with all that are left, so that the work grows with the square of their number.
 MAX_SOURCES = 1000
 
 
-def edf_cycle(weights: Mapping[str, int]) -> list[str]:
-    """One cycle of sum(weights) slots in which each source has as many blocks as its weight.
+def edf(weights: Mapping[str, int]) -> Iterator[str]:
+    """The source of each slot, without end; weights are positive whole numbers of any size and are held exactly.
 
-    Block i (from 0) of weight k in a cycle of d slots is released at floor(i d / k) and due at ceil((i + 1) d / k). The
-    total is one block a slot, so that earliest deadline first meets all deadlines: at any slot a source is less than a
-    block from its share. Ties go to the smaller name.
+    With d the sum of weights, block i (from 0) of weight k is released at floor(i d / k) and due at
+    ceil((i + 1) d / k). The total is one block a slot, so that earliest deadline first meets all deadlines: at any slot
+    a source is less than a block from its share. Ties go to the smaller name.
     """
     d = sum(weights.values())
-    waiting = [[] for _ in range(d)]
-    for name, k in weights.items():
-        for i in range(k):
-            waiting[i * d // k].append((-(-(i + 1) * d // k), name))
+    done = dict.fromkeys(weights, 0)
+    waiting = [(0, name) for name in sorted(weights)]
     ready: list[tuple[int, str]] = []
-    out = []
-    for slot in range(d):
-        for x in waiting[slot]:
-            heapq.heappush(ready, x)
+    slot = 0
+    while True:
+        while waiting and waiting[0][0] <= slot:
+            name = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(done[name] + 1) * d // weights[name]), name))
         due, name = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a deadline was missed")
-        out.append(name)
-    return out
+        yield name
+        done[name] += 1
+        heapq.heappush(waiting, (done[name] * d // weights[name], name))
+        slot += 1
+
+
+def edf_cycle(weights: Mapping[str, int]) -> list[str]:
+    """One cycle of sum(weights) slots in which each source has as many blocks as its weight."""
+    return list(islice(edf(weights), sum(weights.values())))
+
+
+def exact_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights, which are positive and finite."""
+    parts = {x: Fraction(w) for x, w in weights.items()}
+    d = lcm(*(f.denominator for f in parts.values()))
+    return {x: int(f * d) for x, f in parts.items()}
 
 
 def integer_weights(weights: Mapping[str, float], cycle: int = CYCLE) -> dict[str, int]:
@@ -67,24 +83,26 @@ class Phase:
     slots: list[int]
 
 
-def schedule(blocks: Mapping[str, int], weights: Mapping[str, int]) -> list[Phase]:
-    """Places all blocks. Once a source has no more, a phase ends and the others go on in proportion to their weights."""
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[Phase]:
+    """Places all blocks. Once a source has no more, a phase ends and the others go on in proportion to their weights.
+
+    The weights are held as they are, not rounded: a phase is one cycle, in rows of at most RUN blocks of a source.
+    """
+    whole = exact_weights({x: weights[x] for x, n in blocks.items() if n > 0})
     left, done, start, out = {x: n for x, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
     phase = 0
     while left:
-        cycle = edf_cycle({x: weights[x] for x in sorted(left)})
-        d, at = len(cycle), {x: [] for x in left}
-        for slot, x in enumerate(cycle):
-            at[x].append(slot)
-        end = min((left[x] - 1) // weights[x] * d + at[x][(left[x] - 1) % weights[x]] for x in left) + 1
-        for x in sorted(left):
-            n = end // d * weights[x] + sum(s < end % d for s in at[x])
-            if n:
-                out.append(Phase(x, phase, done[x], done[x] + n, start, d, weights[x], at[x]))
-            done[x] += n
-            left[x] -= n
-        left = {x: n for x, n in left.items() if n}
-        start, phase = start + end, phase + 1
+        rows: dict[tuple[str, int], list[int]] = {}
+        for slot, x in enumerate(edf({x: whole[x] for x in left})):
+            rows.setdefault((x, done[x] // RUN), []).append(slot)
+            done[x] += 1
+            if done[x] == blocks[x]:
+                break
+        for (x, run), slots in sorted(rows.items()):
+            first = max(run * RUN, blocks[x] - left[x])
+            out.append(Phase(x, phase, first, first + len(slots), start, slot + 1, len(slots), slots))
+        left = {x: blocks[x] - done[x] for x in left if done[x] < blocks[x]}
+        start, phase = start + slot + 1, phase + 1
     return out
 
 
@@ -118,22 +136,21 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
         named = {"n" if s is None else f"s{s}": float(w) for s, w in weights.items()}
         wanted = {x: named.get(x, 0.0) for x in rows}
     first = {x: w for x, w in wanted.items() if w > 0}
-    whole = integer_weights(first) if first else {}
-    plan = schedule({x: -(-rows[x] // block) for x in first}, whole)
+    plan = schedule({x: -(-rows[x] // block) for x in first}, first)
     rest = {x: k for x, k in rows.items() if x not in first}
     if rest:  # in proportion to their rows, after the others
         after, base = sum(p.last - p.first for p in plan), 1 + max((p.phase for p in plan), default=-1)
-        more = schedule({x: -(-k // block) for x, k in rest.items()}, integer_weights(rest))
+        more = schedule({x: -(-k // block) for x, k in rest.items()}, rest)
         plan += [Phase(p.source, p.phase + base, p.first, p.last, p.start + after, p.d, p.k, p.slots) for p in more]
     parts = max(1, -(-sum(rows.values()) // PART))
     keyed = keyed.withColumn(part, F.pmod(F.xxhash64(F.col(order), F.lit(1)), F.lit(parts)))
     sizes = keyed.groupBy(src, part).agg(F.count("*").alias(n))
     before = sizes.withColumn(n, F.sum(n).over(Window.partitionBy(src).orderBy(part).rowsBetween(Window.unboundedPreceding, 0)) - F.col(n))
     numbered = keyed.withColumn(rank, F.row_number().over(Window.partitionBy(src, part).orderBy(order, "doc_id")) - 1)
-    steps = spark.createDataFrame([(p.source, p.phase, p.first, p.last, p.start, p.d, p.k, p.slots) for p in plan], "p_src string, p_phase int, p_first long, p_last long, p_start long, p_d int, p_k int, p_slots array<int>")
+    steps = spark.createDataFrame([(p.source, p.phase, p.first, p.last, p.start, p.d, p.k, p.slots, p.first // RUN) for p in plan], "p_src string, p_phase int, p_first long, p_last long, p_start long, p_d int, p_k int, p_slots array<int>, p_run long")
     ranked = numbered.join(before.select(F.col(src).alias("b_src"), F.col(part).alias("b_part"), F.col(n).alias("b_n")), (F.col(src) == F.col("b_src")) & (F.col(part) == F.col("b_part")))
     ranked = ranked.withColumn(rank, F.col(rank) + F.col("b_n")).withColumn(n, F.expr(f"`{rank}` div {block}"))
-    placed = ranked.join(F.broadcast(steps), (F.col(src) == F.col("p_src")) & (F.col(n) >= F.col("p_first")) & (F.col(n) < F.col("p_last")))
+    placed = ranked.join(F.broadcast(steps), (F.col(src) == F.col("p_src")) & (F.expr(f"`{n}` div {RUN}") == F.col("p_run")) & (F.col(n) >= F.col("p_first")) & (F.col(n) < F.col("p_last")))
     i = F.col(n) - F.col("p_first")
     slot = F.col("p_start") + F.floor(i / F.col("p_k")) * F.col("p_d") + F.get("p_slots", (i % F.col("p_k")).cast("int"))
     return placed.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("p_phase").alias("mix_phase"), slot.cast("long").alias("mix_slot"), (F.col(rank) % block).cast("int").alias("mix_index"))
