@@ -13,7 +13,7 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from vectide.llm import imatch, language_id, line_dedup, mixing, packing, queries, secret_scan, simhash, suffix_array, suffix_dedup
+from vectide.llm import imatch, language_id, line_dedup, mixing, packing, queries, secret_scan, similar, simhash, suffix_array, suffix_dedup
 
 WORDS = "the of and river stone quiet lantern harbour signal copper meadow winter ".split()
 DE = "der die und nicht mit haus strasse wasser schön fünf größe über ".split()
@@ -339,6 +339,50 @@ def test_components_of_long_paths(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def brute_sets(t, words=5):
+    w = t.encode().lower().split()
+    return {b" ".join(w[i : i + words]) for i in range(len(w) - words + 1)} or ({b" ".join(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def edited(r, text, n):
+    w = text.split()
+    for i in r.sample(range(len(w)), n):
+        w[i] = f"edit{r.randint(0, 10**9)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("pairs", [64, 4])
+def test_similar_documents_are_grouped(spark, docs, monkeypatch, pairs):
+    """A few edited words, or a long common part of unlike texts; with a limit of four sets clusters go through leaders."""
+    monkeypatch.setattr(similar, "PAIRS", pairs)
+    r, texts = random.Random(5), list(dict.fromkeys(TEXTS[:7] + TEXTS[9:]))
+    for k in range(12):
+        base = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(150))
+        texts += [base, *(edited(r, base, n) for n in (1, 2, 3, 4, 6))]
+    common = " ".join(f"c{i}" for i in range(60))
+    texts += [common + " " + " ".join(f"x{r.randint(0, 10**6)}" for _ in range(60)) for _ in range(20)]
+    texts += [common + f" y{i}" for i in range(20)]
+    r.shuffle(texts)
+    sets = [brute_sets(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {x.doc_id: x.component_id for x in similar.similar_groups(table).collect()}
+    assert [got[i] for i in range(len(texts))] == label
+    assert len(set(label)) < len(texts) - 50
+    kept = similar.keep_one(docs)
+    assert kept.columns == docs.columns and [x.doc_id for x in kept.where("doc_id is null").collect()] == [None]
+    assert {0, 7} <= (ids := {x.doc_id for x in kept.collect()}) and not ids & {1, 2, 8}
+
+
 def test_pfair_schedule_stays_within_a_block():
     for weights in ({"a": 1, "b": 1}, {"a": 501, "b": 299, "c": 200}, {"a": 7, "b": 2, "c": 1, "d": 13}):
         cycle = mixing.edf_cycle(weights)

@@ -1,5 +1,6 @@
 """The pipeline stage by stage on the smallest table."""
 
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -32,3 +33,18 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "secret_scan", "source_mixing", "best_fit_packing"]
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_copies_with_edited_words_go(spark, sf):
+    """Similarity 0.9 to 0.95 of 5-word shingles, which few SimHashes within two bits have."""
+    r, rows = random.Random(4), []
+    for k in range(20):
+        words = [f"w{r.randint(0, 10**5)}" for _ in range(400)]
+        rows.append((10 * k, " ".join(words)))
+        for j in range(1, 3):
+            copy = list(words)
+            for i in r.sample(range(400), 2 * j):
+                copy[i] = f"edit{r.randint(0, 10**9)}"
+            rows.append((10 * k + j, " ".join(copy)))
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(x.doc_id for x in kept.collect()) == [10 * k for k in range(20)]

@@ -123,7 +123,11 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
 
     Rows with a null doc_id stay.
     """
-    groups = simhash_groups(docs, words)
+    return keep_smallest(docs, simhash_groups(docs, words))
+
+
+def keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """keep_one() for groups (doc_id, component_id) of any kind."""
     gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
