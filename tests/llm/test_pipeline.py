@@ -1,6 +1,7 @@
 """The pipeline stage by stage on the smallest table."""
 
 import random
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -48,3 +49,28 @@ def test_near_copies_with_edited_words_go(spark, sf):
             rows.append((10 * k + j, " ".join(copy)))
     kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
     assert sorted(x.doc_id for x in kept.collect()) == [10 * k for k in range(20)]
+
+
+def test_sequences_follow_the_mix(spark, sf, monkeypatch):
+    """The documents in the first so many windows of sequences hold the target weights to less than a block."""
+    monkeypatch.setattr(packing, "WINDOW", 64)
+    r = random.Random(6)
+    rows = [(i, " ".join(r.choice(["stone", "river", "lantern", "quiet"]) for _ in range(r.choice([5, 90, 400, 2500]))), "hot" if i % 4 else f"s{i % 12}") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    source, sizes = {d: s for d, _, s in rows}, Counter(s for _, _, s in rows)
+    total = sum(n**0.5 for n in sizes.values())
+    packed = corpus_pipeline.pack(spark, corpus_pipeline.mix_sources(spark, docs, sf), sf).collect()
+    by, seen, checked = {}, set(), 0
+    for x in packed:
+        by.setdefault(x.sequence_id, []).append(x)
+    ids = sorted(by)
+    for n, i in enumerate(ids):
+        seen |= {x.doc_id for x in by[i]}
+        places = sorted((x.offset, x.length) for x in by[i])
+        assert [o for o, _ in places] == [sum(k for _, k in places[:j]) for j in range(len(places))] and sum(k for _, k in places) <= packing.CONTEXT
+        if len(seen) % 64 == 0 and len(seen) <= 384 and (n + 1 == len(ids) or not seen & {x.doc_id for x in by[ids[n + 1]]}):
+            have, checked = Counter(source[d] for d in seen), checked + 1
+            assert all(abs(have[s] - k**0.5 / total * len(seen)) < 16 + 1e-9 for s, k in sizes.items())
+    assert checked >= 6 and seen == set(source)
+    plain = packing.pack_documents(docs).selectExpr("doc_id", "piece", "start", "length", "crc32(ids) as c").collect()
+    assert Counter(map(tuple, plain)) == Counter((x.doc_id, x.piece, x.start, x.length, zlib.crc32(x.ids)) for x in packed)

@@ -14,11 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import mixing
 from .common import cut
 
 CONTEXT, END_ID = 1024, 2
 #: Exchanges of the local search, at most; each changes all sequences of two contents.
 SWAPS = 20_000
+#: Places of the mix that are packed together when sequences keep its order.
+WINDOW = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _encoders: dict[str, object] = {}
@@ -234,3 +237,70 @@ def pack(cut_pieces: DataFrame, context: int = CONTEXT) -> DataFrame:
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT, end_id: int = END_ID) -> DataFrame:
     """Tokenises docs (doc_id, text, ...) and packs the pieces; see pieces() and pack()."""
     return pack(pieces(docs, vocabulary, context, end_id), context)
+
+
+def _tokens(path: str, end_id: int, context: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        names = ["window", "place", "doc_id", "piece", "start", "length", "ids"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+        for b in batches:
+            rows, held = [], 0
+            for window, place, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
+                ids = np.array([*enc.encode_ordinary(text.as_py() or ""), end_id], dtype="<u4")
+                for k, (s, n) in enumerate(cut_points(len(ids), context)):
+                    rows.append((window, place, doc, k, s, n, ids[s : s + n].tobytes()))
+                    held += n
+                if held > 2_000_000:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return run
+
+
+def _pack_window(context: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("place", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        length, place = t["length"].to_numpy(), t["place"].to_numpy()
+        own = np.empty(len(length), dtype=np.int64)
+        offset = np.zeros(len(length), dtype=np.int64)
+        alone = np.flatnonzero(length >= context)
+        own[alone] = np.arange(len(alone))
+        of = {int(n): np.flatnonzero(length == n) for n in np.unique(length[length < context])}
+        for size, first, last, sequence, each, at in places(improve(best_fit({n: len(x) for n, x in of.items()}, context))):
+            i = np.arange(last - first)
+            own[of[size][first:last]] = len(alone) + sequence + i // each
+            offset[of[size][first:last]] = at + i % each * size
+        least = np.full(own.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, own, place)
+        rank = np.empty(len(least), dtype=np.int64)
+        rank[np.argsort(least, kind="stable")] = np.arange(len(least))  # by the first document in each
+        number = (t["window"].to_numpy() << 32) + rank[own]
+        return t.select(["doc_id", "piece", "start", "length", "ids"]).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
+
+    return run
+
+
+def pack_in_order(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT, end_id: int = END_ID, window: int | None = None, block: int = mixing.BLOCK, **options) -> DataFrame:
+    """The rows of pack_documents(), with sequences numbered in the order of the mix of docs (doc_id, text, source, ...).
+
+    Each window of so many places of the mix is packed by itself, and sequence_id ascends from window to window: all
+    sequences before a window hold the documents of a beginning of the mix, whole. Within a window sequences go by their
+    first document. A window holds a bounded number of documents, so all windows are packed side by side.
+    """
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path(VOCABULARY)
+    window = window or WINDOW
+    mixed = mixing.mix(docs.select("doc_id", "text", "source"), block=block, **options)
+    place = F.col("mix_slot") * block + F.col("mix_index")
+    rows = mixed.select(F.expr(f"(mix_slot * {block} + mix_index) div {window}").alias("window"), place.alias("place"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    made = rows.mapInArrow(_tokens(vocabulary, end_id, context), "window long, place long, doc_id long, piece int, start long, length long, ids binary")
+    return made.groupBy("window").applyInArrow(_pack_window(context), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
