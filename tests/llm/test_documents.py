@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -83,7 +84,6 @@ def test_packing_keeps_every_token_in_gapless_sequences(docs):
     import public_tokenizers
 
     tk = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     want = Counter()
     for i, t in zip(IDS, TEXTS):
         ids = np.array([*tk.encode(t, add_special_tokens=False).ids, 2], "<u4")
@@ -102,6 +102,19 @@ def test_packing_keeps_every_token_in_gapless_sequences(docs):
         assert end <= packing.CONTEXT
 
 
+def test_special_tokens_are_tokens_of_their_own(spark):
+    import public_tokenizers
+
+    tk = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = ["<|endoftext|>", "a", " b", "\n\n", "  ", "<|endoftext", "|>", "é", "'s", "12"]
+    r = random.Random(6)
+    texts = ["".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(300)] + ["a<|endoftext|>b"]
+    got = {x.doc_id: x for x in packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == [*tk.encode(t, add_special_tokens=False).ids, 2], t
+    assert 50256 in np.frombuffer(got[300].ids, "<u4")
+
+
 def test_cut_points():
     assert packing.cut_points(5, 4) == [(0, 1), (1, 4)]
     assert packing.cut_points(8, 4) == [(0, 4), (4, 4)]
@@ -233,6 +246,52 @@ def test_redaction(docs):
     assert got[0].text == TEXTS[0] and got[8].text is None
 
 
+def structured(r):
+    """A long token with letters and digits that no generator made."""
+    words = [r.choice("user profile settings report archive lantern harbour signal value index cache page".split()) for _ in range(6)]
+    date = f"{r.randint(1990, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
+    forms = ["_".join(words) + str(r.randint(1, 99)), "".join(w.title() for w in words) + str(r.randint(1, 9)), "/".join(words[:4]) + "/" + date, "-".join([date, *words[:3]]), "".join(words[:4]) + "v2"]
+    return r.choice(forms)
+
+
+@pytest.mark.parametrize("n, m", [(200, 200), (120, 600), (400, 40)])
+def test_false_discoveries_are_few_and_secrets_are_found(spark, n, m):
+    """Random tokens among structured ones: few that are accepted are structured, and most random ones are accepted."""
+    r = random.Random(n)
+    made = ["".join(r.choice(secret_scan._ALNUM) for _ in range(r.randint(24, 48))) for _ in range(n)]
+    plain = [structured(r) for _ in range(m)]
+    rows = [(i, t, i < n) for i, t in enumerate(made + plain)]
+    got = secret_scan.scan(spark.createDataFrame([(i, "see " + t + " there", k) for i, t, k in rows], "doc_id long, text string, made boolean")).collect()
+    taken = Counter(r.made for r in got if any(x.k == 3 for x in r.secret_spans))
+    assert taken[False] <= 0.05 * (taken[True] + taken[False])
+    assert taken[True] >= 0.9 * n
+
+
+def test_thresholds_hold_the_rate_where_tests_tell_less():
+    """p-values of structured tokens that are spread out: on average the rate holds, without letting all random ones go."""
+    r = np.random.default_rng(0)
+    rate, found = [], []
+    for _ in range(400):
+        a, b = r.uniform(size=300), r.beta(0.1, 5, size=300)
+        t = secret_scan._least(np.histogram(np.concatenate([a, b]), 50, (0, 1))[0].tolist(), 0.05)
+        rate.append((b >= t).sum() / max(1, (b >= t).sum() + (a >= t).sum()))
+        found.append((a >= t).mean())
+    assert np.mean(rate) <= 0.05 and np.mean(found) > 0.7
+    assert secret_scan._least([10.0] + [0.0] * 49, 0.05) == 2.0 and secret_scan._least([0.0] * 50, 0.05) == 2.0
+
+
+def test_long_tokens_and_many_spans_take_linear_time(spark):
+    r = random.Random(3)
+    big = "".join(r.choices(secret_scan._B64, k=1_000_000))
+    many = "token=abcdefgh1 " * 40_000
+    d = spark.createDataFrame([(1, big), (2, many)], "doc_id long, text string")
+    start = time.monotonic()
+    got = {x.doc_id: x for x in secret_scan.redact(d).collect()}
+    assert time.monotonic() - start < 60
+    assert got[2].text == "[SECRET] " * 40_000
+    assert len(got[1].text) in (8, 1_000_000)
+
+
 def test_randomness_orders_tokens(spark):
     r = random.Random(5)
     random_ones = ["".join(r.choice(secret_scan._ALNUM) for _ in range(32)) for _ in range(60)]
@@ -476,15 +535,37 @@ def brute_repeats(texts, w):
     return out
 
 
-@pytest.mark.parametrize("most, window, anchor", [(2000, 200, 64), (1, 200, 64), (2000, 40, 8)])
+@pytest.mark.parametrize("most, window, anchor", [(500, 200, 64), (1, 200, 64), (2, 40, 8)])
 def test_long_repeats_go(docs, monkeypatch, most, window, anchor):
-    """With a limit of one run a key all go through the digests of their strings."""
-    monkeypatch.setattr(suffix_dedup, "MOST_RUNS", most)
+    """With a limit of one run a key all are split until only equal strings are left together."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", most)
     got = suffix_dedup.remove_repeats(docs, window, anchor)
     want = Counter((i, *x) for i, x in zip(IDS, brute_repeats(TEXTS, window)))
     assert Counter((r.doc_id, tuple(tuple(x) for x in r.removed_bytes), bytes(r.kept)) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("most", [1, 4, 500])
+def test_crowded_anchors_are_split(spark, monkeypatch, most):
+    """Many different surroundings of one passage, copies with few changes, and texts of one period."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", most)
+    r = random.Random(4)
+    texts = [prose(i, r.randint(0, 30)) + " " + PASSAGE[:90] + " " + prose(100 + i % 9, r.randint(0, 12)) for i in range(60)]
+    base = prose(7, 120)
+    for i in range(25):
+        at = r.randrange(len(base))
+        texts.append(base[:at] + "#" * (i % 3) + base[at + 1 :])
+    texts += ["abcdefg" * 90, "bcdefga" * 70, "x" * 450, "x" * 300 + "y" * 300]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(d, 100, 32).collect()
+    want = Counter((i, *x) for i, x in enumerate(brute_repeats(texts, 100)))
+    assert Counter((x.doc_id, tuple(tuple(y) for y in x.removed_bytes), bytes(x.kept)) for x in got) == want
+
+
+def test_windows_too_long_for_a_run(docs):
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, 2000, 64)
+
+
 def test_runs_of_parts_cover_every_start(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 1000)
     texts = [t.encode() for t in (prose(1, 700), "x" * 250, "y" * 199, prose(2, 90), "z" * 5000)]

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -15,8 +17,31 @@ TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "random")
 
 _SPANS = "array<struct<s:int,k:int,e:int>>"
-#: Bins of p-values; classes with fewer candidates are judged with all classes together.
-_BINS, FEW = 50, 20
+#: Bins of p-values; every class is judged as if it had so many more candidates, that are like those of all classes.
+_BINS, PRIOR = 50, 20
+
+
+def _scan(rows: Column, step, kind: str) -> Column:
+    """The arrays that step(state, row) -> (state, array) gives for each row, joined; the state is an int, 0 at first.
+
+    Rows are taken in stretches of about the root of their number, so that no long array is copied for each row.
+    """
+
+    def blocks(rows: Column) -> Column:
+        k = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(rows).cast("double"))).cast("int"))
+        return F.transform(F.sequence(F.lit(0), k - 1), lambda b: F.slice(rows, b * k + 1, k))
+
+    def one(acc: Column, x: Column) -> Column:
+        at, out = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], out).alias("out")).cast(f"struct<at:int,out:{kind}>")
+
+    def block(acc: Column, rows: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(rows, start, one, lambda got: F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    bound = F.get(F.transform(F.array(rows), blocks), F.lit(0))  # bound, so that rows are found once
+    return F.aggregate(bound, start, block, lambda acc: F.flatten(acc["out"]))
 
 
 def _positions(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -27,14 +52,13 @@ def _positions(text: Column, pattern: str, kind: int, group: int = 0, least: int
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"),
     )
     steps = F.transform(found, lambda x: F.struct(F.length(x["before"]).alias("gap"), F.length(x["hit"]).alias("n"), F.length(x["part"]).alias("part")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s = at + x["gap"]
         one = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), (s + x["n"]).alias("e"))).cast(_SPANS)
-        return F.struct((s + x["n"]).alias("at"), F.when(x["part"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        return s + x["n"], F.when(x["part"] >= least, one).otherwise(F.array().cast(_SPANS))
 
-    return F.aggregate(steps, zero.cast(f"struct<at:int,out:{_SPANS}>"), step, lambda acc: acc["out"])
+    return _scan(steps, step, _SPANS)
 
 
 def base_spans(text: Column) -> Column:
@@ -90,7 +114,7 @@ def randomness(tokens: Column) -> Column:
         rows,
         **keep,
         x=lambda r: F.transform(r["c"], lambda c: F.instr(r["old"]["chars"], c) - (r["k"] + 1) / 2),
-        same=lambda r: F.aggregate(r["c"], F.lit(0.0), lambda acc, c: acc + (r["n"] - F.length(F.replace(r["old"]["token"], c, F.lit(""))))),
+        same=lambda r: F.aggregate(F.array_distinct(r["c"]), F.lit(0.0), lambda acc, c: acc + F.pow(r["n"] - F.length(F.replace(r["old"]["token"], c, F.lit(""))), F.lit(2.0))),
     )
     rows = _with(
         rows,
@@ -139,9 +163,10 @@ def candidates(text: Column) -> Column:
 def thresholds(docs: DataFrame, fdr: float = 0.05) -> dict[int, float]:
     """The least p-value that counts as random, by length class: false-discovery control after Storey.
 
-    Random tokens have uniform p-values and others small ones, less small the shorter they are. In each class the tokens
-    over one half give the number of random ones; the threshold is the least at which the share of others above it is
-    estimated at most fdr. The histogram of all candidates has 50 bins for each of at most 64 classes, whatever the input.
+    Random tokens have uniform p-values and others small ones, less small the shorter they are; _least() finds the
+    threshold of a class from its p-values. Each class borrows PRIOR candidates from all classes in proportion, so that
+    what one of few candidates gets is near to what all get. A class without a candidate isn't named. The histogram of
+    all candidates has 50 bins for each of at most 64 classes, whatever the input.
     """
     bins = (
         docs.select(F.explode(candidates(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("x"))
@@ -153,13 +178,23 @@ def thresholds(docs: DataFrame, fdr: float = 0.05) -> dict[int, float]:
     for r in bins:
         hist.setdefault(r["cls"], [0] * _BINS)[r["bin"]] += r["count"]
     pooled = [sum(x) for x in zip(*hist.values())]
-    return {cls: _least(h if sum(h) >= FEW else pooled, fdr) for cls, h in hist.items()}
+    more = PRIOR / max(1, sum(pooled))
+    return {cls: _least([x + more * y for x, y in zip(h, pooled)], fdr) for cls, h in hist.items()}
 
 
-def _least(h: list[int], fdr: float) -> float:
-    half = sum(h[_BINS // 2 :])
-    true = 2 * (half + math.sqrt(half))  # with room for chance
-    return next((i / _BINS for i in range(_BINS // 2 + 1) if (over := sum(h[i:])) and 1 - true * (1 - i / _BINS) / over <= fdr), 0.5)
+def _least(h: list[float], fdr: float) -> float:
+    """The least p-value from 0.02 on above which the share of tokens that aren't random is at most fdr, as estimated; 2 if none is.
+
+    The random tokens' number follows from how many there are above some p, as those p-values are uniform. It is taken
+    from 0.2 on, and lower if fewer are found from some larger p on, by more than a standard deviation. A tenth of fdr is
+    left for taking the least of many thresholds.
+    """
+    n = sum(h[_BINS // 5 :])
+    true = n / 0.8
+    for part in (0.35, 0.5, 0.65, 0.8):
+        q = (1 - part) / 0.8
+        true = min(true, (sum(h[round(_BINS * part) :]) + math.sqrt(n * q * (1 - q))) / (1 - part))
+    return next((i / _BINS for i in range(1, _BINS) if (over := sum(h[i:])) > 0 and 1 - true * (1 - i / _BINS) / over <= 0.9 * fdr), 2.0)
 
 
 def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
@@ -167,7 +202,8 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
 
     k indexes KINDS; s and e are code points, e exclusive. Spans of the base patterns always count; a token that passes
     the randomness tests is added where it meets none of them. A null text counts as empty; rows, repeats and null ids
-    are kept; other columns stay, and a column secret_spans of docs is replaced.
+    are kept; other columns stay, and a column secret_spans of docs is replaced. Very long tokens and texts of many
+    spans take time in proportion to their length.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     least = thresholds(docs, fdr)
@@ -175,7 +211,7 @@ def scan(docs: DataFrame, fdr: float = 0.05) -> DataFrame:
     rows = docs.drop("secret_spans").withColumn("secret_spans", base_spans(text))
 
     def fresh(x: Column) -> Column:
-        return (x["p"] >= F.coalesce(bounds[x["cls"]], F.lit(0.5))) & ~F.exists("secret_spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        return (x["p"] >= F.coalesce(bounds[x["cls"]], F.lit(2.0))) & ~F.exists("secret_spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
     more = F.transform(F.filter(candidates(text), fresh), lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
     return rows.withColumn("secret_spans", F.array_sort(F.concat("secret_spans", more.cast(_SPANS))))
@@ -193,15 +229,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", fdr: float = 0.05) -> DataFr
     Texts without secrets, null ones included, stay as they are.
     """
     rows = scan(docs, fdr)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast("struct<at:int,out:string>")
+    none = F.array().cast("array<struct<s:int,e:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.when(x["s"] >= acc["at"], F.concat(F.substring("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        gap = F.array(F.struct(at.alias("s"), x["s"].alias("e"))).cast("array<struct<s:int,e:int>>")
+        return F.greatest(at, x["e"]), F.when(x["s"] >= at, gap).otherwise(none)
 
-    clean = F.aggregate("secret_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    gaps = _scan(F.col("secret_spans"), step, "array<struct<s:int,e:int>>")
+    end = F.struct(F.array_max(F.transform("secret_spans", lambda x: x["e"])).alias("s"), F.length("text").alias("e"))
+    letters = lambda text: F.transform(F.array(F.split(text, "")), lambda c: F.array_join(F.transform(F.concat(gaps, F.array(end)), lambda x: F.array_join(F.slice(c, x["s"] + 1, x["e"] - x["s"]), "")), mark))
     has = F.size("secret_spans") > 0
-    out = rows.withColumn("text", F.when(has, clean).otherwise(F.col("text")))
+    out = rows.withColumn("text", F.when(has, F.get(letters(F.col("text")), F.lit(0))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(has, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns) if "secret_spans" not in docs.columns else out
+    return out.select(*quoted(docs.columns)) if "secret_spans" not in docs.columns else out
