@@ -18,8 +18,8 @@ from . import mixing
 from .common import cut
 
 CONTEXT, END_ID = 1024, 2
-#: Exchanges of the local search, at most; each changes all sequences of two contents.
-SWAPS = 20_000
+#: The strings of the vocabulary that are tokens of their own wherever a text has them.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Places of the mix that are packed together when sequences keep its order.
 WINDOW = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -28,17 +28,22 @@ _encoders: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """The byte-level BPE of a rank file, one for each Python process. Special tokens' strings are ordinary text."""
+    """The byte-level BPE of a rank file, one for each Python process."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
     return _encoders[path]
 
 
+def token_ids(enc, text: str, end_id: int) -> np.ndarray:
+    """The ids of a text and the end mark; a special token's string is that token."""
+    return np.array([*enc.encode(text, allowed_special="all"), end_id], dtype="<u4")
+
+
 def cut_points(n: int, context: int = CONTEXT) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: pieces of full context, the first one shorter if need be."""
     first = n % context or context
@@ -58,7 +63,7 @@ def _tokenise(path: str, end_id: int, context: int):
         for b in batches:
             rows, held = [], 0
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = np.array([*enc.encode_ordinary(text.as_py() or ""), end_id], dtype="<u4")
+                ids = token_ids(enc, text.as_py() or "", end_id)
                 for k, (s, n) in enumerate(cut_points(len(ids), context)):
                     rows.append((doc, k, s, n, ids[s : s + n].tobytes(), chunk, int(seen[n])))
                     seen[n] += 1
@@ -152,12 +157,12 @@ def _exchange(low: tuple[int, ...], high: tuple[int, ...], room: int) -> tuple[t
     return found
 
 
-def improve(bins: Bins, steps: int = SWAPS) -> Bins:
+def improve(bins: Bins) -> Bins:
     """Local search: moves, one-for-one and two-for-one exchanges between underfull sequences that increase squared fill.
 
     The emptiest content gives to fuller ones until nothing more fits; contents are taken with their counts, so that a
-    step changes many sequences. Each step raises the sum of squared fills, so it ends; it stops early once the number
-    of sequences is the least that the tokens need, or after so many steps. Pairs that can't gain aren't tried again.
+    step changes many sequences. Each step raises the sum of squared fills, so it ends: when no exchange gains, or once
+    the number of sequences is the least that the tokens need. Pairs that can't gain aren't tried again.
     """
     context = bins.context
     least = -(-sum(sum(c) * n for c, n in bins.count.items()) // context)
@@ -165,12 +170,12 @@ def improve(bins: Bins, steps: int = SWAPS) -> Bins:
     under = sorted((sum(c), c) for c in bins.count if sum(c) < context)
     vain: set = set()
     changed = True
-    while changed and total > least and steps > 0:
+    while changed and total > least:
         changed = False
         for fill, low in list(under):
             for filled, high in reversed(under[bisect.bisect_left(under, (fill, low)) :]):
                 n = bins.count[low] // 2 if low == high else min(bins.count[low], bins.count[high])
-                if not n or (low, high) in vain or total <= least or steps <= 0:
+                if not n or (low, high) in vain or total <= least:
                     continue
                 found = _exchange(low, high, context - filled)
                 if not found or (low == high and sum(found[0]) == sum(found[1])):
@@ -192,7 +197,7 @@ def improve(bins: Bins, steps: int = SWAPS) -> Bins:
                     bins.add(key, m)
                     if key not in bins.count and sum(key) < context:
                         del under[bisect.bisect_left(under, (sum(key), key))]
-                changed, steps = True, steps - 1
+                changed = True
     return bins
 
 
@@ -251,7 +256,7 @@ def _tokens(path: str, end_id: int, context: int):
         for b in batches:
             rows, held = [], 0
             for window, place, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3)):
-                ids = np.array([*enc.encode_ordinary(text.as_py() or ""), end_id], dtype="<u4")
+                ids = token_ids(enc, text.as_py() or "", end_id)
                 for k, (s, n) in enumerate(cut_points(len(ids), context)):
                     rows.append((window, place, doc, k, s, n, ids[s : s + n].tobytes()))
                     held += n
