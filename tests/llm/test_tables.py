@@ -104,9 +104,10 @@ def clusters(seed, n=700, dim=16):
     return x.astype(np.float32)
 
 
-@pytest.mark.parametrize("block, leaf", [(4096, 256), (37, 8)])
-def test_vectors(spark, monkeypatch, block, leaf):
+@pytest.mark.parametrize("block, leaf, tile", [(4096, 16, 16), (37, 8, 2), (50, 7, 4), (37, 256, 1)])
+def test_vectors(spark, monkeypatch, block, leaf, tile):
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "TILE", tile)
     monkeypatch.setattr(embedding_dedup, "LEAF", leaf)
     x = clusters(1)
     rows = [(int(i), v.tolist(), 0) for i, v in enumerate(x)]
@@ -127,6 +128,25 @@ def test_vectors(spark, monkeypatch, block, leaf):
     assert sorted((tuple(r) for r in got), key=repr) == want
 
 
+@pytest.mark.parametrize("n", [3000, 12000])
+def test_distant_leaves_are_skipped(spark, monkeypatch, n):
+    """Of vectors in clusters few pairs are compared; of unclustered ones of 64 dimensions nothing can be ruled out."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 512)
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(n // 60, 24))
+    x = (centres[r.integers(0, len(centres), n)] + r.normal(size=(n, 24)) * 0.04).astype(np.float32)
+    near, told = embedding_dedup.joined(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    rows, compared = told.first()
+    assert rows == n and compared < 0.2 * n * (n + 1) / 2, compared / (n * (n + 1) / 2)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    links = [(int((u @ u[i] >= 0.95).sum()) - 1) for i in range(0, n, 50)]
+    got = {q.vec_id: q.n_links for q in near.collect()}
+    assert [got[i] for i in range(0, n, 50)] == links
+    near, told = embedding_dedup.joined(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(2000, 64)))], "vec_id long, embedding array<double>"))
+    assert told.first().compared <= 2000 * 2000 / 2 + 2000 * 512
+
+
 def test_no_vectors(spark):
     e = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_duplicates(e).count() == 0
