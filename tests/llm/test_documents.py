@@ -387,9 +387,11 @@ def test_links_are_exact_in_crowded_cells_too(spark, monkeypatch, most):
     assert [got.get(i, i) for i in range(len(fps))] == [least[want[f]] for f in fps]
 
 
-def test_components_of_long_paths(spark):
+@pytest.mark.parametrize("few", [0, 40, 1000])
+def test_components_of_long_paths(spark, monkeypatch, few):
     from vectide.llm.components import components
 
+    monkeypatch.setattr("vectide.llm.components.FEW", few)
     r = random.Random(1)
     names = r.sample(range(10000), 300)
     edges = list(zip(names[:200], names[1:200])) + [(names[200], names[i]) for i in range(201, 300)] + [(5, 5), (None, 1)]

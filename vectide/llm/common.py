@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,5 +82,8 @@ def parts(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[p
 
 
 def release() -> None:
-    """Gives memory that Arrow holds for later back, so that workers that wait don't keep it."""
+    """Gives memory that Arrow and the allocator hold for later back, so that workers that wait don't keep it."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop
 
+#: Edges that one task takes at once, some 16 MB.
+FEW = 1 << 20
+
 
 def forest_edges(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star for each component of the given edges: every node with the smallest node it reaches."""
@@ -35,6 +38,14 @@ def forest_edges(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[apart], nodes[root[apart]]
 
 
+def _whole_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cols = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+    if cols:
+        u, v = forest_edges(*(np.concatenate(x) for x in zip(*cols)))
+        one = np.unique(v)  # the roots are nodes too
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(u, one)), pa.array(np.append(v, one))], names=["node", "component"])
+
+
 def _contract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
     rows = 0
@@ -64,13 +75,24 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every node to its smallest neighbour, shortens the paths by doubling, and relabels the edges; as
     every node points to a smaller one, roots are the smallest of their trees. Rounds are about the logarithm of the
     longest path. A hub only meets sums (min) and joins whose other side has unique keys. Null ends and loops are
-    dropped; no edges give no rows. Each round is written to the shared folder.
+    dropped; no edges give no rows. Each round is written to the shared folder. Once FEW edges or fewer are left, one task
+    takes them all.
     """
     spark = edges.sparkSession
     edges = edges.where("u is not null and v is not null and u <> v")
     edges = cut(local_forest(edges).distinct(), "edges")
     labels = None
-    while not edges.isEmpty():
+    while count := edges.count():
+        if count <= FEW:
+            last = cut(edges.coalesce(1).mapInArrow(_whole_forest, "node long, component long"), "labels")
+            drop(edges)
+            if labels is None:
+                return last
+            step = last.select(F.col("node").alias("component"), F.col("component").alias("next"))
+            moved = cut(labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")), "labels")
+            drop(labels)
+            drop(last)
+            return moved
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         to = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("to"))
         to = cut(to, "hook")
