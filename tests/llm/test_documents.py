@@ -172,7 +172,23 @@ def brute_units(t):
                 yield s, at
 
 
-def test_line_dedup(docs):
+def brute_stay(text, gone, least):
+    """Takes repeated stretches back that, with only white space between them, have fewer words than the least."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(int), [0]])))
+    groups = []
+    for s, e in zip(edge[::2], edge[1::2]):
+        if groups and not text[groups[-1][-1][1] : s].strip():
+            groups[-1].append((s, e))
+        else:
+            groups.append([(s, e)])
+    for g in groups:
+        if len(text[g[0][0] : g[-1][1]].split()) < least:
+            gone[g[0][0] : g[-1][1]] = False
+    return gone
+
+
+@pytest.mark.parametrize("least", [0, 8, 15, 47])
+def test_line_dedup(docs, least):
     order = sorted(range(len(IDS)), key=lambda i: (IDS[i] is None, IDS[i] or 0))
     first, want = {}, []
     for i in order:
@@ -182,13 +198,14 @@ def test_line_dedup(docs):
             k = " ".join(TEXTS[i][s:e].lower().split())
             if first.setdefault(k, (*place, s)) != (*place, s):
                 gone[s:e] = True
+        gone = brute_stay(TEXTS[i], gone, least)
         want.append((IDS[i], "".join(c for c, g in zip(TEXTS[i], gone) if not g)))
-    got = line_dedup.cut_repeats(docs)
+    got = line_dedup.cut_repeats(docs, passage_words=least)
     assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter(want)
     told = [r for r in got.where("doc_id = 4").collect()][0]
     assert set(docs.columns) <= set(got.columns)
     r = got.where("doc_id = 6").first()
-    assert [r.text_before[x.s : x.e] for x in r.removed_spans] == [PASSAGE] and told.removed_spans == []
+    assert [r.text_before[x.s : x.e] for x in r.removed_spans] == [PASSAGE] * (least < 47) and told.removed_spans == []
 
 
 def test_imatch(docs):

@@ -1,4 +1,4 @@
-"""Repeated lines and sentences: units are normalised and hashed, the first of each is kept, the others are cut out."""
+"""Repeated lines and sentences: units are normalised and hashed, the first of each is kept, passages of others are cut out."""
 
 from __future__ import annotations
 
@@ -10,11 +10,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, free_name
+from .common import cut, free_name, parts, quoted, release
 
 #: Units with fewer words are too common to be copies: lines, sentences within lines.
 LINE_WORDS, SENTENCE_WORDS = 5, 5
+#: Neighbouring repeated units of fewer words together stay: headings, licence lines and phrases that clean texts share.
+PASSAGE_WORDS = 15
 
 _LINE, _SENTENCE = re.compile(r"[^\r\n]+"), re.compile(r"(?<=[.!?…])\s+")
 _LAST = (1 << 63) - 1
@@ -85,34 +88,67 @@ def repeated_spans(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words
     return units.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc", "key", "s", "e")
 
 
-def cut_repeats(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS) -> DataFrame:
+def passages(text: str, units: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
+    """Ascending stretches of the repeated units (s, e) of a text, without those that with their neighbours, only white space
+    lying between, have fewer words than the least."""
+    merged: list[list[int]] = []
+    for s, e in sorted(units):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    out: list[tuple[int, int]] = []
+    at = 0
+    while at < len(merged):
+        end = at + 1
+        while end < len(merged) and not text[merged[end - 1][1] : merged[end][0]].strip():
+            end += 1
+        if len(text[merged[at][0] : merged[end - 1][1]].split()) >= least:
+            out += [tuple(x) for x in merged[at:end]]
+        at = end
+    return out
+
+
+def _cut(place: int, least: int):
+    """Cuts rows (the columns of documents, units): at the given place is the text, which goes last but one as it was."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+        for b in batches:
+            for part in parts(b, place):
+                texts, gone = part.column(place).to_pylist(), []
+                for i, units in enumerate(part.column(part.num_columns - 1)):
+                    gone.append([])
+                    if units.is_valid:
+                        flat, text = units.values, texts[i]
+                        found = passages(text, list(zip(flat.field("s").to_pylist(), flat.field("e").to_pylist())), least)
+                        ends = [0, *(e for _, e in found)]
+                        texts[i] = "".join(text[x:y] for x, y in zip(ends, [*(s for s, _ in found), len(text)]))
+                        gone[-1] = [{"s": x, "e": y} for x, y in found]
+                cols = part.columns[:-1]
+                cols[place] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, part.column(place), pa.array(gone, kind)], names=[*part.schema.names[:-1], "text_before", "removed_spans"])
+        release()
+
+    return run
+
+
+def cut_repeats(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: int = SENTENCE_WORDS, passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """docs with text without its repeated units, text_before, and removed_spans: array of (s, e), merged, in order.
 
-    See repeated_spans() for what repeats. Line breaks stay, as do texts without repeats, null ones included. Rows are
-    kept; columns text_before and removed_spans of docs are replaced.
+    See repeated_spans() for what repeats. Repeated units stay where they and their repeated neighbours have fewer than
+    passage_words words in all. Line breaks stay, as do texts without repeats, null ones included. Rows are kept, as are
+    other columns whatever their names; columns text_before and removed_spans of docs are replaced.
     """
     docs = docs.drop("text_before", "removed_spans")
-    doc, key = free_name(docs, "__doc"), free_name(docs, "__key")
-    spans = repeated_spans(docs, line_words, sentence_words).groupBy("doc", "key").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("removed_spans"))
-    kind = "array<struct<s:int,e:int>>"
-    zero = F.array().cast(kind)
-
-    def merge(acc, x):
-        last = F.element_at(acc, -1)
-        meets = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["e"] >= x["s"])
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when(meets, joined.cast(kind)).otherwise(F.concat(acc, F.array(x)).cast(kind))
-
-    spans = spans.withColumn("removed_spans", F.aggregate("removed_spans", zero, merge))
+    doc, key, r_doc, r_key, units = (free_name(docs, x) for x in ("__doc", "__key", "__r_doc", "__r_key", "__units"))
+    spans = repeated_spans(docs, line_words, sentence_words).groupBy("doc", "key").agg(F.collect_set(F.struct("s", "e")).alias("units"))
+    spans = spans.select(F.col("doc").alias(r_doc), F.col("key").alias(r_key), F.col("units").alias(units))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), key: F.xxhash64(text)})
-    out = keyed.join(spans.select(F.col("doc").alias("r_doc"), F.col("key").alias("r_key"), "removed_spans"), (F.col(doc) == F.col("r_doc")) & (F.col(key) == F.col("r_key")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast("struct<at:int,out:string>")
-    left = F.aggregate(
-        "removed_spans",
-        start,
-        lambda acc, x: F.struct(x["e"].alias("at"), F.concat(acc["out"], F.substring("text", acc["at"] + 1, x["s"] - acc["at"])).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))),
-    )
-    out = out.withColumn("text_before", F.col("text")).withColumn("text", F.when(F.col("removed_spans").isNotNull(), left).otherwise(F.col("text")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "text_before", F.coalesce("removed_spans", zero).alias("removed_spans"))
+    own = [F.col("text").cast("string").alias(c) if c == "text" else x for c, x in zip(docs.columns, quoted(docs.columns))]
+    keyed = docs.select(*own, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias(doc), F.xxhash64(text).alias(key))
+    out = keyed.join(spans, (F.col(doc) == F.col(r_doc)) & (F.col(key) == F.col(r_key)), "left").select(*quoted(docs.columns), units)
+    fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema]
+    span = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
+    schema = T.StructType([*fields, T.StructField("text_before", T.StringType()), T.StructField("removed_spans", T.ArrayType(span))])
+    return out.mapInArrow(_cut(docs.columns.index("text"), passage_words), schema)
