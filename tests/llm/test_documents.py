@@ -1,6 +1,7 @@
 """The document operators against brute force, over one small awkward table."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -335,6 +336,60 @@ def test_language_mixtures(spark, docs):
     assert {x.lang_pred for x in language_id.identify(docs, nothing, []).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_pieces_of_long_texts_have_the_same_trigrams(monkeypatch, size):
+    texts = [b"", b"a", b"ab", b"  a  b ", "größe über  ... alles -- 12 x".encode(), prose(3, 90, DE).encode()]
+    want = [Counter(language_id.gram_ids(t).tolist()) for t in texts]
+    monkeypatch.setattr(language_id, "PIECE_BYTES", size)
+    for t, w in zip(texts, want):
+        ids, n = language_id.gram_counts(t)
+        assert dict(zip(ids.tolist(), n.tolist())) == w
+        assert ids.tolist() == sorted(set(ids.tolist()))
+
+
+def brute_mixture(grams, counts, loglik, steps):
+    """Expectation-maximisation for one text, in plain loops."""
+    langs = range(len(loglik))
+    w = [c * language_id.INDEPENDENT for c in counts]
+    single = [sum(x * float(loglik[j][g]) for x, g in zip(w, grams)) for j in langs]
+    best = max(langs, key=lambda j: (single[j], -j))
+    chosen, gain = {best: 1.0}, single[best]
+    pi = [1 / len(loglik)] * len(loglik)
+    for size in range(len(loglik), 1, -1):
+        for _ in range(steps):
+            new = [0.0] * len(loglik)
+            for x, g in zip(w, grams):
+                parts = [pi[j] * math.exp(float(loglik[j][g])) for j in langs]
+                for j in langs:
+                    new[j] += x * parts[j] / sum(parts)
+            pi = [x / sum(new) for x in new]
+        value = sum(x * math.log(sum(pi[j] * math.exp(float(loglik[j][g])) for j in langs)) for x, g in zip(w, grams))
+        value -= 0.5 * (size - 1) * math.log(max(sum(w), 2.0)) + 2.0 * (size - 1)
+        if value > gain:
+            gain, chosen = value, {j: p for j, p in enumerate(pi) if p > 0}
+        least = min((j for j in langs if pi[j] > 0), key=lambda j: pi[j])
+        pi[least] = 0.0
+        pi = [x / sum(pi) for x in pi]
+    return chosen
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixtures_equal_plain_expectation_maximisation(seed):
+    r = np.random.default_rng(seed)
+    loglik = np.log(r.dirichlet(np.full(40, 0.3), size=4)).clip(-12).astype(np.float32)
+    texts = []
+    for k in range(25):
+        p = np.exp(loglik[k % 4]) * (1 - k / 40) + np.exp(loglik[(k + 1) % 4]) * (k / 40)
+        drawn = Counter(r.choice(40, size=int(r.integers(1, 400)), p=p / p.sum()).tolist())
+        texts.append((sorted(drawn), [drawn[g] for g in sorted(drawn)]))
+    doc = np.repeat(np.arange(25), [len(g) for g, _ in texts])
+    pick, _ = language_id._mixtures(doc, np.concatenate([g for g, _ in texts]), np.concatenate([n for _, n in texts]), 25, loglik, 12)
+    for k, (g, n) in enumerate(texts):
+        want = brute_mixture(g, n, loglik, 12)
+        assert set(np.flatnonzero(pick[k]).tolist()) == set(want), k
+        assert all(abs(pick[k][j] - p) < 1e-6 for j, p in want.items())
+
+
 def test_language_accuracy_on_held_out_documents(spark, sf):
     got = queries.op5_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95

@@ -7,13 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import free_name, quoted, release
 
 #: Symbols of six bits, so that a model of trigrams has 2^18 entries for each language, whatever the corpus.
 SYMBOL_BITS, GRAMS = 6, 1 << 18
 #: Texts are taken in pieces of so many bytes at most, which bounds memory; every piece counts.
 PIECE_BYTES = 1 << 20
+#: Languages that a model has at most: each takes a megabyte in the driver and in every worker.
+MOST_LANGUAGES = 256
 #: Overlapping trigrams count as this many independent ones each.
 INDEPENDENT = 1 / 3
 
@@ -30,19 +36,43 @@ def _symbols() -> np.ndarray:
 _CODE = _symbols()
 
 
-def gram_ids(text: bytes) -> np.ndarray:
-    """The trigrams of a text, framed by non-letters, as numbers below GRAMS; those without a letter are left out."""
-    s = _CODE[np.frombuffer(b" " + text + b" ", dtype=np.uint8)]
-    s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])] if len(s) > 1 else s
+def _squeezed(s: np.ndarray) -> np.ndarray:
+    """Symbols without those non-letters that follow one."""
+    return s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])] if len(s) > 1 else s
+
+
+def _trigrams(s: np.ndarray) -> np.ndarray:
     if len(s) < 3:
         return np.zeros(0, dtype=np.uint32)
     g = (s[:-2] << np.uint32(12)) | (s[1:-1] << np.uint32(6)) | s[2:]
     return g[g != 0]
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
+def gram_ids(text: bytes) -> np.ndarray:
+    """The trigrams of a text, framed by non-letters, as numbers below GRAMS; those without a letter are left out."""
+    return _trigrams(_squeezed(_CODE[np.frombuffer(b" " + text + b" ", dtype=np.uint8)]))
+
+
+def gram_pieces(text: bytes) -> Iterator[np.ndarray]:
+    """gram_ids() of a long text in pieces: the last two symbols of one go before the next, and only the ends are framed."""
+    tail = np.zeros(1, dtype=np.uint32)
     for i in range(0, max(len(text), 1), PIECE_BYTES):
-        yield text[max(0, i - 2) : i + PIECE_BYTES] if i else text[:PIECE_BYTES]
+        own = _CODE[np.frombuffer(text[i : i + PIECE_BYTES], dtype=np.uint8)]
+        end = np.zeros(1 if i + PIECE_BYTES >= len(text) else 0, dtype=np.uint32)
+        s = _squeezed(np.concatenate([tail, own, end]))
+        yield _trigrams(s)
+        tail = s[-2:]
+
+
+def gram_counts(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The different trigrams of a text, ascending, and how often it has each."""
+    if len(text) <= PIECE_BYTES:
+        return np.unique(gram_ids(text), return_counts=True)
+    own = np.zeros(GRAMS, dtype=np.int64)
+    for grams in gram_pieces(text):
+        ids, n = np.unique(grams, return_counts=True)
+        own[ids] += n
+    return np.flatnonzero(own), own[own > 0]
 
 
 @dataclass(frozen=True)
@@ -56,9 +86,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             own = counts.setdefault(lang, np.zeros(GRAMS, dtype=np.int64))
-            for piece in _pieces(text.as_py()):
-                ids, n = np.unique(gram_ids(piece), return_counts=True)
-                own[ids] += n
+            ids, n = gram_counts(text.as_py())
+            own[ids] += n
     for lang, own in counts.items():
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(own[at])], names=["lang", "gram", "n"])
@@ -67,8 +96,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, smoothing: float = 0.5) -> Model:
     """Trigram models of all rows (lang, text) that have both. What reaches the driver is at most GRAMS counts a language.
 
-    No labelled row gives a model without languages.
+    No labelled row gives a model without languages; more than MOST_LANGUAGES are an error.
     """
+    labels = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string")).distinct()
+    if len(labels.limit(MOST_LANGUAGES + 1).collect()) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string").cast("binary").alias("t"))
     sums = rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(sums.column("lang").to_pylist()))
@@ -138,16 +170,18 @@ def _mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, logli
     return pick, sure
 
 
-def _predict(model: Model, steps: int, names: list[str]):
+def _predict(languages: tuple[str, ...], table: Broadcast, steps: int, names: list[str]):
+    """table holds the log likelihoods of the languages."""
+
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[str], list[float], list[str]]:
         sizes = [len(g) for g, _ in held]
         doc = np.repeat(np.arange(len(held)), sizes)
         gram, n = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
-        pick, sure = _mixtures(doc, gram, n, len(held), model.log_likelihood, steps)
+        pick, sure = _mixtures(doc, gram, n, len(held), table.value, steps)
         at = pick.argmax(axis=1)
         score = np.clip(pick[np.arange(len(held)), at] * sure, 0.0, 1.0)
-        told = [",".join(f"{model.languages[j]}:{p[j]:.3f}" for j in np.argsort(-p, kind="stable") if p[j] > 0) for p in pick]
-        return [model.languages[i] for i in at], score.tolist(), told
+        told = [",".join(f"{languages[j]}:{p[j]:.3f}" for j in np.argsort(-p, kind="stable") if p[j] > 0) for p in pick]
+        return [languages[i] for i in at], score.tolist(), told
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,46 +197,44 @@ def _predict(model: Model, steps: int, names: list[str]):
 
             skip = b.column(1).to_pylist()
             for j, text in enumerate(b.column(0)):
-                if skip[j] or not model.languages:
+                if skip[j] or not languages:
                     held.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
                 else:
-                    data = text.as_py()
-                    if len(data) <= PIECE_BYTES:
-                        held.append(np.unique(gram_ids(data), return_counts=True))
-                    else:
-                        own = np.zeros(GRAMS, dtype=np.int64)
-                        for piece in _pieces(data):
-                            ids, n = np.unique(gram_ids(piece), return_counts=True)
-                            own[ids] += n
-                        held.append((np.flatnonzero(own), own[own > 0]))
+                    held.append(gram_counts(text.as_py()))
                 entries += len(held[-1][0])
                 if entries > 200_000:
-                    done() if model.languages else None
-            if model.languages and held:
+                    done() if languages else None
+            if languages and held:
                 done()
-            if not model.languages:
+            if not languages:
                 lang, score, mix = [None] * b.num_rows, [0.0] * b.num_rows, [""] * b.num_rows
             lang = ["und" if s or x is None else x for x, s in zip(lang, skip)]
             score = [0.0 if x == "und" else s for x, s in zip(lang, score)]
             mix = ["" if x == "und" else m for x, m in zip(lang, mix)]
             yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], names=names)
+        release()
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], steps: int = 12) -> DataFrame:
-    """The columns keep of docs (text, ...), then lang_pred, score, mixture ("de:0.700,fr:0.300").
+TOLD = ("lang_pred", "score", "mixture")
+
+
+def identify(docs: DataFrame, model: Model, keep: list[str], steps: int = 12, told: tuple[str, str, str] = TOLD) -> DataFrame:
+    """The columns keep of docs (text, ...), then lang_pred, score, mixture ("de:0.700,fr:0.300"), or as told names them.
 
     lang_pred is the language of largest proportion, or "und" with score 0 if the text is null, has no letter or the
     model has no language. score is that proportion times the confidence in the chosen set. Whole texts count; rows are
-    kept, repeats included.
+    kept, repeats included. Columns of docs that are named like the told ones are replaced.
     """
-    out = [f for f in docs.schema if f.name in keep]
+    taken = {x.lower() for x in told}
+    out = [f for f in docs.schema if f.name in keep and f.name.lower() not in taken]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(text.cast("binary").alias("__t"), (~text.rlike(r"\p{L}")).alias("__none"), *[F.col(f.name) for f in out])
-    names = [f.name for f in out] + ["lang_pred", "score", "mixture"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out] + ["lang_pred string", "score double", "mixture string"])
-    return rows.mapInArrow(_predict(model, steps, names), schema)
+    t, none = free_name(docs, "__t"), free_name(docs, "__none")
+    rows = docs.select(text.cast("binary").alias(t), (~text.rlike(r"\p{L}")).alias(none), *quoted([f.name for f in out]))
+    new = [T.StructField(told[0], T.StringType()), T.StructField(told[1], T.DoubleType()), T.StructField(told[2], T.StringType())]
+    table = docs.sparkSession.sparkContext.broadcast(model.log_likelihood)  # at most MOST_LANGUAGES megabytes
+    return rows.mapInArrow(_predict(model.languages, table, steps, [f.name for f in out] + list(told)), T.StructType([*out, *new]))
 
 
 def held_out(doc_id: Column) -> Column:
