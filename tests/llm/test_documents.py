@@ -11,6 +11,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 import tokenizers
 import xxhash
 from pyspark.sql import functions as F
@@ -209,28 +210,107 @@ def test_line_dedup(docs, least):
     assert [r.text_before[x.s : x.e] for x in r.removed_spans] == [PASSAGE] * (least < 47) and told.removed_spans == []
 
 
+def xx(data, seed=42):
+    x = xxhash.xxh64_intdigest(data, seed)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_prints(texts):
+    """The fingerprints of all texts, as lists of (level, hash) by family, with the lexicon of the first list of texts."""
+    lists = [sorted(set(regex.split(r"[^\p{L}\p{N}]+", t.lower())) - {""}) for t in texts[0]]
+    df = Counter(x for ts in lists for x in ts)
+    n = len(texts[0])
+    known = {x for x, k in df.items() if max(2, imatch.LEAST_SHARE * n) <= k <= max(2, imatch.MOST_SHARE * n)}
+    out = []
+    for t in texts[1]:
+        ts = set(regex.split(r"[^\p{L}\p{N}]+", t.lower())) - {""} & known
+        row = []
+        for j in range(imatch.FAMILIES):
+            best, of = 0, []
+            for x in ts & known:
+                r = xxhash.xxh64_intdigest(j.to_bytes(4, "little"), xxhash.xxh64_intdigest(x.encode(), 42))
+                zeros = next((i for i in range(imatch.LEVELS) if r >> i & 1), imatch.LEVELS)
+                if zeros > best:
+                    best, of = zeros, []
+                if zeros == best:
+                    of.append(xx(x.encode()))
+            h = 42
+            for x in sorted(of):
+                h = xxhash.xxh64_intdigest((x % (1 << 64)).to_bytes(8, "little"), h)
+            row.append(best << 60 | h & ((1 << 60) - 1) if best else 0)
+        out.append(row if any(row) else None)
+    return out
+
+
+def brute_likeness(a, b):
+    met = [x == y for x, y in zip(a, b) if x or y]
+    return sum(met) / len(met) if met else 0.0
+
+
 def test_imatch(docs):
     got = imatch.compare(docs).collect()
-    order = sorted(range(len(IDS)), key=lambda i: (IDS[i] is not None, IDS[i] or 0, TEXTS[i]))
-    want = Counter()
+    order = sorted(range(len(IDS)), key=lambda i: (IDS[i] is not None, IDS[i] or 0, xx(TEXTS[i].encode())))
+    rows = []
     for a, b in zip(order, order[1:] + order[:1]):
         t, u = TEXTS[a], TEXTS[b]
         h = len(t) // 2
-        want[IDS[a], len(t), hashlib.sha256((t[: len(t) - h] + u[:h]).encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+        rows.append((IDS[a], len(t), hashlib.sha256((t[: len(t) - h] + u[:h]).encode()).hexdigest(), t, t[: len(t) - h] + u[:h], u))
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == Counter(r[:3] for r in rows)
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert len(r.fingerprint) == len(r.edited_fingerprint) == imatch.FAMILIES * imatch.LEVELS * imatch.DIGITS
+        assert len(r.fingerprint) == len(r.edited_fingerprint) == imatch.FAMILIES * 16
     assert by[0][0].fingerprint == by[1][0].fingerprint == by[2][0].fingerprint and by[0][0].near_next == 1.0
     assert by[7][0].fingerprint == by[8][0].fingerprint != by[9][0].fingerprint
     assert by[15][0].fingerprint == by[15][1].fingerprint
 
 
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_fingerprints_equal_brute_force(spark, monkeypatch, shuffled):
+    """Every fingerprint and likeness, with the lexicon broadcast and joined by a shuffle."""
+    if shuffled:
+        monkeypatch.setattr(imatch, "BROADCAST_TERMS", 0)
+    r = random.Random(9)
+    texts = [" ".join(f"Wört{r.randint(0, 700)}" + r.choice([" ", ", ", "\n", "--"]) for _ in range(r.choice([3, 40, 60, 200]))) for _ in range(90)]
+    texts[10:14] = [texts[9], texts[9].upper(), texts[9] + " wört3", ""]
+    got = {x.doc_id: x for x in imatch.compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    after = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, after)]
+    prints = [brute_prints((texts, x)) for x in (texts, edited, after)]
+    show = lambda p: "".join(f"{x:016x}" for x in p)
+    checked = 0
+    for i, (p, e, q) in enumerate(zip(*prints)):
+        if p and e and q:
+            checked += 1
+            assert (got[i].fingerprint, got[i].edited_fingerprint) == (show(p), show(e)), i
+            assert (got[i].near_edited, got[i].near_next) == (brute_likeness(p, e), brute_likeness(p, q)), i
+    assert checked >= 60
+    assert np.mean([x.near_edited for x in got.values()]) > np.mean([x.near_next for x in got.values()]) + 0.2
+
+
+@pytest.mark.parametrize("kind", ["dense", "sparse", "clustered", "hot"])
+def test_next_texts_for_any_ids(spark, monkeypatch, kind):
+    """Dense, sparse and clustered ids, and ids of which one, or none, has a third of the rows; no bucket holds very many."""
+    monkeypatch.setattr(imatch, "BUCKET", 8)
+    r = random.Random(8)
+    ids = {
+        "dense": list(range(900)),
+        "sparse": [r.randint(-(1 << 63), (1 << 63) - 1) for _ in range(900)],
+        "clustered": [*range(300), *range(1 << 40, (1 << 40) + 300), *(r.randint(0, 1 << 62) for _ in range(300))],
+        "hot": [7 if i % 3 == 0 else None if i % 3 == 1 else i for i in range(900)],
+    }[kind]
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = imatch.with_next(d).select("bucket", "doc_id", "text", "nxt").collect()
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, xx(x[1].encode())))
+    assert {x.text: x.nxt for x in got} == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+    assert max(Counter(x.bucket for x in got).values()) <= 120
+
+
 def test_following_crosses_buckets(spark):
     r = random.Random(3)
-    keys = sorted({r.randint(-(1 << 40), 1 << 40) for _ in range(40)} | set(range(100)) | {511, 512, 513, 1 << 20})
+    keys = sorted({r.randint(-(1 << 60), 1 << 60) for _ in range(40)} | {r.randint(-(1 << 40), 1 << 40) for _ in range(40)} | set(range(100)) | {511, 512, 513, 1 << 20})
     got = dict(imatch.following(spark.createDataFrame([(k,) for k in keys], "k long")).collect())
     assert got == dict(zip(keys, [*keys[1:], None]))
 
@@ -488,10 +568,11 @@ def edited(r, text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("pairs", [64, 4])
-def test_similar_documents_are_grouped(spark, docs, monkeypatch, pairs):
-    """A few edited words, or a long common part of unlike texts; with a limit of four sets clusters go through leaders."""
+@pytest.mark.parametrize("pairs, block", [(64, 4096), (4, 4096), (2, 6)])
+def test_similar_documents_are_grouped(spark, docs, monkeypatch, pairs, block):
+    """A few edited words, or a long common part of unlike texts; with a small limit keys are compared in place, in blocks."""
     monkeypatch.setattr(similar, "PAIRS", pairs)
+    monkeypatch.setattr(similar, "BLOCK", block)
     r, texts = random.Random(5), list(dict.fromkeys(TEXTS[:7] + TEXTS[9:]))
     for k in range(12):
         base = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(150))
