@@ -13,7 +13,8 @@ PRUNE_STRATEGIES = ("simple", "heuristic")
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """m: links of a node above the base layer; m0: in the base layer (2 m if None); ef_construction: beam of an insert."""
+    """m: links of a node above the base layer; m0: in the base layer (2 m if None); ef_construction: candidates of an insert;
+    shards: by the number of rows if None."""
 
     m: int = 16
     m0: int | None = None
@@ -22,7 +23,7 @@ class IndexConfig:
     extend_candidates: bool = False
     keep_pruned: bool = True
     prune_strategy: str = "simple"
-    shards: int = 1
+    shards: int | None = None
     seed: int = 0
 
     def __post_init__(self):
@@ -36,7 +37,7 @@ class IndexConfig:
             raise InvalidConfig("m0 must be at least m")
         if self.prune_strategy not in PRUNE_STRATEGIES:
             raise InvalidConfig(f"prune_strategy must be one of {PRUNE_STRATEGIES}")
-        if self.shards < 1:
+        if self.shards is not None and self.shards < 1:
             raise InvalidConfig("shards must be at least 1")
 
     def max_links(self, layer: int) -> int:
@@ -84,7 +85,7 @@ class Builder:
     def prune_strategy(self, value: str) -> Builder:
         return self._with(prune_strategy=value)
 
-    def shards(self, value: int) -> Builder:
+    def shards(self, value: int | None) -> Builder:
         return self._with(shards=value)
 
     def seed(self, value: int) -> Builder:

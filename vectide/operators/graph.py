@@ -1,12 +1,12 @@
 """Approximate nearest neighbours: navigable small-world graphs, one for each shard of the table.
 
-A shard is built one row after another in ascending id, so a build can be repeated. Every search visits all shards.
+A shard is built in ascending id, so a build can be repeated. Every search visits all shards; there the queries of a batch
+walk together, so that a step is a few operations on arrays.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from ..arrow import matrix
 from ..config import IndexConfig
-from ..errors import DimensionMismatch, IncompatibleIndex, InvalidConfig, ReadOnly, ZeroK
-from ..functions.metrics import Metric
+from ..errors import IncompatibleIndex, InvalidConfig, ReadOnly, ZeroK
+from ..functions.metrics import FIRST_CUSTOM_ID, Metric
 from ..table import VectorTable
 from .quantize import Codec
-from .search import top_k
+from .search import query_lots, top_k
+
+#: Rows of a shard where the number of shards isn't set; nodes whose neighbours are chosen at once; marks of visited nodes.
+SHARD_ROWS, BATCH, VISITED = 8192, 32, 32 << 20
 
 NODES = "shard int, id long, vector array<double>, level int, links array<array<long>>, dists array<array<float>>"
 
@@ -33,169 +36,393 @@ def level_of(id: int, seed: int, m: int) -> int:
     return int(-math.log(u) / math.log(m))
 
 
+def pairs(metric: Metric) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Distances of the rows of one matrix to those of another, by differences as the metric has them."""
+
+    def cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        both = np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", v, v))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(both == 0, 1.0, 1 - np.clip(np.einsum("ij,ij->i", q, v) / both, -1.0, 1.0))
+
+    def squared(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        d = v - q
+        return np.einsum("ij,ij->i", d, d)
+
+    known = {
+        "sqeuclidean": squared,
+        "euclidean": lambda q, v: np.sqrt(squared(q, v)),
+        "cosine": cosine,
+        "dot": lambda q, v: 1 - np.einsum("ij,ij->i", q, v),
+        "manhattan": lambda q, v: np.abs(v - q).sum(axis=1),
+    }
+    if metric.id < FIRST_CUSTOM_ID and metric.name in known:
+        return known[metric.name]
+    return lambda q, v: np.array([metric.kernel(x, y[None])[0] for x, y in zip(q, v)])
+
+
+def rough(metric: Metric, q: np.ndarray, v: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
+    """score(rows of q, rows of v): pairs() in single precision, squared if Euclidean; None where that isn't enough."""
+    if metric.id >= FIRST_CUSTOM_ID or not (np.abs(q).max(initial=0) < 1e15 and np.abs(v).max(initial=0) < 1e15):
+        return None
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        n = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+    if metric.name == "cosine":
+        q, v = unit(q), unit(v)
+    q, v = q.astype(np.float32), v.astype(np.float32)
+    if metric.name in ("cosine", "dot"):
+        return lambda who, at: 1 - np.einsum("ij,ij->i", q[who], v[at])
+    if metric.name in ("euclidean", "sqeuclidean"):
+
+        def squared(who: np.ndarray, at: np.ndarray) -> np.ndarray:
+            d = v[at]
+            d -= q[who]
+            return np.einsum("ij,ij->i", d, d)
+
+        return squared
+    return None
+
+
+def _among(metric: Metric, x: np.ndarray) -> np.ndarray:
+    """Distances between all rows of each matrix of a stack, squared if Euclidean, good enough to tell which of two is larger."""
+    if metric.id < FIRST_CUSTOM_ID and metric.name in ("sqeuclidean", "euclidean"):
+        x = x - x[:, :1]  # near each other, so that little cancels
+        if x.max(initial=0) - x.min(initial=0) < 1e15:
+            x = x.astype(np.float32)
+        n = np.einsum("bij,bij->bi", x, x)
+        d = x @ x.transpose(0, 2, 1)
+        d *= -2
+        d += n[:, :, None]
+        d += n[:, None, :]
+        return d
+    if metric.id < FIRST_CUSTOM_ID and metric.name in ("cosine", "dot"):
+        if metric.name == "cosine":
+            n = np.sqrt(np.einsum("bij,bij->bi", x, x))[:, :, None]
+            x = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+        return 1 - x @ x.transpose(0, 2, 1)
+    return np.stack([np.stack([metric.kernel(row, y) for row in y]) for y in x])
+
+
+@dataclass
+class Layer:
+    """The nodes of a layer (places), where each is among them, and a row of neighbours (places, -1 behind the last) for each."""
+
+    nodes: np.ndarray
+    row: np.ndarray
+    near: np.ndarray
+    dist: np.ndarray
+    count: np.ndarray
+
+    @classmethod
+    def empty(cls, most: int) -> Layer:
+        return cls(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros((0, most), np.int32), np.zeros((0, most), np.float32), np.zeros(0, np.int32))
+
+    def grow(self, total: int, nodes: np.ndarray) -> None:
+        """Adds nodes without links to a layer of a graph that has now so many nodes."""
+        old, k = len(self.nodes), len(nodes)
+        row = np.full(total, -1, dtype=np.int32)
+        row[: len(self.row)] = self.row
+        row[nodes] = np.arange(old, old + k)
+        most = self.near.shape[1]
+        self.nodes, self.row = np.concatenate([self.nodes, nodes.astype(np.int32)]), row
+        self.near = np.concatenate([self.near, np.full((k, most), -1, np.int32)])
+        self.dist = np.concatenate([self.dist, np.full((k, most), np.inf, np.float32)])
+        self.count = np.concatenate([self.count, np.zeros(k, np.int32)])
+
+
 class Graph:
-    """One shard: places are numbers from 0 in insertion order."""
+    """One shard: places are numbers from 0 in insertion order, which is that of ids.
+
+    A new node's candidates are the ef_construction nearest of the earlier nodes of a layer, found by their distances, as
+    shards are bounded; so they don't depend on the links, and a graph that has grown equals one built at once.
+    """
 
     def __init__(self, dim: int, metric: Metric, config: IndexConfig):
         self.dim, self.metric, self.config = dim, metric, config
-        self.ids: list[int] = []
+        self.ids = np.zeros(0, dtype=np.int64)
         self.vectors = np.zeros((0, dim))
-        self.links: list[list[list[int]]] = []
-        self.dists: list[list[list[float]]] = []
-        self.entry = -1
-
-    def distances(self, q: np.ndarray, at: list[int]) -> np.ndarray:
-        return self.metric.kernel(q, self.vectors[at])
-
-    def reserve(self, n: int) -> None:
-        if n > len(self.vectors):
-            grown = np.zeros((max(n, 2 * len(self.vectors)), self.dim))
-            grown[: len(self.vectors)] = self.vectors
-            self.vectors = grown
-
-    def descend(self, score: Callable, at: int, d: float, top: int, to: int) -> tuple[int, float]:
-        """The nearest node that walking downhill reaches on the layers from top to above to."""
-        for layer in range(top, to, -1):
-            moved = True
-            while moved:
-                moved = False
-                near = self.links[at][layer]
-                if near:
-                    got = score(near)
-                    i = int(got.argmin())
-                    if got[i] < d:
-                        at, d, moved = near[i], float(got[i]), True
-        return at, d
+        self.levels = np.zeros(0, dtype=np.int32)
+        self.layers: list[Layer] = []
 
-    def beam(self, score: Callable, start: list[tuple[float, int]], ef: int, layer: int, ok: np.ndarray | None = None, seen_out: list[int] | None = None) -> list[tuple[float, int]]:
-        """The ef nearest that a best-first walk finds, ascending. Nodes that aren't ok are walked through but not returned.
+    # building
 
-        The walk ends at a node farther than the worst result; with ok only once the results are full too.
+    def choose(self, dist: np.ndarray, between: np.ndarray, most: int, diverse: bool) -> list[np.ndarray]:
+        """For each row of ascending candidate distances (inf behind the last) the places of those that are taken.
+
+        The nearest, or those nearer to the node than to any taken before; then, with keep_pruned, the nearest others.
         """
-        seen = {i for _, i in start}
-        todo = list(start)
-        heapq.heapify(todo)
-        best = [(-d, -i) for d, i in start if ok is None or ok[i]]
-        heapq.heapify(best)
-        refused = sum(ok is not None and not ok[i] for _, i in start)
-        while todo:
-            d, at = heapq.heappop(todo)
-            if best and d > -best[0][0] and (ok is None or len(best) >= ef):
-                break
-            new = [x for x in self.links[at][layer] if x not in seen]
-            if not new:
-                continue
-            seen.update(new)
-            for x, dx in zip(new, score(new).tolist()):
-                if len(best) < ef or dx < -best[0][0]:
-                    heapq.heappush(todo, (dx, x))
-                    if ok is None or ok[x]:
-                        heapq.heappush(best, (-dx, -x))
-                        if len(best) > ef:
-                            heapq.heappop(best)
-                    else:
-                        refused += 1
-                elif ok is not None and not ok[x]:
-                    refused += 1
-        if seen_out is not None:
-            seen_out.append(refused)
-        return sorted((-d, -i) for d, i in best)
-
-    def choose(self, found: list[tuple[float, int]], most: int, diverse: bool) -> list[tuple[float, int]]:
-        """At most so many of the candidates: the nearest, or those nearer to the node than to any chosen before."""
-        if len(found) <= most:
-            return found
-        if not diverse:
-            return found[:most]
-        out: list[tuple[float, int]] = []
-        spare: list[tuple[float, int]] = []
-        for d, x in found:
-            if len(out) >= most:
-                break
-            if out and (self.distances(self.vectors[x], [y for _, y in out]) <= d).any():
-                spare.append((d, x))
+        rows, c = dist.shape
+        real = np.isfinite(dist)
+        enough = real.sum(axis=1) <= most
+        taken = np.zeros((rows, c), dtype=bool)
+        if diverse and not enough.all():
+            if self.metric.name == "euclidean" and self.metric.id < FIRST_CUSTOM_ID:
+                dist = dist * dist  # as between has it
+            n = np.zeros(rows, dtype=np.int64)
+            for t in range(c):
+                close = (taken & (between[:, t] <= dist[:, t, None])).any(axis=1)
+                taken[:, t] = real[:, t] & (n < most) & ~close
+                n += taken[:, t]
+            if self.config.keep_pruned:
+                spare = real & ~taken
+                taken |= spare & (np.cumsum(spare, axis=1) <= (most - n)[:, None])
+        else:
+            taken = real & (np.cumsum(real, axis=1) <= most)
+        taken[enough] = real[enough]
+        return [np.flatnonzero(x) for x in taken]
+
+    def _link(self, layer: Layer, most: int, node: int, to: np.ndarray, dist: np.ndarray) -> None:
+        """Links a new node with those chosen, and these with it; a list that is too long loses its farthest, or what isn't diverse."""
+        at = layer.row[node]
+        k = len(to)
+        layer.near[at, :k], layer.dist[at, :k], layer.count[at] = to, dist, k
+        rows = layer.row[to]
+        full = layer.count[rows] >= most
+        free = rows[~full]
+        layer.near[free, layer.count[free]], layer.dist[free, layer.count[free]] = node, dist[~full]
+        layer.count[free] += 1
+        for r, d in zip(rows[full].tolist(), dist[full].tolist()):
+            if self.config.prune_strategy == "heuristic":
+                near, far = np.append(layer.near[r], node), np.append(layer.dist[r], np.float32(d))
+                order = np.lexsort((near, far))
+                near, far = near[order], far[order]
+                kept = self.choose(far[None], _among(self.metric, self.vectors[near][None]), most, True)[0]
+                layer.near[r, len(kept) :], layer.dist[r, len(kept) :] = -1, np.inf
+                layer.near[r, : len(kept)], layer.dist[r, : len(kept)], layer.count[r] = near[kept], far[kept], len(kept)
             else:
-                out.append((d, x))
-        if self.config.keep_pruned:
-            out += spare[: most - len(out)]
-        return out
+                j = int(layer.dist[r].argmax())
+                if d < layer.dist[r, j]:
+                    layer.near[r, j], layer.dist[r, j] = node, d
+
+    def _candidates(self, layer: Layer, node: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest earlier nodes of a layer, ascending by distance and place."""
+        earlier = layer.nodes[: np.searchsorted(layer.nodes, node)]
+        v = self.vectors[:node] if len(earlier) == node else self.vectors[earlier]
+        d = self.metric.kernel(self.vectors[node], v) if len(earlier) else np.zeros(0)
+        ef = self.config.ef_construction
+        if len(d) > ef:
+            at = np.flatnonzero(d <= np.partition(d, ef - 1)[ef - 1])
+            earlier, d = earlier[at], d[at]
+        order = np.lexsort((earlier, d))[:ef]
+        return earlier[order], d[order]
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """Inserts rows in ascending id."""
+        c, first = self.config, len(self.ids)
+        self.ids, self.vectors = np.concatenate([self.ids, ids]), np.concatenate([self.vectors, vectors])
+        levels = np.array([level_of(i, c.seed, c.m) for i in ids.tolist()], dtype=np.int32)
+        self.levels = np.concatenate([self.levels, levels])
+        while len(self.layers) <= int(self.levels.max(initial=-1)):
+            self.layers.append(Layer.empty(c.max_links(len(self.layers))))
+        for number, layer in enumerate(self.layers):
+            layer.grow(len(self.ids), first + np.flatnonzero(levels >= number))
+        step = 1 if c.use_heuristic and c.extend_candidates else BATCH
+        for number, layer in enumerate(self.layers):
+            most, new = c.max_links(number), layer.nodes[np.searchsorted(layer.nodes, first) :]
+            for at in range(0, len(new), step):
+                self._insert(layer, most, new[at : at + step])
+
+    def _insert(self, layer: Layer, most: int, nodes: np.ndarray) -> None:
+        c = self.config
+        found = [self._candidates(layer, int(x)) for x in nodes]
+        if c.use_heuristic and c.extend_candidates and len(found[0][0]):
+            near, d = found[0]
+            more = np.setdiff1d(layer.near[layer.row[near]], np.append(near, -1))
+            near, d = np.append(near, more), np.append(d, self.metric.kernel(self.vectors[int(nodes[0])], self.vectors[more]) if len(more) else d[:0])
+            order = np.lexsort((near, d))
+            found = [(near[order], d[order])]
+        width = max(c.ef_construction, len(found[0][0]))
+        near, dist = np.zeros((len(nodes), width), np.int32), np.full((len(nodes), width), np.inf)
+        for i, (x, d) in enumerate(found):
+            near[i, : len(x)], dist[i, : len(x)] = x, d
+        between = _among(self.metric, self.vectors[near]) if c.use_heuristic and np.isfinite(dist[:, min(most, width - 1)]).any() else np.zeros((len(nodes), width, 1))
+        for i, (node, kept) in enumerate(zip(nodes.tolist(), self.choose(dist, between, most, c.use_heuristic))):
+            if len(kept):
+                self._link(layer, most, node, near[i, kept], dist[i, kept].astype(np.float32))
+
+    # searching
+
+    def search(self, queries: np.ndarray, score: Callable, k: int, ef: int, ok: np.ndarray | None = None, walk: Callable | None = None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For each query the places and distances of the k nearest that a beam of ef finds, and how many refused nodes it met.
+
+        score(query numbers, places) gives distances; walk does so roughly, for all but the results. All queries walk together, a step of each at a time. Nodes that
+        aren't ok are walked through but not returned; then a walk ends once its nearest open node is farther than ef
+        results.
+        """
+        n, ef = len(self.ids), min(max(ef, k), max(len(self.ids), 1))
+        places: list[np.ndarray] = []
+        dists: list[np.ndarray] = []
+        refused = np.zeros(len(queries), dtype=np.int64)
+        if not n:
+            return [np.zeros(0, np.int64)] * len(queries), [np.zeros(0)] * len(queries), refused
+        lot = max(1, VISITED // n)
+        for first in range(0, len(queries), lot):
+            q = np.arange(first, min(first + lot, len(queries)))
+            at, d = self._descend(walk or score, q)
+            width = ef if ok is None else min(n, int(2 * ef / max(ok.mean(), 1e-9)) + 64)
+            got = self._beam(walk or score, q, at, d, ef, width, ok)
+            while ok is not None and got[3].any():  # some lists were too short to go on
+                again = np.flatnonzero(got[3])
+                width = min(n, 4 * width)
+                more = self._beam(walk or score, q[again], at[again], d[again], ef, width, ok)
+                for j, i in enumerate(again):
+                    got[0][i], got[1][i], got[2][i], got[3][i] = more[0][j], more[1][j], more[2][j], more[3][j]
+            if walk is not None:
+                sizes = [len(x) for x in got[0]]
+                got = (got[0], np.split(score(np.repeat(q, sizes), np.concatenate(got[0])), np.cumsum(sizes)[:-1]), got[2], got[3])
+            for x, y in zip(got[0], got[1]):
+                order = np.lexsort((x, y))[:k]
+                places.append(x[order])
+                dists.append(y[order])
+            refused[q] = got[2]
+        return places, dists, refused
+
+    def _descend(self, score: Callable, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest nodes that walking downhill reaches above the base layer."""
+        entry = int(self.levels.argmax())
+        at = np.full(len(q), entry)
+        d = score(q, at)
+        for layer in self.layers[:0:-1]:
+            moving = np.arange(len(q))
+            while len(moving):
+                near = layer.near[layer.row[at[moving]]]
+                r, c = np.nonzero(near >= 0)
+                if not len(r):
+                    break
+                all_d = np.full(near.shape, np.inf)
+                all_d[r, c] = score(q[moving[r]], near[r, c])
+                best = all_d.argmin(axis=1)
+                best_d = all_d[np.arange(len(moving)), best]
+                better = best_d < d[moving]
+                moving, best, best_d, near = moving[better], best[better], best_d[better], near[better]
+                at[moving], d[moving] = near[np.arange(len(moving)), best], best_d
+        return at, d
 
-    def insert(self, id: int, vector: np.ndarray) -> None:
-        me, c = len(self.ids), self.config
-        self.reserve(me + 1)
-        self.vectors[me] = vector
-        self.ids.append(id)
-        level = level_of(id, c.seed, c.m)
-        self.links.append([[] for _ in range(level + 1)])
-        self.dists.append([[] for _ in range(level + 1)])
-        if self.entry < 0:
-            self.entry = me
-            return
-        top = len(self.links[self.entry]) - 1
-        score = lambda at: self.distances(vector, at)
-        at, d = self.descend(score, self.entry, float(score([self.entry])[0]), top, level)
-        start = [(d, at)]
-        for layer in range(min(top, level), -1, -1):
-            found = self.beam(score, start, c.ef_construction, layer)
-            start = found
-            options = found
-            if c.use_heuristic and c.extend_candidates:
-                have = {x for _, x in found}
-                more = sorted({y for _, x in found for y in self.links[x][layer]} - have - {me})
-                options = sorted(found + list(zip(score(more).tolist(), more))) if more else found
-            most = c.max_links(layer)
-            for dx, x in self.choose(options, most, c.use_heuristic):
-                self.links[me][layer].append(x)
-                self.dists[me][layer].append(dx)
-                links, dists = self.links[x][layer], self.dists[x][layer]
-                links.append(me)
-                dists.append(dx)
-                if len(links) > most:
-                    kept = self.choose(sorted(zip(dists, links)), most, c.prune_strategy == "heuristic")
-                    links[:], dists[:] = [y for _, y in kept], [e for e, _ in kept]
-        if level > top:
-            self.entry = me
-
-    def search(self, score: Callable, k: int, ef: int, ok: np.ndarray | None, refused: list[int] | None = None) -> list[tuple[float, int]]:
-        if self.entry < 0:
-            return []
-        d = float(score([self.entry])[0])
-        at, d = self.descend(score, self.entry, d, len(self.links[self.entry]) - 1, 0)
-        return self.beam(score, [(d, at)], max(ef, k), 0, ok, refused)[:k]
+    def _beam(self, score: Callable, q: np.ndarray, at: np.ndarray, d: np.ndarray, ef: int, width: int, ok: np.ndarray | None):
+        """(places, distances, refused, cut) of each query: best-first in the base layer, with lists of the width nearest seen."""
+        b, n, layer = len(q), len(self.ids), self.layers[0]
+        seen = np.zeros((b, n), dtype=bool)
+        seen[np.arange(b), at] = True
+        place, dist, done = np.full((b, width), -1), np.full((b, width), np.inf), np.ones((b, width), dtype=bool)
+        place[:, 0], dist[:, 0], done[:, 0] = at, d, False
+        lost = np.zeros(b, dtype=bool)
+        alive = np.arange(b)
+        most = layer.near.shape[1]
+        at_once = max(1, min(16, width // 16))  # open nodes of a walk that a step takes
+        while len(alive):
+            open_ = np.where(done[alive], np.inf, dist[alive])
+            best = np.argpartition(open_, at_once - 1, axis=1)[:, :at_once] if at_once < width else np.arange(width)[None].repeat(len(alive), axis=0)
+            best_d = np.take_along_axis(open_, best, axis=1)
+            go = np.isfinite(best_d)
+            if ok is not None:
+                mine = np.where((place[alive] >= 0) & ok[place[alive]], dist[alive], np.inf)
+                go &= best_d <= np.partition(mine, ef - 1, axis=1)[:, ef - 1 : ef]
+            some = go.any(axis=1)
+            alive, best, go = alive[some], best[some], go[some]
+            if not len(alive):
+                break
+            done[alive[:, None], best] |= go
+            near = np.full((len(alive), at_once * most), -1)
+            for j in range(at_once):
+                r = np.flatnonzero(go[:, j])
+                own = layer.near[place[alive[r], best[r, j]]]
+                own = np.where((own >= 0) & ~seen[alive[r, None], own], own, -1)
+                i, c = np.nonzero(own >= 0)
+                seen[alive[r[i]], own[i, c]] = True
+                near[r, j * most : (j + 1) * most] = own
+            near = near[:, (near >= 0).any(axis=0)]
+            r, c = np.nonzero(near >= 0)
+            if not len(r):
+                continue
+            new = np.full(near.shape, np.inf)
+            new[r, c] = score(q[alive[r]], near[r, c])
+            all_d = np.concatenate([dist[alive], new], axis=1)
+            keep = np.argpartition(all_d, width - 1, axis=1)[:, :width]
+            if ok is not None:
+                lost[alive] |= np.isfinite(all_d).sum(axis=1) > width
+            dist[alive] = np.take_along_axis(all_d, keep, axis=1)
+            place[alive] = np.take_along_axis(np.concatenate([place[alive], near], axis=1), keep, axis=1)
+            done[alive] = np.take_along_axis(np.concatenate([done[alive], near < 0], axis=1), keep, axis=1)
+        good = np.isfinite(dist)
+        refused = np.zeros(b, dtype=np.int64)
+        if ok is not None:
+            good &= ok[place]
+            refused = (seen & ~ok).sum(axis=1)
+            lost &= good.sum(axis=1) < ef
+            lost &= width < n
+        return [p[g] for p, g in zip(place, good)], [x[g] for x, g in zip(dist, good)], refused, lost
 
     # as rows
 
     def table(self, shard: int) -> pa.Table:
-        ids = np.array(self.ids, dtype=np.int64)
+        n = len(self.ids)
+        node = np.repeat(np.arange(n), self.levels + 1)
+        start = np.concatenate([[0], np.cumsum(self.levels + 1)])
+        counts = np.zeros(len(node), dtype=np.int64)
+        for number, layer in enumerate(self.layers):
+            counts[start[layer.nodes] + number] = layer.count
+        inner = np.concatenate([[0], np.cumsum(counts)])
+        near, dist = np.zeros(inner[-1], np.int64), np.zeros(inner[-1], np.float32)
+        for number, layer in enumerate(self.layers):
+            used = np.arange(layer.near.shape[1]) < layer.count[:, None]
+            to = (inner[start[layer.nodes] + number][:, None] + np.arange(layer.near.shape[1]))[used]
+            near[to], dist[to] = self.ids[layer.near[used]], layer.dist[used]
+
+        def nested(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), values))
+
+        flat = pa.array(self.vectors.ravel())
         return pa.table(
             {
-                "shard": pa.array([shard] * len(ids), pa.int32()),
-                "id": pa.array(ids),
-                "vector": pa.array(list(self.vectors[: len(ids)]), pa.list_(pa.float64())),
-                "level": pa.array([len(x) - 1 for x in self.links], pa.int32()),
-                "links": pa.array([[ids[x].tolist() for x in layers] for layers in self.links], pa.list_(pa.list_(pa.int64()))),
-                "dists": pa.array(self.dists, pa.list_(pa.list_(pa.float32()))),
+                "shard": pa.array(np.full(n, shard, np.int32)),
+                "id": pa.array(self.ids),
+                "vector": pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * self.dim, pa.int32()), flat),
+                "level": pa.array(self.levels),
+                "links": nested(pa.array(near)),
+                "dists": nested(pa.array(dist)),
             }
         )
 
     @classmethod
     def of(cls, rows: pa.Table, dim: int, metric: Metric, config: IndexConfig) -> Graph:
-        rows = rows.sort_by("id")
+        rows = rows.sort_by("id").combine_chunks()
         out = cls(dim, metric, config)
-        ids = rows.column("id").to_numpy()
-        out.ids = ids.tolist()
+        out.ids = rows.column("id").to_numpy()
         out.vectors = matrix(rows.column("vector"), dim)
-        place = lambda xs: np.searchsorted(ids, np.asarray(xs, dtype=np.int64)).tolist()
-        out.links = [[place(x) for x in layers] for layers in rows.column("links").to_pylist()]
-        out.dists = rows.column("dists").to_pylist() if "dists" in rows.column_names else [[[] for _ in x] for x in out.links]
-        levels = np.array([len(x) for x in out.links])
-        out.entry = int(levels.argmax()) if len(levels) else -1
+        links = rows.column("links").combine_chunks()
+        links = links.chunk(0) if isinstance(links, pa.ChunkedArray) else links
+        outer = links.offsets.to_numpy().astype(np.int64)
+        lists = links.values
+        inner = lists.offsets.to_numpy().astype(np.int64)
+        values = lists.values.to_numpy(zero_copy_only=False)
+        dists = None
+        if "dists" in rows.column_names:
+            column = rows.column("dists").combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            dists = column.flatten().flatten().to_numpy(zero_copy_only=False)
+        base = inner[outer[0]] if len(outer) and len(inner) else 0
+        out.levels = (np.diff(outer) - 1).astype(np.int32)
+        place = np.searchsorted(out.ids, values)
+        if len(values) and (out.ids[np.minimum(place, len(out.ids) - 1)] != values)[base : inner[outer[-1]]].any():
+            raise IncompatibleIndex("a link leads to a node that isn't there")
+        for number in range(int(out.levels.max(initial=-1)) + 1):
+            nodes = np.flatnonzero(out.levels >= number)
+            first, last = inner[outer[nodes] + number], inner[outer[nodes] + number + 1]
+            layer = Layer.empty(max(config.max_links(number), int((last - first).max(initial=0))))
+            layer.grow(len(out.ids), nodes)
+            layer.count = (last - first).astype(np.int32)
+            used = np.arange(layer.near.shape[1]) < layer.count[:, None]
+            at = (first[:, None] + np.arange(layer.near.shape[1]))[used]
+            layer.near[used] = place[at]
+            if dists is not None:
+                layer.dist[used] = dists[at - base]
+            out.layers.append(layer)
         return out
 
 
-def _hits(query_id: int, graph: Graph, got: list[tuple[float, int]], refused: int) -> pa.Table:
-    n = len(got)
-    return pa.table({"query_id": pa.array([query_id] * n, pa.int64()), "id": pa.array([graph.ids[i] for _, i in got], pa.int64()), "distance": pa.array([d for d, _ in got], pa.float64()), "refused": pa.array([refused] * n, pa.int64())})
+_FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64()), ("refused", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -209,20 +436,17 @@ class GraphIndex:
     read_only: bool = False
     deleted: DataFrame | None = None
 
-    def search(self, queries: DataFrame, k: int, ef: int, where: Column | str | None = None, payload: DataFrame | None = None, codes: DataFrame | None = None, codec: Codec | None = None, counters: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, ef: int, where: Column | str | None = None, payload: DataFrame | None = None, codes: DataFrame | None = None, codec: Codec | None = None, counters: bool = False, scorer: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
         """(query_id, rank, id, distance) for queries (query_id, vector): the nearest that beams of ef find in each shard.
 
         where is a condition on id and the columns of payload (id, ...); rows it refuses, and removed ones, are walked
-        through but not returned. With codes (id, codes, scale) and their codec distances come from the codes. counters
-        adds refused, how often a refused row was met. Queries are sent to each shard; they are meant to be a batch of
-        at most thousands.
+        through but not returned. With codes (id, codes, scale) and their codec distances come from the codes; there must
+        be codes for the nodes and no others. With a scorer(vector of a query, ids) they are what it returns. counters
+        adds refused, how many refused rows the walks of a query met in all shards. Queries go to every shard, at most
+        QUERY_COMPONENTS numbers at a time; each further lot is another pass.
         """
         if k < 1:
             raise ZeroK()
-        asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toPandas()
-        for q in asked["vector"]:
-            if self.dim and len(q) != self.dim:
-                raise DimensionMismatch(self.dim, len(q))
         if codec is not None and (codec.dim != self.dim or codec.metric != self.metric.name):
             raise IncompatibleIndex("the codes are of another dimension or metric than the graph")
         nodes = self.nodes.select("shard", "id", "vector", "level", "links")
@@ -237,37 +461,53 @@ class GraphIndex:
         masked = where is not None or self.deleted is not None
         nodes = nodes.select("shard", "id", "vector", "level", "links", ok.alias("ok"))
         if codes is not None:
+            both = self.nodes.select("id").join(codes.select("id", F.lit(True).alias("__coded")), "id", "full").agg(F.count("*"), F.count("__coded")).first()
+            if both[0] != both[1] or both[0] != self.nodes.count():
+                raise IncompatibleIndex("the graph and the codes are not of the same rows")
             nodes = nodes.join(codes.select("id", "codes", "scale"), "id")
-        q = np.array(asked["vector"].tolist(), dtype=np.float64).reshape(len(asked), -1)
-        numbers, dim, metric, config = asked["query_id"].tolist(), self.dim, self.metric, self.config
-
-        def run(rows: pa.Table) -> pa.Table:
-            rows = rows.sort_by("id")
-            graph = Graph.of(rows, dim, metric, config)
-            mask = rows.column("ok").to_numpy(zero_copy_only=False) if masked else None
-            if codec is not None:
-                packed = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(rows.num_rows, codec.row_bytes)
-                stood = codec.levels[codec.unpack(packed)] * rows.column("scale").to_numpy()[:, None]
-            out = []
-            for number, x in zip(numbers, q):
-                refused: list[int] = []
-                if codec is None:
-                    score = lambda at, x=x: graph.distances(x, at)
+        dim, metric, config = self.dim, self.metric, self.config
+
+        def searched(numbers: np.ndarray, q: np.ndarray):
+            def run(rows: pa.Table) -> pa.Table:
+                rows = rows.sort_by("id")
+                graph, walk = Graph.of(rows, dim, metric, config), None
+                mask = rows.column("ok").to_numpy() if masked else None
+                if scorer is not None:
+
+                    def score(who: np.ndarray, at: np.ndarray) -> np.ndarray:
+                        out = np.empty(len(at))
+                        for i in np.unique(who):
+                            out[who == i] = scorer(q[i], graph.ids[at[who == i]])
+                        return out
+
+                elif codec is not None:
+                    packed = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(rows.num_rows, codec.row_bytes)
+                    stood = codec.levels[codec.unpack(packed)] * rows.column("scale").to_numpy()[:, None]
+                    turned = np.array([codec.prepare(x).rotated for x in q])
+                    score = lambda who, at: 1 - np.einsum("ij,ij->i", stood[at], turned[who])
                 else:
-                    turned = codec.prepare(x).rotated
-                    score = lambda at, turned=turned: 1 - stood[at] @ turned
-                got = graph.search(score, k, ef, mask, refused)
-                out.append(_hits(number, graph, got, refused[0] if refused else 0))
-            return pa.concat_tables(out) if out else _hits(0, graph, [], 0)
-
-        found = nodes.groupBy("shard").applyInArrow(run, "query_id long, id long, distance double, refused long")
-        ranked = top_k(found, k)
+                    between, walk = pairs(metric), rough(metric, q, graph.vectors)
+                    score = lambda who, at: between(q[who], graph.vectors[at])
+                places, dists, refused = graph.search(q, score, k, ef, mask, walk)
+                sizes = [len(x) for x in places]
+                told = np.flatnonzero(refused)
+                none = pa.nulls(len(told), pa.int64())
+                hits = pa.table([np.repeat(numbers, sizes), graph.ids[np.concatenate([*places, np.zeros(0, np.int64)]).astype(np.int64)], np.concatenate([*dists, np.zeros(0)]), np.zeros(sum(sizes), np.int64)], schema=_FOUND)
+                return pa.concat_tables([hits, pa.table([numbers[told], none, none.cast(pa.float64()), refused[told]], schema=_FOUND)])
+
+            return run
+
+        found = None
+        for numbers, q in query_lots(queries, dim):
+            own = nodes.groupBy("shard").applyInArrow(searched(numbers, q), "query_id long, id long, distance double, refused long")
+            found = own if found is None else found.unionByName(own)
+        if found is None:
+            found = nodes.sparkSession.createDataFrame([], "query_id long, id long, distance double, refused long")
+        ranked = top_k(found.where("id is not null"), k)
         if not counters:
             return ranked
-        # a shard tells the same number on each of its rows
-        shards = self.nodes.select("id", "shard")
-        met = found.join(shards, "id").groupBy("query_id", "shard").agg(F.max("refused").alias("r")).groupBy("query_id").agg(F.sum("r").alias("refused"))
-        return ranked.join(met, "query_id", "left")
+        met = found.where("id is null").groupBy("query_id").agg(F.sum("refused").alias("refused"))  # also of shards without results
+        return ranked.join(met, "query_id", "left").withColumn("refused", F.coalesce("refused", F.lit(0).cast("long")))
 
     def insert(self, rows: DataFrame) -> GraphIndex:
         """Links new rows (id, vector) into their shards, in ascending id."""
@@ -281,8 +521,7 @@ class GraphIndex:
             shard = (old if old.num_rows else added).column("shard")[0].as_py()
             if added.num_rows:
                 added = added.sort_by("id")
-                for i, v in zip(added.column("id").to_pylist(), matrix(added.column("vector"), dim)):
-                    graph.insert(i, v)
+                graph.add(added.column("id").to_numpy(), matrix(added.column("vector"), dim))
             return graph.table(shard)
 
         return replace(self, nodes=self.nodes.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(run, NODES))
@@ -327,18 +566,19 @@ def _shard(id: Column, shards: int) -> Column:
 
 
 def build(table: VectorTable, config: IndexConfig = IndexConfig()) -> GraphIndex:
-    """The graphs of a table's rows, config.shards of them, dealt out by a hash of the id. Removed rows stay removed."""
+    """The graphs of a table's rows, dealt out by a hash of the id to config.shards, or if that is None to one for every
+    SHARD_ROWS rows. Removed rows stay removed."""
     if table.dim < 1 and not table.is_empty():
         raise InvalidConfig("vectors need a dimension")
+    if config.shards is None:
+        config = replace(config, shards=max(1, -(-table.rows.count() // SHARD_ROWS)))
     rows = table.rows.select(_shard(F.col("id"), config.shards).alias("shard"), "id", F.col("vector").cast("array<double>").alias("vector"))
     dim, metric = table.dim, table.metric
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
         graph = Graph(dim, metric, config)
-        graph.reserve(group.num_rows)
-        for i, v in zip(group.column("id").to_pylist(), matrix(group.column("vector"), dim)):
-            graph.insert(i, v)
+        graph.add(group.column("id").to_numpy(), matrix(group.column("vector"), dim))
         return graph.table(group.column("shard")[0].as_py())
 
     return GraphIndex(rows.groupBy("shard").applyInArrow(run, NODES), table.dim, table.metric, config, False, table.deleted)

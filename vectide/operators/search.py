@@ -88,6 +88,26 @@ def _scan(query_ids: np.ndarray, queries: np.ndarray, k: int, m: Metric):
     return run
 
 
+def query_lots(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Queries (query_id, vector) as numbers and matrices of at most QUERY_COMPONENTS components; wrong ones are errors."""
+    held: list = []
+
+    def lot() -> tuple[np.ndarray, np.ndarray]:
+        return np.array([r[0] for r in held], dtype=np.int64), np.array([r[1] for r in held], dtype=np.float64)
+
+    for r in queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator():
+        if r[1] is None or None in r[1]:
+            raise InvalidVector(f"query {r[0]} is null or has null components")
+        if len(r[1]) != (dim or len(held[0][1] if held else r[1])):
+            raise DimensionMismatch(dim or len(held[0][1]), len(r[1]))
+        held.append(r)
+        if len(held) >= max(1, QUERY_COMPONENTS // max(dim, 1)):
+            yield lot()
+            held = []
+    if held:
+        yield lot()
+
+
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, by: str | Metric = "euclidean", where: Column | str | None = None, dim: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance): the k nearest rows of vectors (id, vector) for each query (query_id, vector).
 
@@ -102,30 +122,8 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, by: str | Metric =
     if where is not None:
         vectors = vectors.where(where)
     rows = vectors.select(F.col("id").cast("long"), "vector")
-    m, found, at = metric(by), [], 0
-    lot_size = max(1, QUERY_COMPONENTS // max(dim, 1))
-    ordered = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"))
-    lots: list[tuple[np.ndarray, np.ndarray]] = []
-    held: list = []
-
-    def close() -> None:
-        q = np.array([r[1] for r in held], dtype=np.float64)
-        if dim and q.shape[1:] != (dim,):
-            raise DimensionMismatch(dim, q.shape[-1])
-        lots.append((np.array([r[0] for r in held], dtype=np.int64), q))
-
-    for r in ordered.toLocalIterator():
-        if r[1] is None or None in r[1]:
-            raise InvalidVector(f"query {r[0]} is null or has null components")
-        if dim and len(r[1]) != dim:
-            raise DimensionMismatch(dim, len(r[1]))
-        held.append(r)
-        if len(held) >= lot_size:
-            close()
-            held = []
-    if held:
-        close()
-    for ids, q in lots:
+    m, found = metric(by), []
+    for ids, q in query_lots(queries, dim):
         found.append(rows.mapInArrow(_scan(ids, q, k, m), "query_id long, id long, distance double"))
     if not found or not dim:
         return spark.createDataFrame([], "query_id long, rank int, id long, distance double")
