@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, quoted, release
+from .common import free_name, parts, quoted, release
 
 #: Symbols of six bits, so that a model of trigrams has 2^18 entries for each language, whatever the corpus.
 SYMBOL_BITS, GRAMS = 6, 1 << 18
@@ -83,7 +83,7 @@ class Model:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in (part for whole in batches for part in parts(whole, 1)):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             own = counts.setdefault(lang, np.zeros(GRAMS, dtype=np.int64))
             ids, n = gram_counts(text.as_py())
@@ -170,8 +170,11 @@ def _mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, logli
     return pick, sure
 
 
-def _predict(languages: tuple[str, ...], table: Broadcast, steps: int, names: list[str]):
-    """table holds the log likelihoods of the languages."""
+def _predict(languages: tuple[str, ...], table: Broadcast, steps: int, names: list[str], places: list[int | None]):
+    """Rows (text, whether it has no language, other columns) to those at the places, None being the text, with what is told.
+
+    table holds the log likelihoods of the languages.
+    """
 
     def flush(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[str], list[float], list[str]]:
         sizes = [len(g) for g, _ in held]
@@ -184,34 +187,18 @@ def _predict(languages: tuple[str, ...], table: Broadcast, steps: int, names: li
         return [languages[i] for i in at], score.tolist(), told
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang, score, mix = [], [], []
-            held: list = []
-            entries = 0
-
-            def done():
-                nonlocal held, entries
-                for out, got in zip((lang, score, mix), flush(held)):
-                    out.extend(got)
-                held, entries = [], 0
-
-            skip = b.column(1).to_pylist()
-            for j, text in enumerate(b.column(0)):
-                if skip[j] or not languages:
-                    held.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                else:
-                    held.append(gram_counts(text.as_py()))
-                entries += len(held[-1][0])
-                if entries > 200_000:
-                    done() if languages else None
-            if languages and held:
-                done()
-            if not languages:
+        nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for whole in batches:
+            for b in parts(whole, 0, 1 << 20):
+                skip = b.column(1).to_pylist()
                 lang, score, mix = [None] * b.num_rows, [0.0] * b.num_rows, [""] * b.num_rows
-            lang = ["und" if s or x is None else x for x, s in zip(lang, skip)]
-            score = [0.0 if x == "und" else s for x, s in zip(lang, score)]
-            mix = ["" if x == "und" else m for x, m in zip(lang, mix)]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], names=names)
+                if languages:
+                    lang, score, mix = flush([nothing if s else gram_counts(x.as_buffer().to_pybytes()) for x, s in zip(b.column(0), skip)])
+                lang = ["und" if s or x is None else x for x, s in zip(lang, skip)]
+                score = [0.0 if x == "und" else s for x, s in zip(lang, score)]
+                mix = ["" if x == "und" else m for x, m in zip(lang, mix)]
+                kept = [b.column(0 if i is None else i) for i in places]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(mix, pa.string())], names=names)
         release()
 
     return run
@@ -229,12 +216,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str], steps: int = 12, to
     """
     taken = {x.lower() for x in told}
     out = [f for f in docs.schema if f.name in keep and f.name.lower() not in taken]
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.col("text").cast("string")
     t, none = free_name(docs, "__t"), free_name(docs, "__none")
-    rows = docs.select(text.cast("binary").alias(t), (~text.rlike(r"\p{L}")).alias(none), *quoted([f.name for f in out]))
+    same = lambda f: f.name == "text" and isinstance(f.dataType, T.StringType)  # noqa: E731  sent once
+    others = [f.name for f in out if not same(f)]
+    rows = docs.select(text.alias(t), (~F.coalesce(text.rlike(r"\p{L}"), F.lit(False))).alias(none), *quoted(others))
     new = [T.StructField(told[0], T.StringType()), T.StructField(told[1], T.DoubleType()), T.StructField(told[2], T.StringType())]
+    places = [None if same(f) else 2 + others.index(f.name) for f in out]
     table = docs.sparkSession.sparkContext.broadcast(model.log_likelihood)  # at most MOST_LANGUAGES megabytes
-    return rows.mapInArrow(_predict(model.languages, table, steps, [f.name for f in out] + list(told)), T.StructType([*out, *new]))
+    return rows.mapInArrow(_predict(model.languages, table, steps, [f.name for f in out] + list(told), places), T.StructType([*out, *new]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import mixing
-from .common import cut
+from .common import cut, release
 
 CONTEXT, END_ID = 1024, 2
 #: The strings of the vocabulary that are tokens of their own wherever a text has them.
@@ -73,6 +73,7 @@ def _tokenise(path: str, end_id: int, context: int):
                     rows, held = [], 0
             if rows:
                 yield batch(rows)
+        release()
 
     return run
 
@@ -265,6 +266,7 @@ def _tokens(path: str, end_id: int, context: int):
                     rows, held = [], 0
             if rows:
                 yield batch(rows)
+        release()
 
     return run
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 from .components import components
 
 #: Two-bit segments, so that a fingerprint is a point of {0, 1, 2}^32; two groups of 16 segments make two grids.
@@ -51,6 +51,7 @@ def _fingerprints(words: int):
             f = np.array(got, dtype=np.uint64)
             grid = f - ((f >> np.uint64(1)) & np.uint64(0x5555555555555555))  # popcounts of the segments, side by side
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f.view(np.int64)), pa.array(grid.view(np.int64))], names=["doc_id", "fp", "grid"])
+        release()
 
     return run
 
