@@ -71,11 +71,17 @@ def latency_summary(samples: DataFrame, column: str = "us", group: list[str] | N
     return at.groupBy(*g).agg(F.max("__n").alias("n"), pick(F.ceil((F.col("__n") - 1) * F.lit(0.5))).alias("p50"), pick(F.ceil((F.col("__n") - 1) * F.lit(0.95))).alias("p95"), pick(F.floor(F.col("__n") / 2)).alias("median"))
 
 
-def filtered_check(found: DataFrame, excluded: DataFrame, n: int) -> DataFrame:
-    """(query_id, valid): results are there, within 0 to n - 1, none excluded (id), none twice."""
+def filtered_check(found: DataFrame, excluded: DataFrame, n: int, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, valid): results are there, within 0 to n - 1, none excluded (id), none twice.
+
+    queries (query_id) are those that should have results; without them only queries that have some are told.
+    """
     out = excluded.select("id").distinct().withColumn("__out", F.lit(True))
     marked = found.join(out, "id", "left")
-    return marked.groupBy("query_id").agg((F.bool_and((F.col("id") >= 0) & (F.col("id") < n) & F.col("__out").isNull()) & (F.count("*") == F.countDistinct("id"))).alias("valid"))
+    told = marked.groupBy("query_id").agg((F.bool_and((F.col("id") >= 0) & (F.col("id") < n) & F.col("__out").isNull()) & (F.count("*") == F.countDistinct("id"))).alias("valid"))
+    if queries is None:
+        return told
+    return queries.select("query_id").distinct().join(told, "query_id", "left").select("query_id", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
 def shadow_sets(hits: DataFrame, files: DataFrame, sizes: tuple[int, ...] = (0, 10, 50)) -> DataFrame:
@@ -113,6 +119,37 @@ def gates(measured: DataFrame, rules: dict[str, str]) -> DataFrame:
     return row.withColumn("passed", ok)
 
 
+def search_gates(queries: DataFrame, dense: DataFrame, filtered: DataFrame, excluded: DataFrame, refused: DataFrame, k: int) -> DataFrame:
+    """One row of conditions that an evaluation of filtered searches must meet, and passed.
+
+    queries (query_id), dense (query_id, rank, id), filtered (set_name, query_id, rank, id), excluded (set_name, id, null for
+    a set that excludes nothing), refused (set_name, query_id, refused): all have k results for each query, in ranks 0 to
+    k - 1 and of different ids; sets that exclude nothing give what the dense search gives; no excluded id is returned;
+    each query meets refused rows in the sets that exclude some.
+    """
+    sets = excluded.groupBy("set_name").agg(F.count("id").alias("out"))
+    every = F.lit("")
+    all_found = filtered.select("set_name", "query_id", "rank", "id").unionByName(dense.select(every.alias("set_name"), "query_id", "rank", "id"))
+    wanted = sets.select("set_name").unionByName(sets.sparkSession.range(1).select(every.alias("set_name"))).join(F.broadcast(queries.select("query_id")))
+    whole = all_found.groupBy("set_name", "query_id").agg(((F.count("*") == k) & (F.countDistinct("id") == k) & (F.countDistinct("rank") == k) & (F.min("rank") == 0) & (F.max("rank") == k - 1)).alias("whole"))
+    complete = wanted.join(whole, ["set_name", "query_id"], "left").agg(F.coalesce(F.bool_and(F.coalesce("whole", F.lit(False))), F.lit(False)).alias("all_results_complete"))
+    open_sets = sets.where("out = 0").select("set_name")
+    a = filtered.join(F.broadcast(open_sets), "set_name").select("set_name", "query_id", "rank", F.col("id").alias("a"))
+    b = dense.join(F.broadcast(open_sets)).select("set_name", "query_id", "rank", F.col("id").alias("b"))
+    same = a.join(b, ["set_name", "query_id", "rank"], "full").agg(F.coalesce(F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))), F.lit(False)).alias("accept_all_matches_dense"))
+    emitted = filtered.join(excluded.where("id is not null"), ["set_name", "id"], "left_semi").agg((F.count("*") == 0).alias("no_excluded_emitted"))
+    shut = sets.where("out > 0").select("set_name").join(F.broadcast(queries.select("query_id"))).join(refused, ["set_name", "query_id"], "left")
+    met = shut.agg(F.coalesce(F.bool_and(F.coalesce(F.col("refused") > 0, F.lit(False))), F.lit(True)).alias("refused_observed"))
+    row = complete.join(F.broadcast(same)).join(F.broadcast(emitted)).join(F.broadcast(met))
+    return row.withColumn("passed", F.col("all_results_complete") & F.col("accept_all_matches_dense") & F.col("no_excluded_emitted") & F.col("refused_observed"))
+
+
+def provenance_gate(recorded: dict, expected: dict, hashes: tuple[str, ...] = ()) -> bool:
+    """Whether all expected fields are recorded as they should be, and the named fields hold SHA-256s in hexadecimal."""
+    digits = set("0123456789abcdef")
+    return all(recorded.get(k) == v for k, v in expected.items()) and all(isinstance(recorded.get(h), str) and len(recorded[h]) == 64 and set(recorded[h].lower()) <= digits for h in hashes)
+
+
 def content_identity(rows: DataFrame, parts: list[str], order: str) -> DataFrame:
     """(identity): SHA-256 of the SHA-256s of ranges of 4096 values of a long column of different values, each over its
     rows' SHA-256s of their tagged, length-prefixed parts, in order."""

@@ -24,6 +24,8 @@ from ..table import VectorTable
 from .quantize import Codec
 from .search import query_lots, top_k
 
+#: No level is higher: a node gets there with a probability of m to the power of minus it.
+MOST_LEVEL = 64
 #: Rows of a shard where the number of shards isn't set; nodes whose neighbours are chosen at once; marks of visited nodes.
 SHARD_ROWS, BATCH, VISITED = 8192, 32, 32 << 20
 
@@ -550,6 +552,13 @@ class GraphIndex:
         layers = self.nodes.select("id", F.posexplode("links").alias("layer", "nbrs"))
         return layers.groupBy("layer").agg(F.count("*").alias("nodes"), F.sum(F.size("nbrs")).cast("long").alias("edges"))
 
+    def introspect(self) -> DataFrame:
+        """One row: n, deleted, live, dim, metric, max_level, config (JSON)."""
+        spark = self.nodes.sparkSession
+        gone = (spark.createDataFrame([], "id long") if self.deleted is None else self.deleted).agg(F.count("*").alias("deleted"))
+        told = self.nodes.agg(F.count("*").alias("n"), F.max("level").alias("max_level")).join(F.broadcast(gone))
+        return told.select("n", "deleted", (F.col("n") - F.col("deleted")).alias("live"), F.lit(self.dim).alias("dim"), F.lit(self.metric.name).alias("metric"), "max_level", F.lit(self.config.to_json()).alias("config"))
+
     def integrity(self) -> DataFrame:
         """One row of counts that are all 0 in a sound index."""
         e, n = self.edges(), self.nodes.select(F.col("id").alias("nbr"), F.col("level").alias("nbr_level"), F.col("shard").alias("nbr_shard"))
@@ -557,7 +566,7 @@ class GraphIndex:
         limit = F.when(F.col("layer") == 0, self.config.m0).otherwise(self.config.m)
         degrees = e.groupBy("node", "layer").agg(F.count("*").alias("d"), F.countDistinct("nbr").alias("u")).agg(F.count_if(F.col("d") > limit).alias("too_many_links"), F.count_if(F.col("d") != F.col("u")).alias("double_links"))
         bad = m.agg(F.count_if(F.col("nbr_level").isNull()).alias("unknown_neighbours"), F.count_if(F.col("layer") > F.col("nbr_level")).alias("above_level"), F.count_if(F.col("shard") != F.col("nbr_shard")).alias("across_shards"), F.count_if(F.col("node") == F.col("nbr")).alias("loops"))
-        levels = self.nodes.agg(F.count_if(F.size("links") != F.col("level") + 1).alias("wrong_levels"))
+        levels = self.nodes.agg(F.count_if((F.size("links") != F.col("level") + 1) | ~F.col("level").between(0, MOST_LEVEL)).alias("wrong_levels"))
         return bad.join(F.broadcast(degrees)).join(F.broadcast(levels))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, rank, search
+from ..scratch import scratch_path
+from ..sources import files, reports
 from . import search_queries as base
 from .search_queries import K, _E, batch, distance_sql, embeddings, held_out, index
 
@@ -103,10 +107,15 @@ def latency_summary(spark, sf_dir):
     return evaluate.latency_summary(spark.read.parquet(f"{sf_dir}/events.parquet"), "value", ["event_type"])
 
 
-@query("filtered_check", f"WITH e AS ({_E}) SELECT id AS query_id, true AS valid FROM e WHERE id % 100 = 0")
+@query(
+    "filtered_check",
+    f"WITH e AS ({_E}), {_ranking_sql('x', 'euclidean')} SELECT q.id AS query_id, count(x.id) > 0 AND count(*) FILTER (e.label = 3) = 0 AS valid FROM e AS q LEFT JOIN x ON x.query_id = q.id AND q.id % 300 <> 0 LEFT JOIN e ON e.id = x.id WHERE q.id % 100 = 0 GROUP BY 1",
+)
 def filtered_check(spark, sf_dir):
+    """Unfiltered rankings, of which some return excluded rows and some are missing."""
     e = embeddings(spark, sf_dir)
-    return evaluate.filtered_check(ranking(spark, sf_dir, "euclidean", K, "label <> 3"), e.where("label = 3").select("id"), e.count())
+    found = ranking(spark, sf_dir, "euclidean").where("query_id % 300 <> 0")
+    return evaluate.filtered_check(found, e.where("label = 3").select("id"), e.count(), batch(e))
 
 
 @query(
@@ -120,18 +129,15 @@ def shadow_sets(spark, sf_dir):
     return evaluate.shadow_sets(hits, embeddings(spark, sf_dir).select((F.col("id") % 97).alias("file")))
 
 
-@query("parity", f"WITH e AS ({_E}) SELECT id AS query_id, true AS same_order, true AS same_set, true AS same_top1, true AS within FROM e WHERE id % 100 = 0")
+@query(
+    "parity",
+    f"{_TWO}, j AS (SELECT query_id, rank, f.id AS a, x.id AS b, abs((1 - f.distance) - (1 - x.distance)) <= 5e-4 AS near FROM f FULL JOIN x USING (query_id, rank)) "
+    "SELECT query_id, bool_and(a IS NOT DISTINCT FROM b) AS same_order, list_sort(list(a)) = list_sort(list(b)) AS same_set, bool_and(rank > 0 OR a IS NOT DISTINCT FROM b) AS same_top1, bool_and(coalesce(near, false)) AS within FROM j GROUP BY 1",
+)
 def parity(spark, sf_dir):
-    """The column form of the distance against the kernels."""
-    from pyspark.sql import Window
-
-    from ..functions.metrics import COSINE
-
-    e = embeddings(spark, sf_dir)
-    q = batch(e).select("query_id", F.col("vector").alias("qv"))
-    near = e.join(F.broadcast(q)).select("query_id", "id", COSINE.column(F.col("qv"), F.col("vector"), 64).alias("distance"))
-    brute = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")) - 1).where(F.col("rank") < K)
-    return evaluate.parity(brute.withColumn("score", 1 - F.col("distance")), ranking(spark, sf_dir, "cosine").withColumn("score", 1 - F.col("distance")))
+    """Rankings by two metrics against each other."""
+    scored = lambda by: ranking(spark, sf_dir, by).withColumn("score", 1 - F.col("distance"))
+    return evaluate.parity(scored("manhattan"), scored("euclidean"))
 
 
 # fusion: dense by cosine, lexical stood in for by another ranking
@@ -218,11 +224,17 @@ def hybrid(spark, sf_dir):
     return _told(rank.hybrid(i.dense, i.lexical, i.chunks, i.dense, i.existing, i.injected))
 
 
-@query("control_check", f"WITH e AS ({_E}) SELECT id AS query_id, true AS matches FROM e WHERE id % 100 = 0")
+@query(
+    "control_check",
+    f"{_TWO} "
+    "SELECT query_id, bool_and(coalesce(a = b AND abs(s - t) <= 1e-10, false)) AS matches FROM (SELECT x.query_id, x.rank, x.id AS a, x.id AS b, x.distance AS s, x.distance + CASE WHEN x.query_id % 200 = 0 THEN 1e-6 ELSE 0 END AS t FROM x WHERE x.query_id % 300 <> 0 UNION ALL SELECT f.query_id, f.rank, f.id, x.id, f.distance, x.distance FROM f JOIN x USING (query_id, rank) WHERE f.query_id % 300 = 0) GROUP BY 1",
+)
 def control_check(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    made = rank.hybrid(i.dense, i.lexical, i.chunks, i.dense, i.existing, i.injected)
-    return rank.control_check(made, made)
+    """Rankings of which some have other ids, and some scores that are off by a millionth."""
+    x, f = (ranking(spark, sf_dir, by).withColumn("score", F.col("distance")) for by in ("euclidean", "manhattan"))
+    found = x.where("query_id % 300 <> 0").unionByName(f.where("query_id % 300 = 0"))
+    off = F.when((F.col("query_id") % 200 == 0) & (F.col("query_id") % 300 != 0), 1e-6).otherwise(0.0)
+    return rank.control_check(found, x.withColumn("score", F.col("score") + off))
 
 
 def sweep(spark, sf_dir, beams=(10, 50, 100, 200, 400)) -> DataFrame:
@@ -251,6 +263,104 @@ def gates(spark, sf_dir):
     return evaluate.gates(measured, {"recall_at_widest": "ef < 400 or recall >= 0.98", "filtered_at_widest": "ef < 400 or filtered_recall >= 0.98"})
 
 
+def _evaluation(spark, sf_dir, spoiled: bool) -> DataFrame:
+    """Gates of filtered searches of the graph; spoiled ones return an excluded row and lack a result."""
+    g, e = index(spark, sf_dir)
+    q, labels, n = batch(e), e.select("id", "label"), e.count()
+    sets = {"exclude_none": "true", "exclude_label": "label <> 3"}
+    dense = g.search(q, K, n)
+    got = [g.search(q, K, n, where=w, payload=labels, counters=True).withColumn("set_name", F.lit(name)) for name, w in sets.items()]
+    found = got[0].unionByName(got[1])
+    excluded = e.where("label = 3").select(F.lit("exclude_label").alias("set_name"), "id").unionByName(spark.createDataFrame([("exclude_none", None)], "set_name string, id long"))
+    if spoiled:
+        bad = e.where("label = 3").agg(F.min("id")).first()[0]
+        found = found.where("set_name <> 'exclude_label' or rank < 9 or query_id > 0").withColumn("id", F.when((F.col("set_name") == "exclude_label") & (F.col("rank") == 1), F.lit(bad)).otherwise(F.col("id")))
+    return evaluate.search_gates(q, dense, found, excluded, found.select("set_name", "query_id", "refused").distinct(), K)
+
+
+@query("search_gates", "SELECT true AS all_results_complete, true AS accept_all_matches_dense, true AS no_excluded_emitted, true AS refused_observed, true AS passed")
+def search_gates(spark, sf_dir):
+    return _evaluation(spark, sf_dir, False)
+
+
+@query("search_gates_spoiled", "SELECT false AS all_results_complete, true AS accept_all_matches_dense, false AS no_excluded_emitted, true AS refused_observed, false AS passed")
+def search_gates_spoiled(spark, sf_dir):
+    return _evaluation(spark, sf_dir, True)
+
+
+# files of evaluations
+
+
+def _query_rows(spark, sf_dir) -> DataFrame:
+    e = embeddings(spark, sf_dir)
+    return batch(e).select(F.concat(F.lit("y"), F.col("query_id").cast("string")).alias("id"), F.when(F.col("query_id") % 200 == 0, "nl").otherwise("sym").alias("kind"), F.concat(F.lit("find "), F.col("query_id").cast("string")).alias("query"), F.array((F.col("query_id") % 7).cast("string"), F.lit("x")).alias("targets"))
+
+
+@query("query_file", f"WITH e AS ({_E}) SELECT 'y' || id AS id, CASE WHEN id % 200 = 0 THEN 'nl' ELSE 'sym' END AS kind, 'find ' || id AS query, unnest([(id % 7)::VARCHAR, 'x']) AS target FROM e WHERE id % 100 = 0")
+def query_file(spark, sf_dir):
+    """Queries written as a JSON array and read back."""
+    path = scratch_path(spark, "queries") + "/queries.json"
+    rows = [r.asDict() for r in _query_rows(spark, sf_dir).collect()]  # a query set is small
+    files._put(spark, path, json.dumps(rows).encode())
+    return reports.read_queries(spark, path).select("id", "kind", "query", F.explode("targets").alias("target"))
+
+
+@query("receipt", f"WITH e AS ({_E}) SELECT count(*) AS n, 64::BIGINT AS dim, true AS table_there FROM e")
+def receipt(spark, sf_dir):
+    """A receipt of JSON and Markdown, read back."""
+    e = embeddings(spark, sf_dir)
+    path = scratch_path(spark, "receipt") + "/receipt.json"
+    reports.write_receipt(spark, {"n": e.count(), "dim": 64, "gates": {"passed": True}}, path)
+    there = spark.read.text(path.removesuffix(".json") + ".md").where("value like '| n |%'").count() == 1
+    return spark.read.option("multiLine", True).json(path).select("n", "dim", F.lit(there).alias("table_there"))
+
+
+@query("bench_rows", f"WITH e AS ({_E}) SELECT label, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT label + 1000, count(*) FROM e GROUP BY 1")
+def bench_rows(spark, sf_dir):
+    """Benchmark rows written as JSON lines and as CSV, and read back."""
+    rows = embeddings(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))
+    a, b = scratch_path(spark, "rows"), scratch_path(spark, "rows")
+    reports.write_rows(rows, a)
+    reports.write_rows(rows.withColumn("label", F.col("label") + 1000), b, "csv")
+    kind = rows.schema["label"].dataType
+    both = [spark.read.schema("label long, n long").json(a), spark.read.schema("label long, n long").option("header", True).csv(b)]
+    return both[0].unionByName(both[1]).select(F.col("label").cast(kind).alias("label"), "n")
+
+
+def _fixture(spark, sf_dir, spoiled: bool) -> DataFrame:
+    """check_fixture() of a fixture made of the first 60 rows, written as JSON and read back."""
+    e = embeddings(spark, sf_dir).where("id < 60")
+    near = {r[0]: r[1] for r in search.knn_join(e.where("id < 6").select(F.col("id").alias("query_id"), "vector"), e, K, "cosine").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "distance")))).collect()}
+    chunks = [{"index": i, "id": f"c{i}", "file_path": f"f{i % 20}", "start_line": i, "end_line": i + 3, "language": "text", "content_sha256": "0" * 64, "file_sha256": "1" * 64, "path_penalty": 1 - i % 4 / 10} for i in range(60)]
+    queries = []
+    for i, hits in sorted(near.items()):
+        got = [{"chunk_index": h["id"], "score": 1 - h["distance"]} for h in hits]
+        queries.append({"id": f"y{i:02}", "kind": "sym" if i % 2 else "nl", "text": f"find {i}", "targets": ["f1"], "query_vector_row": i, "alpha": 0.3 if i % 2 else 0.5, "exact_dense": got, "bm25": got[:4], "hybrid_control": got[:5], "filtered_exact": {"none": got}, "control_candidate_order": [h["chunk_index"] for h in got], "query_boost_existing": [{"chunk_index": 3, "coefficient": 0.5}], "query_boost_injected": [], "timings_us": {"dense": 1.5}})
+    if spoiled:
+        chunks[7]["end_line"] = 0
+        queries[0] |= {"kind": "other", "text": "  "}
+        queries[1] |= {"alpha": 0.4, "exact_dense": queries[1]["exact_dense"][::-1]}
+        queries[2] |= {"hybrid_control": [], "query_boost_injected": [{"chunk_index": 99, "coefficient": 1.0}], "query_vector_row": 1}
+    path = scratch_path(spark, "fixture") + "/fixture.json"
+    files._put(spark, path, json.dumps({"chunks": chunks, "queries": queries}).encode())
+    shadows = spark.createDataFrame([("none", [], [])], "name string, files array<string>, chunk_indices array<long>")
+    return reports.check_fixture(*reports.read_fixture(spark, path), shadows, K, 5, {"nl": 0.5, "sym": 0.3})
+
+
+_FAULTS = ("double_indexes", "gaps", "lines", "penalties", "unknown_chunks", "scores", "unsorted", "double_hits", "wrong_sizes", "double_ids", "kinds", "incomplete", "alphas", "vector_rows", "boosts", "shadow_members", "shadow_missing", "shadow_emitted")
+_SPOILED = {"lines": 1, "unsorted": 1, "wrong_sizes": 1, "kinds": 1, "incomplete": 1, "alphas": 1, "vector_rows": 1, "boosts": 1}
+
+
+@query("fixture", "SELECT " + ", ".join(f"0::BIGINT AS {x}" for x in _FAULTS))
+def fixture(spark, sf_dir):
+    return _fixture(spark, sf_dir, False)
+
+
+@query("fixture_spoiled", "SELECT " + ", ".join(f"{_SPOILED.get(x, 0)}::BIGINT AS {x}" for x in _FAULTS))
+def fixture_spoiled(spark, sf_dir):
+    return _fixture(spark, sf_dir, True)
+
+
 @query("content_identity", "WITH h AS (SELECT doc_id, sha256('doc_id:' || strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR || 'text:' || strlen(coalesce(text, '')) || ':' || coalesce(text, '')) AS h FROM documents), r AS (SELECT doc_id >> 12 AS r, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY r)) AS identity FROM r")
 def content_identity(spark, sf_dir):
     return evaluate.content_identity(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id", "text"], "doc_id")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import IndexConfig
-from ..functions.metrics import metric
+from ..config import Builder, IndexConfig
+from ..errors import IncompatibleIndex, InvalidConfig, InvalidSnapshot
+from ..functions.metrics import Metric, metric, register
 from ..functions.vectors import dot, mixture, norm, normalize
 from ..operators import graph, quantize, search
 from ..scratch import scratch_path
@@ -356,31 +357,243 @@ def ann_narrow(spark, sf_dir):
     return rounded(g.search(held_out(e), K, 50, where="label <> 3", payload=e.select("id", "label"), counters=True))
 
 
+@query(
+    "ann_narrow_check",
+    f"WITH {_MIX} SELECT query_id, {K}::BIGINT AS n, 0::BIGINT AS refused_returned, 0::BIGINT AS wrong_distances, true AS nearer_ones_first FROM q WHERE query_id % 100 = 0",
+)
+def ann_narrow_check(spark, sf_dir):
+    """What a narrow beam returns: enough rows, none refused, with their true distances, in order."""
+    g, e = index(spark, sf_dir)
+    q = held_out(e)
+    got = g.search(q, K, 50, where="label <> 3", payload=e.select("id", "label")).join(e, "id").join(q.withColumnRenamed("vector", "asked"), "query_id")
+    true = metric("euclidean").column(F.col("asked"), F.col("vector"), 64)
+    told = got.withColumn("off", F.abs(true - F.col("distance")) > 1e-9).groupBy("query_id")
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "distance")))
+    return told.agg(
+        F.count("*").alias("n"), F.count_if(F.col("label") == 3).alias("refused_returned"), F.count_if("off").alias("wrong_distances"),
+        (F.transform(in_order, lambda x: x["distance"]) == F.array_sort(F.collect_list("distance"))).alias("nearer_ones_first"),
+    )
+
+
+@query("ann_recall_bounds", "SELECT * FROM (VALUES (50, 0.9::DOUBLE, true), (100, 0.97::DOUBLE, true), (200, 0.99::DOUBLE, true)) AS t(ef, at_least, holds)")
+def ann_recall_bounds(spark, sf_dir):
+    """Mean recall against the exact neighbours, at beams much narrower than the table."""
+    from ..operators import evaluate
+
+    g, e = index(spark, sf_dir)
+    q = held_out(e)
+    exact, out = search.knn_join(q, e, K), None
+    for ef, least in ((50, 0.9), (100, 0.97), (200, 0.99)):
+        row = evaluate.recall_at_k(g.search(q, K, ef), exact, K).agg(F.avg("recall").alias("r")).select(F.lit(ef).alias("ef"), F.lit(least).alias("at_least"), (F.col("r") >= least).alias("holds"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("ann_refused", f"WITH {_MIX} SELECT query_id, (SELECT count(*) FROM embeddings WHERE label = 3) AS refused FROM q WHERE query_id % 100 = 0")
+def ann_refused(spark, sf_dir):
+    """A beam as wide as the table meets every refused row, in shards that return nothing too."""
+    g, e = index(spark, sf_dir)
+    found = g.search(held_out(e), K, e.count(), where="label <> 3", payload=e.select("id", "label"), counters=True)
+    return found.groupBy("query_id").agg(F.max("refused").alias("refused"))
+
+
+_SCORER = "(e.id * 37 % 1009 + q.query_id % 7)::DOUBLE"
+
+
+def _scored(query, ids):
+    """Distances that have nothing to do with the vectors; the query's first component tells its number."""
+    return (ids * 37 % 1009).astype(float) + float(query[0])
+
+
+def _numbered(e: DataFrame) -> DataFrame:
+    return batch(e).select("query_id", F.concat(F.array((F.col("query_id") % 7).cast("double")), F.array_repeat(F.lit(0.0), 63)).alias("vector"))
+
+
+def _external_sql(where: str) -> str:
+    return (
+        f"WITH e AS ({_E}), q AS (SELECT id AS query_id FROM e WHERE id % 100 = 0), d AS (SELECT q.query_id, e.id, {_SCORER} AS distance FROM q, e WHERE {where}), "
+        f"r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS INTEGER) AS rank FROM d) SELECT query_id, rank, id, distance FROM r WHERE rank < {K}"
+    )
+
+
+@query("ann_external", _external_sql("true"))
+def ann_external(spark, sf_dir):
+    """A graph of one distance walked by another, of the id."""
+    g, e = index(spark, sf_dir)
+    return g.search(_numbered(e), K, e.count(), scorer=_scored)
+
+
+@query("ann_external_filtered", _external_sql("e.label IN (1, 4)"))
+def ann_external_filtered(spark, sf_dir):
+    g, e = index(spark, sf_dir)
+    return g.search(_numbered(e), K, e.count(), where="label in (1, 4)", payload=e.select("id", "label"), scorer=_scored)
+
+
 @query("ann_quantized")
 def ann_quantized(spark, sf_dir):
     g, e = index(spark, sf_dir, "cosine")
     return g.search(held_out(e), K, 100, codes=codes(spark, sf_dir), codec=CODEC).withColumn("distance", F.round("distance", 4))
 
 
+@query(
+    "ann_quantized_exhaustive",
+    f"{_CODES}, r AS (SELECT q.id AS query_id, w.id, 1 - {_SCORE} AS distance, CAST(row_number() OVER (PARTITION BY q.id ORDER BY 1 - {_SCORE}, w.id) - 1 AS INTEGER) AS rank FROM w, w AS q WHERE q.id % 100 = 0) SELECT query_id, rank, id, round(distance, 5) AS distance FROM r WHERE rank < {K}",
+)
+def ann_quantized_exhaustive(spark, sf_dir):
+    """The graph walked by distances from codes, at a beam as wide as the table."""
+    g, e = index(spark, sf_dir, "cosine")
+    return g.search(batch(e), K, e.count(), codes=codes(spark, sf_dir), codec=CODEC).withColumn("distance", F.round("distance", 5))
+
+
+@query("ann_other_rows_refused", "SELECT true AS refused")
+def ann_other_rows_refused(spark, sf_dir):
+    """Codes of other rows than the graph's are an error before any walk."""
+    g, e = index(spark, sf_dir, "cosine")
+    try:
+        g.search(batch(e), K, 50, codes=codes(spark, sf_dir).where("id % 10 <> 0"), codec=CODEC)
+        refused = False
+    except IncompatibleIndex:
+        refused = True
+    return spark.createDataFrame([(refused,)], "refused boolean")
+
+
+_MORE = f"{_E} UNION ALL SELECT (SELECT max(vec_id) FROM embeddings) + 1 + vec_id, [-x for x in embedding::DOUBLE[]], label FROM embeddings WHERE label = 1"
+
+
+def _grown(spark, sf_dir, compact: bool = False) -> tuple[graph.GraphIndex, DataFrame]:
+    """The saved graph, loaded to be changed and grown by the negatives of one label; and the rows in it."""
+    e = embeddings(spark, sf_dir)
+    path = scratch_path(spark, "graph")
+    snapshot.save_graph(graph.build(VectorTable.create(e, "euclidean", id="id"), GRAPH), path)
+    last = e.agg(F.max("id")).first()[0]
+    new = e.where("label = 1").select((F.col("id") + last + 1).alias("id"), F.transform("vector", lambda x: -x).alias("vector"), "label")
+    g = snapshot.load_graph(spark, path, "euclidean", mutable=True)[0].insert(new)
+    return (g.compact() if compact else g), e.unionByName(new)
+
+
+@query("ann_insert", knn_sql("euclidean", source=_MORE))
+def ann_insert(spark, sf_dir):
+    g, rows = _grown(spark, sf_dir)
+    return rounded(g.search(batch(embeddings(spark, sf_dir)).unionByName(batch(rows.where(F.col("id") >= embeddings(spark, sf_dir).count()))).distinct(), K, rows.count()))
+
+
+@query(
+    "ann_compact_roundtrip",
+    _HELD.format("list_distance(q.v, e.v)", "true").replace("SELECT query_id, rank, id,", "SELECT query_id, rank, r.id, e.label,").replace(" FROM r WHERE", " FROM r JOIN e ON e.id = r.id WHERE"),
+)
+def ann_compact_roundtrip(spark, sf_dir):
+    """A compact graph saved with a payload, opened and searched."""
+    g, e = index(spark, sf_dir)
+    path = scratch_path(spark, "compact")
+    snapshot.save_graph(g.compact(), path, e.select("id", "label"))
+    again, payload = snapshot.load_graph(spark, path, "euclidean")
+    return rounded(again.search(held_out(e), K, e.count()).join(payload, "id").select("query_id", "rank", "id", "label", "distance"))
+
+
+@query("graph_damage", "SELECT * FROM (VALUES ('compact can''t grow', true), ('entry isn''t there', true), ('node is missing', true), ('other metric', true), ('other version', true)) AS t(damage, refused)")
+def graph_damage(spark, sf_dir):
+    """Saved graphs that are damaged or asked for something they aren't are refused."""
+    g, e = index(spark, sf_dir)
+    paths = {x: scratch_path(spark, "damaged") for x in ("whole", "compact", "node")}
+    snapshot.save_graph(g, paths["whole"])
+    snapshot.save_graph(g.compact(), paths["compact"])
+    snapshot.save_graph(graph.GraphIndex(g.nodes.where("id <> 5"), g.dim, g.metric, g.config), paths["node"])
+
+    def altered(change: str) -> str:
+        path = scratch_path(spark, "damaged")
+        spark.read.text(f"{paths['whole']}/metadata").select(F.expr(change).alias("value")).coalesce(1).write.text(f"{path}/metadata")
+        spark.read.parquet(f"{paths['whole']}/nodes").write.partitionBy("shard").parquet(f"{path}/nodes")
+        return path
+
+    cases = {
+        "compact can't grow": (paths["compact"], "euclidean", True), "node is missing": (paths["node"], "euclidean", False), "other metric": (paths["whole"], "cosine", False),
+        "other version": (altered("regexp_replace(value, '\"version\": 1', '\"version\": 99')"), "euclidean", False), "entry isn't there": (altered("regexp_replace(value, '\"entry_id\": [0-9]+', '\"entry_id\": -7')"), "euclidean", False),
+    }
+    told = []
+    for what, (path, by, mutable) in cases.items():
+        try:
+            snapshot.load_graph(spark, path, by, mutable)
+            told.append((what, False))
+        except (InvalidSnapshot, InvalidConfig):
+            told.append((what, True))
+    return spark.createDataFrame(told, "damage string, refused boolean")
+
+
 @query("graph_stats")
 def graph_stats(spark, sf_dir):
     return index(spark, sf_dir)[0].stats()
 
 
+_LEVEL = f"CAST(floor(-ln((('0x' || substr(md5('{GRAPH.seed}:' || vec_id), 1, 8))::BIGINT + 1) / 4294967296.0) / ln({GRAPH.m})) AS INTEGER)"
+
+
 @query(
     "graph_levels",
-    f"WITH l AS (SELECT vec_id, CAST(floor(-ln((('0x' || substr(md5('{GRAPH.seed}:' || vec_id), 1, 8))::BIGINT + 1) / 4294967296.0) / ln({GRAPH.m})) AS INTEGER) AS level FROM embeddings) "
+    f"WITH l AS (SELECT vec_id, {_LEVEL} AS level FROM embeddings) "
     "SELECT CAST(g.layer AS INTEGER) AS layer, count(*) AS nodes FROM l, generate_series(0, 20) AS g(layer) WHERE g.layer <= l.level GROUP BY 1",
 )
 def graph_levels(spark, sf_dir):
     return index(spark, sf_dir)[0].stats().select("layer", "nodes")
 
 
+@query("graph_degrees", f"WITH l AS (SELECT vec_id, {_LEVEL} AS level FROM embeddings) SELECT count(*) AS nodes, sum(level + 1)::BIGINT AS lists, 0::BIGINT AS lonely, 0::BIGINT AS wrong_distances FROM l")
+def graph_degrees(spark, sf_dir):
+    """Every node has links in the base layer, and each link the true distance."""
+    g, e = index(spark, sf_dir)
+    lists = g.nodes.select(F.size("links").alias("lists"), F.size(F.get("links", F.lit(0))).alias("base")).agg(F.count("*").alias("nodes"), F.sum("lists").alias("lists"), F.count_if(F.col("base") == 0).alias("lonely"))
+    ends = g.edges().join(e.select(F.col("id").alias("node"), F.col("vector").alias("a")), "node").join(e.select(F.col("id").alias("nbr"), F.col("vector").alias("b")), "nbr")
+    off = ends.agg(F.count_if(F.abs(metric("euclidean").column(F.col("a"), F.col("b"), 64) - F.col("dist")) > 1e-5).alias("wrong_distances"))
+    return lists.join(F.broadcast(off))
+
+
+@query("graph_introspection", f"SELECT count(*) AS n, count(*) FILTER (vec_id % 5 = 1) AS deleted, count(*) FILTER (vec_id % 5 <> 1) AS live, 64::INTEGER AS dim, 'euclidean' AS metric, max({_LEVEL}) AS max_level, '{GRAPH.to_json()}' AS config FROM embeddings")
+def graph_introspection(spark, sf_dir):
+    g, e = index(spark, sf_dir)
+    return g.remove(e.where("id % 5 = 1").select("id")).introspect()
+
+
 @query("graph_integrity", "SELECT 0::BIGINT AS unknown_neighbours, 0::BIGINT AS above_level, 0::BIGINT AS across_shards, 0::BIGINT AS loops, 0::BIGINT AS too_many_links, 0::BIGINT AS double_links, 0::BIGINT AS wrong_levels")
 def graph_integrity(spark, sf_dir):
     return index(spark, sf_dir)[0].integrity()
 
 
+def _settings(config: IndexConfig) -> tuple:
+    return (config.m, config.m0, config.ef_construction, config.prune_strategy, config.shards, config.seed)
+
+
+@query("builder", "SELECT 12::INTEGER AS m, 24::INTEGER AS m0, 70::INTEGER AS ef_construction, 'heuristic' AS prune_strategy, 3::INTEGER AS shards, 9::INTEGER AS seed, true AS same_after_json, count(*) AS n FROM embeddings")
+def builder(spark, sf_dir):
+    """Settings by the builder, through JSON, and in the graph that it builds."""
+    made = Builder().m(12).ef_construction(70).prune_strategy("heuristic").shards(3).seed(9)
+    table = made.metric("euclidean").build(embeddings(spark, sf_dir), id="id")
+    g = made.build_graph(table)
+    same = IndexConfig.from_json(g.config.to_json()) == made.config == g.config
+    return g.nodes.agg(F.count("*").alias("n")).select(*[F.lit(x).alias(n) for n, x in zip(("m", "m0", "ef_construction", "prune_strategy", "shards", "seed"), _settings(g.config))], F.lit(same).alias("same_after_json"), "n")
+
+
+def _chebyshev() -> Metric:
+    import numpy as np
+
+    return register(Metric(2000, "chebyshev", lambda a, b, d: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))), lambda q, v: np.abs(v - q).max(axis=1)))
+
+
+_CHEBYSHEV = "list_max([abs(x[1] - x[2]) for x in list_zip(q.v, e.v)])"
+
+
+@query("custom_metric", f"WITH e AS ({_E}), d AS (SELECT q.id AS query_id, e.id, {_CHEBYSHEV} AS distance FROM e AS q, e WHERE q.id % 100 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS INTEGER) AS rank FROM d) SELECT query_id, rank, id, round(distance, {DIGITS}) AS distance FROM r WHERE rank < {K}")
+def custom_metric(spark, sf_dir):
+    """A metric of one's own in the graph, at a beam as wide as the table."""
+    e = embeddings(spark, sf_dir)
+    g = graph.build(VectorTable.create(e, _chebyshev(), id="id"), IndexConfig(m=16, ef_construction=50, shards=4, use_heuristic=False))
+    return rounded(g.search(batch(e), K, e.count()))
+
+
+@query("custom_metric_exact", f"WITH e AS ({_E}), d AS (SELECT e.id, {_CHEBYSHEV} AS distance FROM e AS q, e WHERE q.id = 0) SELECT id, round(distance, {DIGITS}) AS distance FROM d ORDER BY distance, id LIMIT {K}")
+def custom_metric_exact(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return rounded(search.exact_search(e, first_vector(e), K, _chebyshev())).select("id", "distance")
+
+
 # files
 
 _SAME = f"SELECT vec_id AS id, round(list_sum(embedding::DOUBLE[]), {DIGITS}) AS total, round(embedding[64]::DOUBLE, {DIGITS}) AS last"
@@ -411,11 +624,26 @@ def matrix_roundtrip(spark, sf_dir):
     return _told(files.read_matrix(spark, path, told["rows"], told["columns"], told["sha256"]), "row")
 
 
-@query("codes_roundtrip", "SELECT vec_id AS id, 32::INTEGER AS width FROM embeddings")
+@query("codes_roundtrip", f"{_CODES} SELECT id, list_aggregate([c::VARCHAR for c in codes], 'string_agg', ',') AS codes, round(scale::DOUBLE, 5) AS scale, 32::INTEGER AS width FROM w")
 def codes_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "codes")
     snapshot.save_codes(codes(spark, sf_dir), CODEC, path)
-    return snapshot.load_codes(spark, path, verify=True)[0].select("id", F.octet_length("codes").alias("width"))
+    rows, codec = snapshot.load_codes(spark, path, verify=True)
+    got = quantize.decode_codes(rows, codec).join(rows.select("id", F.octet_length("codes").alias("width")), "id")
+    return got.select("id", F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("codes"), F.round(F.col("scale").cast("double"), 5).alias("scale"), "width")
+
+
+@query("paired_insert_roundtrip", one_sql("cosine", source=_APPENDED, a="q.v[25:64]", b="e.v[25:64]", columns=_OTHER.format("v[1:24]")))
+def paired_insert_roundtrip(spark, sf_dir):
+    """Rows added to both spaces, saved, opened and searched by the second."""
+    p = _pair(spark, sf_dir)
+    e = embeddings(spark, sf_dir)
+    new = e.where("label = 1").select(F.col("id").alias("o"), *[F.transform(F.slice("vector", *x), lambda v: -v).alias(n) for n, x in (("emb_a", (1, 24)), ("emb_b", (25, 40)))])
+    path = scratch_path(spark, "paired")
+    snapshot.save_pair(p.insert(new, "o"), path)
+    again = snapshot.load_pair(spark, path, "euclidean", "cosine")
+    got = again.search_by_b(first_vector(again.b.rows), K)
+    return rounded(got).select("rank", "id", "distance", F.round(F.aggregate("emb_a", F.lit(0.0), lambda s, x: s + x.cast("double")), DIGITS).alias("other_sum"))
 
 
 @query("vector_products", f"WITH e AS ({_S}) SELECT e.id, round(list_inner_product(q.v, e.v), {DIGITS}) AS dot FROM e AS q, e WHERE q.id = 0")

@@ -48,15 +48,49 @@ def _colons(ddl: str) -> list[str]:
     return [x.replace(" ", ":", 1) for x in [*out, part.strip()]]
 
 
-def check_fixture(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """One row of counts that are all 0 in a sound fixture."""
+def check_fixture(chunks: DataFrame, queries: DataFrame, shadows: DataFrame | None = None, candidates: int | None = None, top_k: int | None = None, alphas: dict[str, float] | None = None) -> DataFrame:
+    """One row of counts that are all 0 in a sound fixture.
+
+    Chunks are numbered without gaps, with lines in order and penalties from 0 to 1. Queries have different ids, a kind, a
+    text, targets, a vector row of their own and a weight alpha from 0 to 1, that of their kind if alphas are given. Hits
+    are of known chunks, with finite scores that don't rise, none twice; exact and filtered ones number candidates and
+    hybrid ones top_k, if these are given. Boosts are of known chunks and not negative. Shadow sets (name, files,
+    chunk_indices) have the chunks of just their files, exact results for every query, and none of them emitted there.
+    """
     n = chunks.count()
-    c = chunks.agg((F.count("*") - F.countDistinct("index")).alias("double_indexes"), F.count_if((F.col("index") < 0) | (F.col("index") >= n)).alias("gaps"), F.count_if(F.col("end_line") < F.col("start_line")).alias("lines"), F.count_if(~F.col("path_penalty").between(0.0, 1.0)).alias("penalties"))
-    hits = queries.select("id", F.explode(F.concat("exact_dense", "bm25", "hybrid_control")).alias("h"))
-    h = hits.agg(F.count_if((F.col("h.chunk_index") < 0) | (F.col("h.chunk_index") >= n)).alias("unknown_chunks"), F.count_if(F.isnan("h.score") | F.col("h.score").isNull()).alias("scores"))
-    falling = lambda a: F.exists(F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), lambda x, y: x["score"] < y["score"]), lambda x: x)
-    q = queries.agg((F.count("*") - F.countDistinct("id")).alias("double_ids"), F.count_if(F.when(F.size("exact_dense") > 1, falling(F.col("exact_dense"))).otherwise(False)).alias("unsorted"), F.count_if(~F.col("alpha").between(0.0, 1.0)).alias("alphas"))
-    return c.join(F.broadcast(h)).join(F.broadcast(q))
+    known = lambda c: (c >= 0) & (c < n)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    c = chunks.agg((F.count("*") - F.countDistinct("index")).alias("double_indexes"), F.count_if(~known(F.col("index"))).alias("gaps"), F.count_if(F.col("end_line") < F.col("start_line")).alias("lines"), F.count_if(~F.coalesce(F.col("path_penalty").between(0.0, 1.0), F.lit(False))).alias("penalties"))
+    none = F.array().cast(f"array<{HIT}>")
+    lists = queries.select("id", F.explode(F.concat(F.array(*[F.struct(F.lit(x).alias("name"), F.coalesce(x, none).alias("hits")) for x in ("exact_dense", "bm25", "hybrid_control")]), F.transform(F.map_entries(F.coalesce("filtered_exact", F.create_map().cast(f"map<string,array<{HIT}>>"))), lambda e: F.struct(F.concat(F.lit("filtered "), e["key"]).alias("name"), e["value"].alias("hits"))))).alias("l")).select("id", "l.name", "l.hits")
+    rising = lambda a: F.exists(F.zip_with(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.slice(a, F.lit(2), F.size(a)), lambda x, y: F.coalesce(x["score"] < y["score"], F.lit(False))), lambda x: x)
+    wrong = F.lit(False)
+    if candidates is not None:
+        wrong = wrong | ((F.col("name") == "exact_dense") | F.col("name").startswith("filtered ")) & (F.size("hits") != candidates)
+    if top_k is not None:
+        wrong = wrong | (F.col("name") == "hybrid_control") & (F.size("hits") != top_k)
+    h = lists.agg(
+        F.count_if(F.exists("hits", lambda x: ~F.coalesce(known(x["chunk_index"]), F.lit(False)))).alias("unknown_chunks"), F.count_if(F.exists("hits", lambda x: ~finite(x["score"]))).alias("scores"),
+        F.count_if(rising(F.col("hits"))).alias("unsorted"), F.count_if(F.size(F.array_distinct(F.transform("hits", lambda x: x["chunk_index"]))) != F.size("hits")).alias("double_hits"), F.count_if(wrong).alias("wrong_sizes"),
+    )
+    blank = F.coalesce(F.trim("text"), F.lit("")) == ""
+    alpha = ~F.coalesce(F.col("alpha").between(0.0, 1.0), F.lit(False))
+    for kind, value in (alphas or {}).items():
+        alpha = alpha | (F.col("kind") == kind) & (F.abs(F.col("alpha") - value) > 1e-12)
+    boosts = F.concat(*[F.coalesce(x, F.array().cast(f"array<{BOOST}>")) for x in ("query_boost_existing", "query_boost_injected")])
+    q = queries.agg(
+        (F.count("*") - F.countDistinct("id")).alias("double_ids"), F.count_if(~F.coalesce(F.col("kind").isin("nl", "sym"), F.lit(False))).alias("kinds"), F.count_if(blank | (F.coalesce(F.size("targets"), F.lit(0)) < 1)).alias("incomplete"), F.count_if(alpha).alias("alphas"),
+        (F.count("*") - F.countDistinct(F.when(F.col("query_vector_row") >= 0, F.col("query_vector_row")))).alias("vector_rows"), F.count_if(F.exists(boosts, lambda x: ~F.coalesce(known(x["chunk_index"]) & finite(x["coefficient"]) & (x["coefficient"] >= 0), F.lit(False)))).alias("boosts"),
+    )
+    out = c.join(F.broadcast(h)).join(F.broadcast(q))
+    if shadows is None:
+        return out
+    own = shadows.select("name", F.explode("files").alias("file_path")).join(chunks.select("file_path", "index"), "file_path").groupBy("name").agg(F.array_sort(F.collect_set("index")).alias("members"))
+    told = shadows.join(own, "name", "left").agg(F.count_if(F.array_sort("chunk_indices") != F.coalesce("members", F.array().cast("array<bigint>"))).alias("shadow_members"))
+    pairs = shadows.select("name", "chunk_indices").join(F.broadcast(queries.select("id", "filtered_exact")))
+    hits = F.element_at("filtered_exact", F.col("name"))
+    seen = pairs.agg(F.count_if(~F.array_contains(F.map_keys("filtered_exact"), F.col("name"))).alias("shadow_missing"), F.count_if(F.coalesce(F.arrays_overlap(F.transform(hits, lambda x: x["chunk_index"]), "chunk_indices"), F.lit(False))).alias("shadow_emitted"))
+    return out.join(F.broadcast(told)).join(F.broadcast(seen))
 
 
 def write_receipt(spark: SparkSession, receipt: dict, path: str) -> None:

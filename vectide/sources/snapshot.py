@@ -119,6 +119,10 @@ def load_graph(spark: SparkSession, path: str, by: str | Metric, mutable: bool =
         _count(nodes, m["n"], "nodes")
         if payload is not None:
             _count(payload, m["n"], "payload rows")
+        top = nodes.where(F.col("id") == F.lit(m.get("entry_id"))).select("level").first()
+        highest = nodes.agg(F.max("level")).first()[0]
+        if m["n"] and (top is None or top[0] != m.get("entry_level") or highest != m.get("entry_level")):
+            raise InvalidSnapshot(f"node {m.get('entry_id')} of level {m.get('entry_level')} isn't where searches begin")
         bad = {k: v for k, v in index.integrity().first().asDict().items() if v}
         if bad:
             raise InvalidSnapshot(f"the graph is broken: {bad}")
