@@ -4,8 +4,11 @@ import random
 import zlib
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from vectide.llm import packing, secret_scan
+from vectide.llm import line_dedup, mixing, packing, secret_scan, similar, simhash, suffix_dedup
 
 
 def test_stages(spark, sf):
@@ -74,3 +77,50 @@ def test_sequences_follow_the_mix(spark, sf, monkeypatch):
     assert checked >= 6 and seen == set(source)
     plain = packing.pack_documents(docs).selectExpr("doc_id", "piece", "start", "length", "crc32(ids) as c").collect()
     assert Counter(map(tuple, plain)) == Counter((x.doc_id, x.piece, x.start, x.length, zlib.crc32(x.ids)) for x in packed)
+
+
+HELPERS = (
+    "score lang_pred mixture r_doc r_key b_src b_part b_n p_src p_first h_doc h_tag hits runs gone fp rep grid component component_id set_id keys key row n m t th bucket rn term which h levels "
+    "doc tag units spans run piece place window seq part secret src __src __t __none __doc __key __units __order __data __hits edited before after own low high block other value plan first a.b x`y"
+).split()
+
+
+def with_helpers(docs):
+    """Documents with columns named like what the operators make for themselves, one with a dot and one with a backtick."""
+    out = docs.withColumn("extra_map", F.create_map(F.lit("a"), F.col("doc_id")))
+    for i, name in enumerate(HELPERS):
+        out = out.withColumn(name, F.concat(F.lit(f"{i}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    return out
+
+
+KEEPING = {
+    "lines": lambda d: line_dedup.cut_repeats(d),
+    "scan": lambda d: secret_scan.scan(d),
+    "redact": lambda d: secret_scan.redact(d),
+    "mix": lambda d: mixing.mix(d),
+    "in_order": lambda d: mixing.in_order(d),
+    "suffixes": lambda d: suffix_dedup.remove_repeats(d),
+    "simhash": lambda d: simhash.keep_one(d),
+    "similar": lambda d: similar.keep_one(d),
+    "pack": lambda d: packing.pack_in_order(d),
+    "stage language": lambda d: corpus_pipeline.keep_languages(d.sparkSession, d, ""),
+    "stage similar": lambda d: corpus_pipeline.keep_one_of_each(d.sparkSession, d, ""),
+    "stage secrets": lambda d: corpus_pipeline.hide_secrets(d.sparkSession, d, ""),
+    "stage mix": lambda d: corpus_pipeline.mix_sources(d.sparkSession, d, ""),
+    "stage pack": lambda d: corpus_pipeline.pack(d.sparkSession, d, ""),
+}
+
+
+@pytest.mark.parametrize("name", KEEPING)
+def test_columns_named_like_helpers(spark, sf, name):
+    """Extra columns clash with nothing and keep their values; the result is that without them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    plain, got = KEEPING[name](docs), KEEPING[name](with_helpers(docs))
+    known = [c for c in plain.columns if c not in HELPERS]
+    assert sorted(map(str, plain.select(known).collect())) == sorted(map(str, got.select(known).collect()))
+    told = set(plain.columns) - set(docs.columns)
+    for row in got.collect() if "x`y" in got.columns else []:
+        for i, c in enumerate(HELPERS):
+            if c not in told:
+                assert row[c] == f"{i}:{row['doc_id']}", c
+    assert ("x`y" in got.columns) == (name not in ("pack", "stage pack"))

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,10 +68,27 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col("`" + x.replace("`", "``") + "`") for x in names]
 
 
+def row_hash(df: DataFrame) -> Column:
+    """XXH64 of a row, without columns that hold maps, which have no hash."""
+    return F.xxhash64(*quoted([f.name for f in df.schema if "map<" not in f.dataType.simpleString()]))
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow() for columns of any names, with dots and backticks too; run must go by places."""
+    names = [f"c{i}" for i in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            yield pa.RecordBatch.from_arrays(b.columns, names=names)
+
+    plain = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, schema)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(renamed, plain).toDF(*[f.name for f in schema])
+
+
 def parts(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in stretches that have about so many bytes in a column of strings, and a row at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, parts, quoted, release
+from .common import free_name, map_arrow, parts, quoted, release
 
 #: Symbols of six bits, so that a model of trigrams has 2^18 entries for each language, whatever the corpus.
 SYMBOL_BITS, GRAMS = 6, 1 << 18
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], steps: int = 12, to
     new = [T.StructField(told[0], T.StringType()), T.StructField(told[1], T.DoubleType()), T.StructField(told[2], T.StringType())]
     places = [None if same(f) else 2 + others.index(f.name) for f in out]
     table = docs.sparkSession.sparkContext.broadcast(model.log_likelihood)  # at most MOST_LANGUAGES megabytes
-    return rows.mapInArrow(_predict(model.languages, table, steps, [f.name for f in out] + list(told), places), T.StructType([*out, *new]))
+    return map_arrow(rows, _predict(model.languages, table, steps, [f.name for f in out] + list(told), places), T.StructType([*out, *new]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, parts, quoted, release
+from .common import cut, free_name, map_arrow, parts, quoted, release
 
 #: Units with fewer words are too common to be copies: lines, sentences within lines.
 LINE_WORDS, SENTENCE_WORDS = 5, 5
@@ -151,4 +151,4 @@ def cut_repeats(docs: DataFrame, line_words: int = LINE_WORDS, sentence_words: i
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema]
     span = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
     schema = T.StructType([*fields, T.StructField("text_before", T.StringType()), T.StructField("removed_spans", T.ArrayType(span))])
-    return out.mapInArrow(_cut(docs.columns.index("text"), passage_words), schema)
+    return map_arrow(out, _cut(docs.columns.index("text"), passage_words), schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, quoted
+from .common import cut, free_name, quoted, row_hash
 
 #: Documents in a block, documents in a part that is numbered at once, blocks in a row of the plan, slots that a task schedules at once.
 BLOCK, PART, RUN, STRETCH = 16, 2048, 64, 16384
@@ -314,7 +314,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, powe
     docs = docs.drop("mix_phase", "mix_slot", "mix_index")
     spark = docs.sparkSession
     src, part, order, tie, rank, b_src, b_part, b_n, b_first, b_slots, b_phases = (free_name(docs, x) for x in ("__src", "__part", "__order", "__tie", "__rank", "__b_src", "__b_part", "__b_n", "__b_first", "__b_slots", "__b_phases"))
-    whole = F.xxhash64(*quoted(docs.columns))
+    whole = row_hash(docs)
     keyed = docs.withColumns({src: _key("source"), order: F.xxhash64(F.col("doc_id"), F.lit(seed)), tie: F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(whole)})
     counts = keyed.groupBy(src).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(counts) > MAX_SOURCES:

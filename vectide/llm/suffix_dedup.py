@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop, free_name, parts, release
+from .common import cut, drop, free_name, map_arrow, parts, quoted, release
 from .suffix_array import common_prefixes, suffix_array
 
 WINDOW, ANCHOR = 200, 64
@@ -227,10 +227,10 @@ def _small(rows: DataFrame, text: str) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3).compress
         for whole in batches:
             for b in parts(whole, at):
-                yield b.set_column(at, text, pa.array([pack(x.as_py() or b"") for x in b.column(at)], pa.binary()))
+                yield b.set_column(at, b.schema.names[at], pa.array([pack(x.as_py() or b"") for x in b.column(at)], pa.binary()))
         release()
 
-    return rows.mapInArrow(run, rows.schema)
+    return map_arrow(rows, run, rows.schema)
 
 
 def repeated_starts(fragments: list[bytes], counts: list[int], window: int = WINDOW) -> list[np.ndarray]:
@@ -370,9 +370,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     hits = runs.join(spans, same).select("doc", tag_of(F.col("run")).alias("tag"), lo.alias("lo"), F.explode("spans").alias("x"))
     hits = hits.groupBy("doc", "tag").agg(F.collect_list(F.struct((F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e"))).alias("hits"))
     k_doc, k_tag, k_data, h_doc, h_tag, h_hits = (free_name(docs, x) for x in ("__doc", "__tag", "__data", "__h_doc", "__h_tag", "__hits"))
-    own = [F.col(f"`{f.name}`") for f in others]
+    own = quoted([f.name for f in others])
     keyed = _small(docs.select(*own, doc.alias(k_doc), tag.alias(k_tag), data.alias(k_data)), k_data)
     hits = hits.select(F.col("doc").alias(h_doc), F.col("tag").alias(h_tag), F.col("hits").alias(h_hits))
     joined = keyed.join(hits, (F.col(k_doc) == F.col(h_doc)) & (F.col(k_tag) == F.col(h_tag)), "left").select(k_data, h_hits, *own)
     span = T.StructType([T.StructField("s", T.LongType()), T.StructField("e", T.LongType())])
-    return joined.mapInArrow(_remove(window), T.StructType([*others, T.StructField("removed_bytes", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]))
+    return map_arrow(joined, _remove(window), T.StructType([*others, T.StructField("removed_bytes", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]))
