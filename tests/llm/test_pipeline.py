@@ -1,5 +1,6 @@
 """The pipeline stage by stage on the smallest table."""
 
+import glob
 import random
 import zlib
 from collections import Counter
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vectide.llm import line_dedup, mixing, packing, secret_scan, similar, simhash, suffix_dedup
+from vectide.llm.common import shared_dir
 
 
 def test_stages(spark, sf):
@@ -34,9 +36,16 @@ def test_stages(spark, sf):
     assert max(fill.values()) <= packing.CONTEXT
 
 
+def made(spark):
+    return glob.glob(shared_dir(spark).removeprefix("file:") + "/vectide-*")
+
+
 def test_run(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "secret_scan", "source_mixing", "best_fit_packing"]
+    before = set(made(spark))
     assert corpus_pipeline.run(spark, sf).count() > 0
+    left = [p.split("/vectide-")[1].rsplit("-", 1)[0] for p in set(made(spark)) - before]
+    assert left == ["best_fit_packing"]  # intermediate tables are gone
 
 
 def test_near_copies_with_edited_words_go(spark, sf):

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,32 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_scopes: list[set[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/vectide-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/vectide-{name}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.add(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """The paths of the tables that are made inside; those that are still in it at the end are deleted."""
+    made: set[str] = set()
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not made]
+        for path in made:
+            delete(spark, path)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -51,8 +76,7 @@ def drop(df: DataFrame) -> None:
     paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
     for p in paths:
         if "/vectide-" in p:
-            path = spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, p)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -80,7 +80,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     """Writes a record for each row of pages (page_id, url, html, ...) to archives under the path, which must not exist.
 
     Of equal payloads of REVISIT_BYTES or more the one with the smallest page_id is a response and the others revisit
-    it; a null page_id never is the response unless no other is. A null html is an empty payload, a null url leaves the
+    it; a null page_id never is the response unless no other is. Rows that repeat a response's page_id and payload are
+    responses too, as a record can't revisit its own id. A null html is an empty payload, a null url leaves the
     field out; rows are written as often as they occur. Any file system that Spark can write to will do.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
