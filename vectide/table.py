@@ -12,16 +12,19 @@ from .errors import DesynchronizedPair, DimensionMismatch, IdOutOfBounds, Invali
 from .functions.metrics import Metric, metric
 from .operators import search
 
-#: Rows numbered in one task when ids are made dense.
-NUMBERING_BITS = 16
+#: Rows numbered in one task when ids are made dense, about.
+NUMBERING = 1 << 16
 
 
 def dense_ids(rows: DataFrame, order: str, name: str) -> DataFrame:
     """rows with a dense number from 0 in the order of a long column of different values, none of them null.
 
-    Ranges of 2^NUMBERING_BITS values are counted, their starts summed, and rows numbered within them.
+    The values' span is cut into ranges of equal width, so wide that evenly spread values make NUMBERING rows each; ranges
+    are counted, their starts summed, and rows numbered within them.
     """
-    r = F.shiftright(F.col(order), NUMBERING_BITS)
+    n, low, high = rows.agg(F.count("*"), F.min(order), F.max(order)).first()
+    bits = max(0, ((high - low + 1) * NUMBERING // max(n, 1)).bit_length() - 1) if n else 0
+    r = F.shiftright(F.col(order).cast("long"), min(bits, 63))
     sizes = rows.groupBy(r.alias("__range")).agg(F.count("*").alias("__n"))
     w = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
     starts = sizes.select("__range", (F.sum("__n").over(w) - F.col("__n")).alias("__start"))
