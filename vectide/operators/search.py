@@ -95,13 +95,16 @@ def query_lots(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.nd
     def lot() -> tuple[np.ndarray, np.ndarray]:
         return np.array([r[0] for r in held], dtype=np.int64), np.array([r[1] for r in held], dtype=np.float64)
 
-    for r in queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>")).toLocalIterator():
+    asked = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"))
+    most = max(1, QUERY_COMPONENTS // max(dim, 1))
+    first = asked.limit(most + 1).collect()  # mostly all
+    for r in first if len(first) <= most else asked.toLocalIterator():
         if r[1] is None or None in r[1]:
             raise InvalidVector(f"query {r[0]} is null or has null components")
         if len(r[1]) != (dim or len(held[0][1] if held else r[1])):
             raise DimensionMismatch(dim or len(held[0][1]), len(r[1]))
         held.append(r)
-        if len(held) >= max(1, QUERY_COMPONENTS // max(dim, 1)):
+        if len(held) >= most:
             yield lot()
             held = []
     if held:

@@ -97,8 +97,9 @@ def save_graph(index: GraphIndex, path: str, payload: DataFrame | None = None) -
     index.nodes.write.partitionBy("shard").parquet(f"{path}/nodes")
     if payload is not None:
         payload.write.parquet(f"{path}/payload")
-    top = index.nodes.orderBy(F.desc("level"), "id").select("id", "level").first()
-    fields = {"kind": "graph", "version": VERSION, "n": index.nodes.count(), "dim": index.dim, "metric": index.metric.id, "config": json.loads(index.config.to_json()), "compact": "dists" not in index.nodes.columns, "payload": payload is not None}
+    kept = spark.read.parquet(f"{path}/nodes")  # not built again
+    top = kept.orderBy(F.desc("level"), "id").select("id", "level").first()
+    fields = {"kind": "graph", "version": VERSION, "n": kept.count(), "dim": index.dim, "metric": index.metric.id, "config": json.loads(index.config.to_json()), "compact": "dists" not in index.nodes.columns, "payload": payload is not None}
     _write_metadata(spark, path, fields | {"entry_id": top[0] if top else None, "entry_level": top[1] if top else None})
 
 
