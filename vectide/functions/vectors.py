@@ -10,7 +10,7 @@ UNROLL = 128
 
 
 def _sum(terms: list[Column]) -> Column:
-    """Left to right, but nested to a depth of the logarithm only where the plan would be too deep."""
+    """The sum from left to right, as the lambdas add too."""
     total = terms[0]
     for t in terms[1:]:
         total = total + t
