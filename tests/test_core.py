@@ -395,6 +395,7 @@ def test_fvecs(spark, tmp_path):
     got = {r.row: r.vector for r in files.read_fvecs(spark, path).collect()}
     assert got == {r.id: r.vector for r in v.collect()}
     assert files.read_fvecs(spark, path, 3).count() == 3 and files.fvecs_rows(spark, path, [7]).first().vector == got[7]
+    assert [r.row for r in files.fvecs_rows(spark, path, [2, 0, 10_000]).collect()] == [0, 2]
     for name, data in {"dim": np.array([-1, 0], "<i4").tobytes(), "cut": np.array([2, 0], "<i4").tobytes(), "mixed": np.array([1, 0, 2, 0], "<i4").tobytes(), "nan": np.array([1], "<i4").tobytes() + np.array([np.nan], "<f4").tobytes()}.items():
         (tmp_path / name).write_bytes(data)
         with pytest.raises(Exception):

@@ -617,6 +617,15 @@ def fvecs_roundtrip(spark, sf_dir):
     return _told(files.read_fvecs(spark, path), "row")
 
 
+@query("fvecs_rows", f"SELECT o - 1 AS row, round(list_sum(embedding::DOUBLE[]), {DIGITS}) AS total FROM (SELECT *, row_number() OVER (ORDER BY vec_id) AS o FROM embeddings) WHERE (o - 1) % 37 = 5 AND o <= 400")
+def fvecs_rows(spark, sf_dir):
+    """Single rows of a file, by their places."""
+    path = scratch_path(spark, "fvecs") + "/all.fvecs"
+    files.write_fvecs(embeddings(spark, sf_dir), path)
+    got = files.fvecs_rows(spark, path, list(range(5, 400, 37)))
+    return got.select("row", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double")), DIGITS).alias("total"))
+
+
 @query("matrix_roundtrip", f"{_SAME} FROM embeddings")
 def matrix_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "matrix") + "/all.f32"
