@@ -237,6 +237,50 @@ def test_graph_is_reproducible_and_grows(spark, built):
         g.search(uniform(spark, 1, 3, 1, "query_id"), 1, 5)
 
 
+def test_refused_rows_count_in_shards_without_hits(spark, built):
+    """The condition holds in one shard only; rows of the other are met and refused, though it returns nothing."""
+    path, t, e, q = built
+    g, _ = snapshot.load_graph(spark, path, "euclidean")
+    shard = F.crc32(F.col("id").cast("string").cast("binary")) % 2
+    got = g.search(q, 5, 1000, where=shard == 0, payload=e.select("id"), counters=True)
+    other = e.where(shard == 1).count()
+    assert other > 0 and {r.refused for r in got.select("refused").distinct().collect()} == {other}
+
+
+def test_codes_of_other_rows_are_refused(spark):
+    e = uniform(spark, 200, 64, 5)
+    c = quantize.Codec(64)
+    g = graph.build(VectorTable.create(e, "cosine", id="id"), IndexConfig(m=8, ef_construction=60))
+    q = spark.createDataFrame([(0, [1.0] * 64)], "query_id long, vector array<double>")
+    rows = quantize.quantize(e, c)
+    for odd in (rows.where("id % 2 = 0"), rows.unionByName(quantize.quantize(uniform(spark, 210, 64, 5).where("id >= 200"), c))):
+        with pytest.raises(errors.IncompatibleIndex):
+            g.search(q, 5, 50, codes=odd, codec=c)
+
+
+def test_shards_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SHARD_ROWS", 60)
+    g = graph.build(VectorTable.create(uniform(spark, 250, 8, 1), id="id"), IndexConfig(m=8, ef_construction=40))
+    assert g.config.shards == 5 and g.nodes.select("shard").distinct().count() == 5
+
+
+def test_scorers_and_lots(spark, built, monkeypatch):
+    """Any distance of query and ids; queries in several lots give what one lot gives."""
+    path, t, e, q = built
+    g, _ = snapshot.load_graph(spark, path, "euclidean")
+    whole = sorted(map(tuple, g.search(q, 5, 60).collect()))
+    monkeypatch.setattr(search, "QUERY_COMPONENTS", 32 * 7)
+    assert sorted(map(tuple, g.search(q, 5, 60).collect())) == whole
+    got = g.search(q.where("query_id = 3"), 4, 1000, scorer=lambda x, ids: abs(ids - 500.25) + 0 * x[0]).orderBy("rank").collect()
+    assert [r.id for r in got] == [500, 501, 499, 502] and got[0].distance == 0.25
+
+
+def test_provenance():
+    told = {"model": "m", "revision": "r", "sha": "a" * 64}
+    assert evaluate.provenance_gate(told, {"model": "m"}, ("sha",))
+    assert not evaluate.provenance_gate(told, {"model": "n"}) and not evaluate.provenance_gate(told, {}, ("revision",)) and not evaluate.provenance_gate(told, {}, ("none",))
+
+
 def test_graph_snapshot_finds_damage(spark, built):
     path, t, e, q = built
     g, _ = snapshot.load_graph(spark, path, "euclidean")
