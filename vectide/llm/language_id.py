@@ -20,6 +20,9 @@ SYMBOL_BITS, GRAMS = 6, 1 << 18
 PIECE_BYTES = 1 << 20
 #: Languages that a model has at most: each takes a megabyte in the driver and in every worker.
 MOST_LANGUAGES = 256
+#: Log likelihood that further steps of expectation-maximisation might add. A text that no set of languages can explain better
+#: than its best language alone, even with so much more, isn't fitted again.
+STEPS_LEFT = 2.0
 #: Overlapping trigrams count as this many independent ones each.
 INDEPENDENT = 1 / 3
 
@@ -111,11 +114,17 @@ def learn(labelled: DataFrame, smoothing: float = 0.5) -> Model:
     return Model(tuple(langs), np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32) if langs else np.zeros((0, GRAMS), np.float32))
 
 
+def _penalty(size: int, total: np.ndarray) -> np.ndarray:
+    """What a set of so many languages costs a text of so many independent trigrams."""
+    return 0.5 * (size - 1) * np.log(np.maximum(total, 2.0)) + 2.0 * (size - 1)
+
+
 def _mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, loglik: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
     """The language proportions of each document (documents x languages, zero outside the chosen set) and a confidence.
 
     doc, gram, n: trigram counts by document, ascending. For each set size the likeliest languages of the full mixture
-    are fitted anew; half the logarithm of the count for each proportion decides between the sizes.
+    are fitted anew, unless the full one shows that no mixture can beat one language; half the logarithm of the count for
+    each proportion decides between the sizes.
     """
     langs = loglik.shape[0]
     ll = loglik.T[gram].astype(np.float64)  # entries x languages
@@ -157,13 +166,16 @@ def _mixtures(doc: np.ndarray, gram: np.ndarray, n: np.ndarray, docs: int, logli
                 q = np.add.reduceat(r * (ww / np.maximum(s, 1e-300))[:, None], first, axis=0)
                 q /= np.maximum(q.sum(axis=1, keepdims=True), 1e-300)
             value = np.add.reduceat(ww * np.log(np.maximum((q[here] * p).sum(axis=1), 1e-300)), first) + shift[own]
-            value -= 0.5 * (size - 1) * np.log(np.maximum(total[own], 2.0)) + 2.0 * (size - 1)
+            most = value  # no smaller set has a larger likelihood than all, but for what further steps would add
+            value = value - _penalty(size, total[own])
             better = value > gain[own]
             gain[own[better]] = value[better]
             pick[own[better]] = q[better]
             least = np.argmin(np.where(q > 0, q, np.inf), axis=1)
             q[np.arange(len(own)), least] = 0.0
             pi[own] = q / np.maximum(q.sum(axis=1, keepdims=True), 1e-300)
+            if size == langs:
+                ahead[own] = most + STEPS_LEFT - _penalty(2, total[own]) > gain[own]
     outside = np.where(pick > 0, -np.inf, single).max(axis=1)
     inside = np.where(pick > 0, single, -np.inf).max(axis=1)
     sure = 1.0 / (1.0 + np.exp(np.clip(outside - inside, -50, 50)))
