@@ -97,10 +97,6 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*quoted([f.name for f in df.schema if "map<" not in f.dataType.simpleString()]))
 
 
-def text_or_empty(col: str = "text"):
-    return F.coalesce(F.col(col).cast("string"), F.lit(""))
-
-
 def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """df.mapInArrow() for columns of any names, with dots and backticks too; run must go by places."""
     names = [f"c{i}" for i in range(len(schema))]

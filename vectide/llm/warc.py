@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 # Fixed values of the formats: magic numbers of Zstandard frames, and the fields that each record must have.
 FRAME, DICTIONARY, SKIPPABLE = 0xFD2FB528, 0x184D2A5D, range(0x184D2A50, 0x184D2A60)
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
-DICTIONARY_MAGIC = 0xEC30A437
 #: Spark's text writer puts a separator after each row. This one is an empty skippable frame, which readers pass over.
 EMPTY_FRAME = "P*M\x18\x00\x00\x00\x00"
 
