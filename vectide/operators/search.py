@@ -15,8 +15,6 @@ from ..functions.metrics import Metric, metric
 
 #: Queries sent to the executors at once, in components: 64 MB of doubles. More go in further passes over the table.
 QUERY_COMPONENTS = 8 << 20
-#: Rows and queries whose differences a task holds at once.
-_TILE = 1 << 22
 
 
 def dimension(vectors: DataFrame, vector: str = "vector") -> int:
