@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -247,6 +248,73 @@ def test_refused_rows_count_in_shards_without_hits(spark, built):
     assert other > 0 and {r.refused for r in got.select("refused").distinct().collect()} == {other}
 
 
+def shard_of(n, dim, seed, by="euclidean", **change):
+    """A graph of n normal vectors, without Spark."""
+    m = metrics.metric(by)
+    g = graph.Graph(dim, m, IndexConfig(m=8, ef_construction=40, shards=1, **change))
+    g.add(np.arange(n), np.random.default_rng(seed).normal(size=(n, dim)))
+    return g, graph.scored(m, g.vectors, g.vectors)
+
+
+@pytest.mark.parametrize("filtered", [False, True])
+def test_beams_without_end_meet_what_links_lead_to(filtered, monkeypatch):
+    """As the walk does step by step, also where some nodes lead out of a part of the graph but not back."""
+    g, score = shard_of(300, 8, 1)
+    base, ok = g.layers[0], np.arange(300) % 3 > 0 if filtered else None
+    part = np.arange(300) < 120
+    base.near[~part] = np.where(part[base.near[~part]], -1, base.near[~part])
+    q = np.arange(0, 300, 7)
+    at, d = g._descend(score, q)
+    assert len(set(part[at])) == 2
+    place, dist, refused, _ = g._beam(score, q, at, d, 300, 300, ok)
+    monkeypatch.setattr(graph.Graph, "_beam", None)
+    products = graph.Products.of(g.metric, g.vectors)
+    for lists in (None, lambda who, k, rows: products.lists(g.vectors[who], k, rows)):
+        got = g.search(g.vectors[q], lambda who, to: score(q[who], to), 9, 300, ok, None, lists and (lambda who, k, rows: lists(q[who], k, rows)))
+        for i in range(len(q)):
+            order = np.lexsort((place[i], dist[i]))[:9]
+            assert got[0][i].tolist() == place[i][order].tolist() and np.array_equal(got[1][i], dist[i][order])
+        assert got[2].tolist() == refused.tolist()
+
+
+def test_wide_beams_take_little_memory():
+    g, score = shard_of(2000, 8, 2)
+    products = graph.Products.of(g.metric, g.vectors)
+    tracemalloc.start()
+    got = g.search(g.vectors[:1000], score, 5, 2000, np.arange(2000) % 2 == 0, None, lambda who, k, rows: products.lists(g.vectors[who], k, rows))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [x[0] for x in got[0][::2]] == list(range(0, 1000, 2)) and peak < 60e6
+
+
+@pytest.mark.parametrize("by", ["euclidean", "sqeuclidean", "cosine", "dot", "manhattan"])
+def test_candidates_are_the_nearest(by):
+    """Also of vectors so far from the origin that products tell little, with copies."""
+    g, _ = shard_of(10, 6, 3, by)
+    v = 1e4 + np.random.default_rng(4).normal(size=(400, 6)) * 1e-5
+    v[200:210] = v[100]
+    g.vectors = v
+    layer = graph.Layer.empty(4)
+    layer.grow(400, np.arange(400))
+    nodes, between = np.arange(350, 382), graph.pairs(g.metric)
+    for node, (at, d) in zip(nodes, g._candidates(layer, nodes, graph.Products.of(g.metric, v))):
+        true = between(v[np.full(node, node)], v[:node])
+        order = np.lexsort((np.arange(node), true))[:40]
+        assert at.tolist() == order.tolist() and np.allclose(d, true[order], rtol=0, atol=1e-12)
+
+
+def test_own_metrics_get_many_rows_at_once():
+    calls = []
+    own = metrics.Metric(2001, "most", lambda a, b, d: a, lambda q, v: calls.append(len(v)) or np.abs(v - q).max(axis=1))
+    g = graph.Graph(4, own, IndexConfig(m=8, ef_construction=40, shards=1, use_heuristic=False))
+    v = np.random.default_rng(5).normal(size=(500, 4))
+    g.add(np.arange(500), v)
+    calls.clear()
+    got = g.search(v[:20], graph.scored(own, v[:20], v), 3, 500)
+    assert [x[0] for x in got[0]] == list(range(20)) and len(calls) < 20 * 12
+    assert all(np.array_equal(x, np.lexsort((np.arange(500), np.abs(v - q).max(axis=1)))[:3]) for x, q in zip(got[0], v))
+
+
 def test_codes_of_other_rows_are_refused(spark):
     e = uniform(spark, 200, 64, 5)
     c = quantize.Codec(64)

@@ -28,6 +28,8 @@ from .search import query_lots, top_k
 MOST_LEVEL = 64
 #: Rows of a shard where the number of shards isn't set; nodes whose neighbours are chosen at once; marks of visited nodes.
 SHARD_ROWS, BATCH, VISITED = 8192, 32, 32 << 20
+#: Numbers of vectors that an own metric gets at once; places that the lists of a lot of queries have at most.
+STRETCH, PLACES = 1 << 16, 4 << 20
 
 NODES = "shard int, id long, vector array<double>, level int, links array<array<long>>, dists array<array<float>>"
 
@@ -62,17 +64,81 @@ def pairs(metric: Metric) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return lambda q, v: np.array([metric.kernel(x, y[None])[0] for x, y in zip(q, v)])
 
 
+def _kernel(metric: Metric, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """metric.kernel() in stretches that stay in the processor's cache."""
+    step = max(1, STRETCH // max(v.shape[1], 1))
+    return np.concatenate([metric.kernel(q, v[at : at + step]) for at in range(0, len(v), step)]) if len(v) else np.zeros(0)
+
+
+def scored(metric: Metric, q: np.ndarray, v: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """score(rows of q, rows of v): pairs(), or for own metrics a call for each stretch of rows of one query."""
+    if metric.id < FIRST_CUSTOM_ID:
+        between = pairs(metric)
+        return lambda who, at: between(q[who], v[at])
+
+    def score(who: np.ndarray, at: np.ndarray) -> np.ndarray:
+        ends = np.append(np.flatnonzero(who[1:] != who[:-1]) + 1, len(who)) if len(who) else []
+        starts = np.append(0, ends[:-1]) if len(who) else []
+        return np.concatenate([np.zeros(0), *[_kernel(metric, q[who[a]], v[at[a:b]]) for a, b in zip(starts, ends)]])
+
+    return score
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+class Products:
+    """Tells by matrix products which rows of a matrix may be among the k nearest to a query.
+
+    That is all but those that are farther than the k-th by more than products can err by, so the exact distances of the
+    rows that are left decide.
+    """
+
+    def __init__(self, by: str, v: np.ndarray):
+        self.by, self.v = by, _units(v) if by == "cosine" else v
+        self.squares = np.einsum("ij,ij->i", self.v, self.v)
+        self.longest = math.sqrt(self.squares.max(initial=0))
+
+    @classmethod
+    def of(cls, metric: Metric, *all_rows: np.ndarray) -> Products | None:
+        """For the last matrix; None for metrics that aren't told by products, and for numbers whose squares leave the range."""
+        if metric.id >= FIRST_CUSTOM_ID or metric.name not in ("euclidean", "sqeuclidean", "cosine", "dot"):
+            return None
+        for x in all_rows:
+            most = np.abs(x).max(axis=1, initial=0)
+            if not (most < 1e70).all() or (metric.name == "cosine" and ((most > 0) & (most < 1e-70)).any()):
+                return None
+        return cls(metric.name, all_rows[-1])
+
+    def lists(self, q: np.ndarray, k: int, rows: np.ndarray | slice = slice(None), first: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each query the places among rows, or among so many first of them, that may be of the k nearest."""
+        if self.by == "cosine":
+            q = _units(q)
+        s = q @ self.v[rows].T
+        length = np.sqrt(np.einsum("ij,ij->i", q, q))
+        if self.by in ("cosine", "dot"):
+            s, size = np.negative(s, out=s), self.longest * length + 1
+        else:
+            s *= -2
+            s += self.squares[rows]
+            size = (self.longest + length) ** 2
+        off = 16 * (q.shape[1] + 8) * np.finfo(float).eps * size + 1e-300
+        out = []
+        for i, x in enumerate(s):
+            x = x if first is None else x[: first[i]]
+            out.append(np.arange(len(x)) if len(x) <= k else np.flatnonzero(x <= np.partition(x, k - 1)[k - 1] + off[i]))
+        return out
+
+
 def rough(metric: Metric, q: np.ndarray, v: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray] | None:
     """score(rows of q, rows of v): pairs() in single precision, squared if Euclidean; None where that isn't enough."""
     if metric.id >= FIRST_CUSTOM_ID or not (np.abs(q).max(initial=0) < 1e15 and np.abs(v).max(initial=0) < 1e15):
         return None
 
-    def unit(x: np.ndarray) -> np.ndarray:
-        n = np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
-
     if metric.name == "cosine":
-        q, v = unit(q), unit(v)
+        q, v = _units(q), _units(v)
     q, v = q.astype(np.float32), v.astype(np.float32)
     if metric.name in ("cosine", "dot"):
         return lambda who, at: 1 - np.einsum("ij,ij->i", q[who], v[at])
@@ -198,17 +264,27 @@ class Graph:
                 if d < layer.dist[r, j]:
                     layer.near[r, j], layer.dist[r, j] = node, d
 
-    def _candidates(self, layer: Layer, node: int) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest earlier nodes of a layer, ascending by distance and place."""
-        earlier = layer.nodes[: np.searchsorted(layer.nodes, node)]
-        v = self.vectors[:node] if len(earlier) == node else self.vectors[earlier]
-        d = self.metric.kernel(self.vectors[node], v) if len(earlier) else np.zeros(0)
-        ef = self.config.ef_construction
-        if len(d) > ef:
-            at = np.flatnonzero(d <= np.partition(d, ef - 1)[ef - 1])
-            earlier, d = earlier[at], d[at]
-        order = np.lexsort((earlier, d))[:ef]
-        return earlier[order], d[order]
+    def _candidates(self, layer: Layer, nodes: np.ndarray, products: Products | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of some ascending nodes the nearest earlier nodes of a layer, ascending by distance and place."""
+        ef, first = self.config.ef_construction, np.searchsorted(layer.nodes, nodes)
+        earlier = layer.nodes[: first[-1]]
+        rows = slice(0, len(earlier)) if len(earlier) == nodes[-1] else earlier  # all nodes, or some
+        if products is None:
+            v = self.vectors[rows]
+            lists, dists = [np.arange(n) for n in first], [_kernel(self.metric, self.vectors[x], v[:n]) for x, n in zip(nodes, first)]
+        else:
+            lists = products.lists(self.vectors[nodes], ef, rows, first)
+            sizes = [len(x) for x in lists]
+            d = pairs(self.metric)(self.vectors[np.repeat(nodes, sizes)], self.vectors[earlier[np.concatenate(lists)]])
+            dists = np.split(d, np.cumsum(sizes)[:-1])
+        out = []
+        for at, d in zip(lists, dists):
+            if len(d) > ef:
+                some = np.flatnonzero(d <= np.partition(d, ef - 1)[ef - 1])
+                at, d = at[some], d[some]
+            order = np.lexsort((at, d))[:ef]
+            out.append((earlier[at[order]], d[order]))
+        return out
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         """Inserts rows in ascending id."""
@@ -221,14 +297,15 @@ class Graph:
         for number, layer in enumerate(self.layers):
             layer.grow(len(self.ids), first + np.flatnonzero(levels >= number))
         step = 1 if c.use_heuristic and c.extend_candidates else BATCH
+        products = Products.of(self.metric, self.vectors)
         for number, layer in enumerate(self.layers):
             most, new = c.max_links(number), layer.nodes[np.searchsorted(layer.nodes, first) :]
             for at in range(0, len(new), step):
-                self._insert(layer, most, new[at : at + step])
+                self._insert(layer, most, new[at : at + step], products)
 
-    def _insert(self, layer: Layer, most: int, nodes: np.ndarray) -> None:
+    def _insert(self, layer: Layer, most: int, nodes: np.ndarray, products: Products | None) -> None:
         c = self.config
-        found = [self._candidates(layer, int(x)) for x in nodes]
+        found = self._candidates(layer, nodes, products)
         if c.use_heuristic and c.extend_candidates and len(found[0][0]):
             near, d = found[0]
             more = np.setdiff1d(layer.near[layer.row[near]], np.append(near, -1))
@@ -246,12 +323,14 @@ class Graph:
 
     # searching
 
-    def search(self, queries: np.ndarray, score: Callable, k: int, ef: int, ok: np.ndarray | None = None, walk: Callable | None = None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    def search(self, queries: np.ndarray, score: Callable, k: int, ef: int, ok: np.ndarray | None = None, walk: Callable | None = None, lists: Callable | None = None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """For each query the places and distances of the k nearest that a beam of ef finds, and how many refused nodes it met.
 
         score(query numbers, places) gives distances; walk does so roughly, for all but the results. All queries walk together, a step of each at a time. Nodes that
         aren't ok are walked through but not returned; then a walk ends once its nearest open node is farther than ef
-        results.
+        results. Where nothing can end a walk or shorten its list, as ef is all nodes or more than are ok, it meets all that
+        links lead to whatever their distances, so the order of steps is left out; lists(query numbers, k, places) may then
+        tell for each query which of the places can be among the k nearest.
         """
         n, ef = len(self.ids), min(max(ef, k), max(len(self.ids), 1))
         places: list[np.ndarray] = []
@@ -259,18 +338,26 @@ class Graph:
         refused = np.zeros(len(queries), dtype=np.int64)
         if not n:
             return [np.zeros(0, np.int64)] * len(queries), [np.zeros(0)] * len(queries), refused
-        lot = max(1, VISITED // n)
+        width = ef if ok is None else min(n, int(2 * ef / max(ok.mean(), 1e-9)) + 64)
+        endless = ef >= n or (ok is not None and ok.sum() < ef)
+        lot = max(1, min(VISITED // n, PLACES // width))
         for first in range(0, len(queries), lot):
             q = np.arange(first, min(first + lot, len(queries)))
             at, d = self._descend(walk or score, q)
-            width = ef if ok is None else min(n, int(2 * ef / max(ok.mean(), 1e-9)) + 64)
-            got = self._beam(walk or score, q, at, d, ef, width, ok)
+            if endless:
+                for x, y, r in self._everywhere(score, q, at, k, ok, lists):
+                    places.append(x)
+                    dists.append(y)
+                    refused[len(places) - 1] = r
+                continue
+            got, wider = self._beam(walk or score, q, at, d, ef, width, ok), width
             while ok is not None and got[3].any():  # some lists were too short to go on
-                again = np.flatnonzero(got[3])
-                width = min(n, 4 * width)
-                more = self._beam(walk or score, q[again], at[again], d[again], ef, width, ok)
-                for j, i in enumerate(again):
-                    got[0][i], got[1][i], got[2][i], got[3][i] = more[0][j], more[1][j], more[2][j], more[3][j]
+                cut = np.flatnonzero(got[3])
+                wider = min(n, 4 * wider)
+                for again in np.array_split(cut, -(-len(cut) * wider // PLACES)):
+                    more = self._beam(walk or score, q[again], at[again], d[again], ef, wider, ok)
+                    for j, i in enumerate(again):
+                        got[0][i], got[1][i], got[2][i], got[3][i] = more[0][j], more[1][j], more[2][j], more[3][j]
             if walk is not None:
                 sizes = [len(x) for x in got[0]]
                 got = (got[0], np.split(score(np.repeat(q, sizes), np.concatenate(got[0])), np.cumsum(sizes)[:-1]), got[2], got[3])
@@ -281,6 +368,65 @@ class Graph:
             refused[q] = got[2]
         return places, dists, refused
 
+    def _reached(self, entries: np.ndarray) -> dict[int, np.ndarray]:
+        """For each of some nodes a mask of those that links of the base layer lead to from it, itself included."""
+        n, near = len(self.ids), self.layers[0].near
+        r, c = np.nonzero(near >= 0)
+        to = near[r, c]
+        order = np.argsort(to, kind="stable")
+        starts, back = np.searchsorted(to[order], np.arange(n + 1)), r[order]
+
+        def spread(start: int, ends: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+            seen, front = np.zeros(n, dtype=bool), np.array([start])
+            seen[start] = True
+            while len(front):
+                x = ends(front)
+                front = np.unique(x[~seen[x]])
+                seen[front] = True
+            return seen
+
+        def forth(front: np.ndarray) -> np.ndarray:
+            x = near[front].ravel()
+            return x[x >= 0]
+
+        def behind(front: np.ndarray) -> np.ndarray:
+            size = starts[front + 1] - starts[front]
+            return back[np.repeat(starts[front] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+        first = int(entries[0])
+        out = {first: spread(first, forth)}
+        both = out[first] & spread(first, behind)  # these lead to the same nodes
+        for x in np.unique(entries).tolist():
+            if x not in out:
+                out[x] = out[first] if both[x] else spread(x, forth)
+        return out
+
+    def _everywhere(self, score: Callable, q: np.ndarray, at: np.ndarray, k: int, ok: np.ndarray | None, lists: Callable | None):
+        """(places, distances, refused) of each query, of walks from at that meet all that links lead to."""
+        reached = self._reached(at)
+        seen, some, told = None, np.zeros(0, np.int64), 0
+        step = max(1, PLACES // len(self.ids)) if lists else 1
+        first = 0
+        while first < len(q):
+            if reached[int(at[first])] is not seen:
+                seen = reached[int(at[first])]
+                some = np.flatnonzero(seen if ok is None else seen & ok)
+                told = 0 if ok is None else int((seen & ~ok).sum())
+            last = first + 1
+            while last < min(first + step, len(q)) and reached[int(at[last])] is seen:
+                last += 1
+            mine = q[first:last]
+            short = [some[x] for x in lists(mine, k, some)] if lists else [some]
+            sizes = [len(x) for x in short]
+            dist = score(np.repeat(mine, sizes), np.concatenate(short))
+            for x, y in zip(short, np.split(dist, np.cumsum(sizes)[:-1])):
+                if len(y) > k:
+                    kept = np.flatnonzero(~(y > np.partition(y, k - 1)[k - 1]))
+                    x, y = x[kept], y[kept]
+                order = np.lexsort((x, y))[:k]
+                yield x[order], y[order], told
+            first = last
+
     def _descend(self, score: Callable, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest nodes that walking downhill reaches above the base layer."""
         entry = int(self.levels.argmax())
@@ -472,7 +618,7 @@ class GraphIndex:
         def searched(numbers: np.ndarray, q: np.ndarray):
             def run(rows: pa.Table) -> pa.Table:
                 rows = rows.sort_by("id")
-                graph, walk = Graph.of(rows, dim, metric, config), None
+                graph, walk, lists = Graph.of(rows, dim, metric, config), None, None
                 mask = rows.column("ok").to_numpy() if masked else None
                 if scorer is not None:
 
@@ -487,10 +633,13 @@ class GraphIndex:
                     stood = codec.levels[codec.unpack(packed)] * rows.column("scale").to_numpy()[:, None]
                     turned = np.array([codec.prepare(x).rotated for x in q])
                     score = lambda who, at: 1 - np.einsum("ij,ij->i", stood[at], turned[who])
+                    product = Products("dot", stood)
+                    lists = lambda who, k, at: product.lists(turned[who], k, at)
                 else:
-                    between, walk = pairs(metric), rough(metric, q, graph.vectors)
-                    score = lambda who, at: between(q[who], graph.vectors[at])
-                places, dists, refused = graph.search(q, score, k, ef, mask, walk)
+                    score, walk = scored(metric, q, graph.vectors), rough(metric, q, graph.vectors)
+                    products = Products.of(metric, q, graph.vectors)
+                    lists = products and (lambda who, k, at: products.lists(q[who], k, at))
+                places, dists, refused = graph.search(q, score, k, ef, mask, walk, lists)
                 sizes = [len(x) for x in places]
                 told = np.flatnonzero(refused)
                 none = pa.nulls(len(told), pa.int64())
