@@ -257,24 +257,21 @@ def shard_of(n, dim, seed, by="euclidean", **change):
 
 
 @pytest.mark.parametrize("filtered", [False, True])
-def test_beams_without_end_meet_what_links_lead_to(filtered, monkeypatch):
-    """As the walk does step by step, also where some nodes lead out of a part of the graph but not back."""
+def test_beams_without_end_meet_all_nodes(filtered, monkeypatch):
+    """Also those that no links lead to, without steps."""
     g, score = shard_of(300, 8, 1)
     base, ok = g.layers[0], np.arange(300) % 3 > 0 if filtered else None
-    part = np.arange(300) < 120
-    base.near[~part] = np.where(part[base.near[~part]], -1, base.near[~part])
-    q = np.arange(0, 300, 7)
-    at, d = g._descend(score, q)
-    assert len(set(part[at])) == 2
-    place, dist, refused, _ = g._beam(score, q, at, d, 300, 300, ok)
+    base.near[np.isin(base.near, np.arange(40, 90))] = -1
+    q, some = np.arange(0, 300, 7), np.arange(300) if ok is None else np.flatnonzero(ok)
     monkeypatch.setattr(graph.Graph, "_beam", None)
     products = graph.Products.of(g.metric, g.vectors)
-    for lists in (None, lambda who, k, rows: products.lists(g.vectors[who], k, rows)):
-        got = g.search(g.vectors[q], lambda who, to: score(q[who], to), 9, 300, ok, None, lists and (lambda who, k, rows: lists(q[who], k, rows)))
-        for i in range(len(q)):
-            order = np.lexsort((place[i], dist[i]))[:9]
-            assert got[0][i].tolist() == place[i][order].tolist() and np.array_equal(got[1][i], dist[i][order])
-        assert got[2].tolist() == refused.tolist()
+    for lists in (None, lambda who, k, rows: products.lists(g.vectors[q[who]], k, rows)):
+        got = g.search(g.vectors[q], lambda who, to: score(q[who], to), 9, 300, ok, None, lists)
+        for x, y, i in zip(got[0], got[1], q):
+            d = score(np.full(len(some), i), some)
+            order = np.lexsort((some, d))[:9]
+            assert x.tolist() == some[order].tolist() and np.array_equal(y, d[order])
+        assert got[2].tolist() == [300 - len(some)] * len(q)
 
 
 def test_wide_beams_take_little_memory():
@@ -332,6 +329,12 @@ def test_shards_by_rows(spark, monkeypatch):
     assert g.config.shards == 5 and g.nodes.select("shard").distinct().count() == 5
 
 
+def test_shards_have_tasks_of_their_own(spark):
+    g = graph.build(VectorTable.create(uniform(spark, 400, 8, 1), id="id"), IndexConfig(m=8, ef_construction=40, shards=4))
+    tasks = g.nodes.select("shard", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == len({r.shard for r in tasks}) == len({r.task for r in tasks}) == 4
+
+
 def test_scorers_and_lots(spark, built, monkeypatch):
     """Any distance of query and ids; queries in several lots give what one lot gives."""
     path, t, e, q = built

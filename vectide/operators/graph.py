@@ -328,9 +328,9 @@ class Graph:
 
         score(query numbers, places) gives distances; walk does so roughly, for all but the results. All queries walk together, a step of each at a time. Nodes that
         aren't ok are walked through but not returned; then a walk ends once its nearest open node is farther than ef
-        results. Where nothing can end a walk or shorten its list, as ef is all nodes or more than are ok, it meets all that
-        links lead to whatever their distances, so the order of steps is left out; lists(query numbers, k, places) may then
-        tell for each query which of the places can be among the k nearest.
+        results. Where nothing can end a walk or shorten its list, as ef is all nodes or more than are ok, it goes on from nodes
+        that no links lead to, so it meets all whatever their distances, and the order of steps is left out;
+        lists(query numbers, k, places) may then tell for each query which of the places can be among the k nearest.
         """
         n, ef = len(self.ids), min(max(ef, k), max(len(self.ids), 1))
         places: list[np.ndarray] = []
@@ -343,13 +343,13 @@ class Graph:
         lot = max(1, min(VISITED // n, PLACES // width))
         for first in range(0, len(queries), lot):
             q = np.arange(first, min(first + lot, len(queries)))
-            at, d = self._descend(walk or score, q)
             if endless:
-                for x, y, r in self._everywhere(score, q, at, k, ok, lists):
+                for x, y, r in self._everywhere(score, q, k, ok, lists):
                     places.append(x)
                     dists.append(y)
                     refused[len(places) - 1] = r
                 continue
+            at, d = self._descend(walk or score, q)
             got, wider = self._beam(walk or score, q, at, d, ef, width, ok), width
             while ok is not None and got[3].any():  # some lists were too short to go on
                 cut = np.flatnonzero(got[3])
@@ -368,54 +368,12 @@ class Graph:
             refused[q] = got[2]
         return places, dists, refused
 
-    def _reached(self, entries: np.ndarray) -> dict[int, np.ndarray]:
-        """For each of some nodes a mask of those that links of the base layer lead to from it, itself included."""
-        n, near = len(self.ids), self.layers[0].near
-        r, c = np.nonzero(near >= 0)
-        to = near[r, c]
-        order = np.argsort(to, kind="stable")
-        starts, back = np.searchsorted(to[order], np.arange(n + 1)), r[order]
-
-        def spread(start: int, ends: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-            seen, front = np.zeros(n, dtype=bool), np.array([start])
-            seen[start] = True
-            while len(front):
-                x = ends(front)
-                front = np.unique(x[~seen[x]])
-                seen[front] = True
-            return seen
-
-        def forth(front: np.ndarray) -> np.ndarray:
-            x = near[front].ravel()
-            return x[x >= 0]
-
-        def behind(front: np.ndarray) -> np.ndarray:
-            size = starts[front + 1] - starts[front]
-            return back[np.repeat(starts[front] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-
-        first = int(entries[0])
-        out = {first: spread(first, forth)}
-        both = out[first] & spread(first, behind)  # these lead to the same nodes
-        for x in np.unique(entries).tolist():
-            if x not in out:
-                out[x] = out[first] if both[x] else spread(x, forth)
-        return out
-
-    def _everywhere(self, score: Callable, q: np.ndarray, at: np.ndarray, k: int, ok: np.ndarray | None, lists: Callable | None):
-        """(places, distances, refused) of each query, of walks from at that meet all that links lead to."""
-        reached = self._reached(at)
-        seen, some, told = None, np.zeros(0, np.int64), 0
+    def _everywhere(self, score: Callable, q: np.ndarray, k: int, ok: np.ndarray | None, lists: Callable | None):
+        """(places, distances, refused) of each query, of walks that meet all nodes."""
+        some = np.arange(len(self.ids)) if ok is None else np.flatnonzero(ok)
         step = max(1, PLACES // len(self.ids)) if lists else 1
-        first = 0
-        while first < len(q):
-            if reached[int(at[first])] is not seen:
-                seen = reached[int(at[first])]
-                some = np.flatnonzero(seen if ok is None else seen & ok)
-                told = 0 if ok is None else int((seen & ~ok).sum())
-            last = first + 1
-            while last < min(first + step, len(q)) and reached[int(at[last])] is seen:
-                last += 1
-            mine = q[first:last]
+        for first in range(0, len(q), step):
+            mine = q[first : first + step]
             short = [some[x] for x in lists(mine, k, some)] if lists else [some]
             sizes = [len(x) for x in short]
             dist = score(np.repeat(mine, sizes), np.concatenate(short))
@@ -424,8 +382,7 @@ class Graph:
                     kept = np.flatnonzero(~(y > np.partition(y, k - 1)[k - 1]))
                     x, y = x[kept], y[kept]
                 order = np.lexsort((x, y))[:k]
-                yield x[order], y[order], told
-            first = last
+                yield x[order], y[order], len(self.ids) - len(some)
 
     def _descend(self, score: Callable, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The nearest nodes that walking downhill reaches above the base layer."""
@@ -650,7 +607,7 @@ class GraphIndex:
 
         found = None
         for numbers, q in query_lots(queries, dim):
-            own = nodes.groupBy("shard").applyInArrow(searched(numbers, q), "query_id long, id long, distance double, refused long")
+            own = _apart(nodes, config).groupBy("shard").applyInArrow(searched(numbers, q), "query_id long, id long, distance double, refused long")
             found = own if found is None else found.unionByName(own)
         if found is None:
             found = nodes.sparkSession.createDataFrame([], "query_id long, id long, distance double, refused long")
@@ -723,6 +680,11 @@ def _shard(id: Column, shards: int) -> Column:
     return F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(shards)).cast("int")
 
 
+def _apart(rows: DataFrame, config: IndexConfig) -> DataFrame:
+    """rows with each shard in a task of its own, which a hash of few shards wouldn't give."""
+    return rows.repartitionByRange(4 * (config.shards or 1), "shard")
+
+
 def build(table: VectorTable, config: IndexConfig = IndexConfig()) -> GraphIndex:
     """The graphs of a table's rows, dealt out by a hash of the id to config.shards, or if that is None to one for every
     SHARD_ROWS rows. Removed rows stay removed."""
@@ -739,4 +701,4 @@ def build(table: VectorTable, config: IndexConfig = IndexConfig()) -> GraphIndex
         graph.add(group.column("id").to_numpy(), matrix(group.column("vector"), dim))
         return graph.table(group.column("shard")[0].as_py())
 
-    return GraphIndex(rows.groupBy("shard").applyInArrow(run, NODES), table.dim, table.metric, config, False, table.deleted)
+    return GraphIndex(_apart(rows, config).groupBy("shard").applyInArrow(run, NODES), table.dim, table.metric, config, False, table.deleted)
