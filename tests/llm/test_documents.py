@@ -597,6 +597,38 @@ def test_similar_documents_are_grouped(spark, docs, monkeypatch, pairs, block):
     assert {0, 7} <= (ids := {x.doc_id for x in kept.collect()}) and not ids & {1, 2, 8}
 
 
+def test_the_grid_links_similar_sets(spark, monkeypatch):
+    """What the SimHash grid links needs no shared shingles; what it links that isn't similar stays apart."""
+    met = similar._stars
+    monkeypatch.setattr(similar, "_stars", lambda similarity, bits: lambda batches: (b.slice(0, 0) for b in met(similarity, bits)(batches)))
+    r, texts = random.Random(8), []
+    for _ in range(6):
+        base = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(1500))
+        texts += [base, *(edited(r, base, 1) for _ in range(4)), *(edited(r, base, 20) for _ in range(2))]
+    fps = [simhash.simhash(similar.shingle_set(t.encode(), 5)) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    assert 12 < len(set(label)) <= len(texts) - 15
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert [x.component_id for x in similar.similar_groups(table).orderBy("doc_id").collect()] == label
+
+    monkeypatch.setattr(similar, "_stars", met)
+    monkeypatch.setattr(similar, "simhash", lambda hashes: 5)  # all in one cell
+    assert [x.component_id for x in similar.similar_groups(table).orderBy("doc_id").collect()] == [i - i % 7 for i in range(len(texts))]
+
+
+def test_popcounts_are_those_of_the_fingerprints(spark):
+    r = random.Random(2)
+    fps = [0, -1, -(1 << 63), (1 << 63) - 1, 1 << 62, -(1 << 62), *(r.getrandbits(64) - (1 << 63) for _ in range(200))]
+    got = spark.createDataFrame([(x,) for x in fps], "fp long").select("fp", simhash.popcounts(F.col("fp")).alias("grid")).collect()
+    for x in got:
+        assert [x.grid >> 2 * i & 3 for i in range(32)] == [(x.fp >> 2 * i & 3).bit_count() for i in range(32)]
+
+
 def slots_of(plan):
     """The source and phase of each slot."""
     order = {slot: (x, phase) for x, own in plan.items() for slot, phase in own}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, release
@@ -66,6 +66,14 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     )
 
 
+def popcounts(fp: Column) -> Column:
+    """The 32 segment popcounts of fingerprints (long) at two bits each: grid, as fingerprints() has it."""
+    odd = F.lit(0x5555555555555555)
+    up = F.shiftrightunsigned(fp, 1)
+    both = F.shiftleft(fp.bitwiseAND(up).bitwiseAND(odd), 1)
+    return both.bitwiseOR(fp.bitwiseXOR(up).bitwiseAND(odd))
+
+
 def _cells(points: DataFrame, probes: bool) -> DataFrame:
     """The grid cell of each point in each group; with probes also the cells one step up.
 
