@@ -335,6 +335,26 @@ def test_shards_have_tasks_of_their_own(spark):
     assert len(tasks) == len({r.shard for r in tasks}) == len({r.task for r in tasks}) == 4
 
 
+def test_products_take_half_the_memory():
+    r = np.random.default_rng(3)
+    v = r.normal(size=(20000, 16))
+    products = graph.Products("euclidean", v)
+    products.lists(v[:2], 10)
+    tracemalloc.start()
+    some = products.lists(v[:64], 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 * 20000 * 6
+    for x, q in zip(some, v[:64]):
+        d = ((v - q) ** 2).sum(axis=1)
+        assert set(np.argsort(d)[:10]) <= set(x.tolist()) and len(x) < 80
+    far = v[:3000] * 1e-4 + 1000  # single precision can't tell these apart
+    d = ((far[:, None, :] - far[None, :20]) ** 2).sum(axis=2)
+    products = graph.Products("euclidean", far)
+    for i, x in enumerate(products.lists(far[:20], 10)):
+        assert set(np.argsort(d[:, i])[:10]) <= set(x.tolist())
+
+
 def test_scorers_and_lots(spark, built, monkeypatch):
     """Any distance of query and ids; queries in several lots give what one lot gives."""
     path, t, e, q = built

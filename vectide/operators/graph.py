@@ -30,6 +30,8 @@ MOST_LEVEL = 64
 SHARD_ROWS, BATCH, VISITED = 8192, 32, 32 << 20
 #: Numbers of vectors that an own metric gets at once; places that the lists of a lot of queries have at most.
 STRETCH, PLACES = 1 << 16, 4 << 20
+#: So many times the rows asked for are left by products in single precision at most; else double precision tells them.
+MOST_LEFT = 8
 
 NODES = "shard int, id long, vector array<double>, level int, links array<array<long>>, dists array<array<float>>"
 
@@ -93,13 +95,14 @@ class Products:
     """Tells by matrix products which rows of a matrix may be among the k nearest to a query.
 
     That is all but those that are farther than the k-th by more than products can err by, so the exact distances of the
-    rows that are left decide.
+    rows that are left decide. Products are in single precision until that leaves too many rows.
     """
 
     def __init__(self, by: str, v: np.ndarray):
         self.by, self.v = by, _units(v) if by == "cosine" else v
         self.squares = np.einsum("ij,ij->i", self.v, self.v)
         self.longest = math.sqrt(self.squares.max(initial=0))
+        self.single = (self.v.astype(np.float32), self.squares.astype(np.float32)) if 1e-15 < self.longest < 1e15 else None
 
     @classmethod
     def of(cls, metric: Metric, *all_rows: np.ndarray) -> Products | None:
@@ -116,19 +119,32 @@ class Products:
         """For each query the places among rows, or among so many first of them, that may be of the k nearest."""
         if self.by == "cosine":
             q = _units(q)
-        s = q @ self.v[rows].T
         length = np.sqrt(np.einsum("ij,ij->i", q, q))
+        if self.single and length.max(initial=0) < 1e15:
+            out = self._lists(q.astype(np.float32), length, k, *self.single, rows, first)
+            if max(map(len, out), default=0) <= MOST_LEFT * k:
+                return out
+            self.single = None
+        return self._lists(q, length, k, self.v, self.squares, rows, first)
+
+    def _lists(self, q: np.ndarray, length: np.ndarray, k: int, v: np.ndarray, squares: np.ndarray, rows: np.ndarray | slice, first: np.ndarray | None) -> list[np.ndarray]:
+        s = q @ v[rows].T
+        eps, one = np.finfo(v.dtype).eps, np.finfo(float).eps
         if self.by in ("cosine", "dot"):
-            s, size = np.negative(s, out=s), self.longest * length + 1
+            s, size = np.negative(s, out=s), self.longest * length + one / eps
         else:
             s *= -2
-            s += self.squares[rows]
+            s += squares[rows]
             size = (self.longest + length) ** 2
-        off = 16 * (q.shape[1] + 8) * np.finfo(float).eps * size + 1e-300
+        off = 16 * (q.shape[1] + 8) * eps * size + (1e-300 if v.dtype == float else 1e-36 * q.shape[1])
         out = []
         for i, x in enumerate(s):
             x = x if first is None else x[: first[i]]
-            out.append(np.arange(len(x)) if len(x) <= k else np.flatnonzero(x <= np.partition(x, k - 1)[k - 1] + off[i]))
+            if len(x) <= k:
+                out.append(np.arange(len(x)))
+                continue
+            most = np.partition(x, k - 1)[k - 1] + off[i]
+            out.append(np.flatnonzero(x <= np.nextafter(most.astype(x.dtype), x.dtype.type(np.inf))))
         return out
 
 
@@ -251,18 +267,20 @@ class Graph:
         free = rows[~full]
         layer.near[free, layer.count[free]], layer.dist[free, layer.count[free]] = node, dist[~full]
         layer.count[free] += 1
-        for r, d in zip(rows[full].tolist(), dist[full].tolist()):
-            if self.config.prune_strategy == "heuristic":
-                near, far = np.append(layer.near[r], node), np.append(layer.dist[r], np.float32(d))
-                order = np.lexsort((near, far))
-                near, far = near[order], far[order]
-                kept = self.choose(far[None], _among(self.metric, self.vectors[near][None]), most, True)[0]
-                layer.near[r, len(kept) :], layer.dist[r, len(kept) :] = -1, np.inf
-                layer.near[r, : len(kept)], layer.dist[r, : len(kept)], layer.count[r] = near[kept], far[kept], len(kept)
-            else:
-                j = int(layer.dist[r].argmax())
-                if d < layer.dist[r, j]:
-                    layer.near[r, j], layer.dist[r, j] = node, d
+        rows, dist = rows[full], dist[full]
+        if self.config.prune_strategy != "heuristic":
+            last = layer.dist[rows].argmax(axis=1)
+            nearer = dist < layer.dist[rows, last]
+            rows, last = rows[nearer], last[nearer]
+            layer.near[rows, last], layer.dist[rows, last] = node, dist[nearer]
+            return
+        for r, d in zip(rows.tolist(), dist.tolist()):
+            near, far = np.append(layer.near[r], node), np.append(layer.dist[r], np.float32(d))
+            order = np.lexsort((near, far))
+            near, far = near[order], far[order]
+            kept = self.choose(far[None], _among(self.metric, self.vectors[near][None]), most, True)[0]
+            layer.near[r, len(kept) :], layer.dist[r, len(kept) :] = -1, np.inf
+            layer.near[r, : len(kept)], layer.dist[r, : len(kept)], layer.count[r] = near[kept], far[kept], len(kept)
 
     def _candidates(self, layer: Layer, nodes: np.ndarray, products: Products | None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each of some ascending nodes the nearest earlier nodes of a layer, ascending by distance and place."""
