@@ -355,6 +355,33 @@ def test_products_take_half_the_memory():
         assert set(np.argsort(d[:, i])[:10]) <= set(x.tolist())
 
 
+def test_growing_and_searching_builds_once(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+
+    def kernel(q, v):
+        with open(calls, "a") as f:
+            f.write(f"{len(v)}\n")
+        return np.abs(v - q).max(axis=1, initial=0)
+
+    def told():
+        n = sum(map(int, open(calls)))
+        open(calls, "w").close()
+        return n
+
+    own = metrics.Metric(4001, "chebyshev_told", metrics.metric("manhattan").column, kernel)
+    e = uniform(spark, 240, 4, 2)
+    path = scratch_path(spark, "graph")
+    config = IndexConfig(m=4, ef_construction=20, shards=2)
+    snapshot.save_graph(graph.build(VectorTable.create(e.where("id < 120"), own, id="id"), config), path)
+    g = snapshot.load_graph(spark, path, own, mutable=True)[0].insert(e.where("id >= 120"))
+    open(calls, "w").close()
+    g.nodes.write.format("noop").mode("overwrite").save()
+    once = told()
+    q = e.where("id < 1").select(F.col("id").alias("query_id"), "vector")
+    assert g.search(q, 3, 240).where("rank = 0").first().id == 0
+    assert told() == once + 240
+
+
 def test_scorers_and_lots(spark, built, monkeypatch):
     """Any distance of query and ids; queries in several lots give what one lot gives."""
     path, t, e, q = built

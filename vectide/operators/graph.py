@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -639,18 +640,19 @@ class GraphIndex:
         """Links new rows (id, vector) into their shards, in ascending id."""
         if self.read_only:
             raise ReadOnly("a compact graph can't grow")
-        new = rows.select(_shard(F.col("id"), self.config.shards).alias("shard"), F.col("id").cast("long"), F.col("vector").cast("array<double>"))
+        old = self.nodes.select("shard", "id", "vector", "level", "links", "dists", F.lit(False).alias("new"))
+        new = rows.select(_shard(F.col("id"), self.config.shards).alias("shard"), F.col("id").cast("long"), F.col("vector").cast("array<double>"), F.lit(True).alias("new"))
         dim, metric, config = self.dim, self.metric, self.config
 
-        def run(old: pa.Table, added: pa.Table) -> pa.Table:
+        def run(group: pa.Table) -> pa.Table:
+            old, added = group.filter(pc.invert(group.column("new"))), group.filter(group.column("new")).sort_by("id")
             graph = Graph.of(old, dim, metric, config) if old.num_rows else Graph(dim, metric, config)
-            shard = (old if old.num_rows else added).column("shard")[0].as_py()
             if added.num_rows:
-                added = added.sort_by("id")
                 graph.add(added.column("id").to_numpy(), matrix(added.column("vector"), dim))
-            return graph.table(shard)
+            return graph.table(group.column("shard")[0].as_py())
 
-        return replace(self, nodes=self.nodes.groupBy("shard").cogroup(new.groupBy("shard")).applyInArrow(run, NODES))
+        both = old.unionByName(new, allowMissingColumns=True)
+        return replace(self, nodes=_apart(both, config).groupBy("shard").applyInArrow(run, NODES))
 
     def remove(self, ids: DataFrame) -> GraphIndex:
         gone = ids.select(F.col("id").cast("long")).distinct()
@@ -699,8 +701,8 @@ def _shard(id: Column, shards: int) -> Column:
 
 
 def _apart(rows: DataFrame, config: IndexConfig) -> DataFrame:
-    """rows with each shard in a task of its own, which a hash of few shards wouldn't give."""
-    return rows.repartitionByRange(4 * (config.shards or 1), "shard")
+    """rows with each shard in a task of its own, which a hash of few shards wouldn't give, nor ranges without reading all twice."""
+    return rows.repartitionById(config.shards or 1, "shard")
 
 
 def build(table: VectorTable, config: IndexConfig = IndexConfig()) -> GraphIndex:
