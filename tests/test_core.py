@@ -382,6 +382,25 @@ def test_growing_and_searching_builds_once(spark, tmp_path):
     assert told() == once + 240
 
 
+def count_of(df, what):
+    """How often a plan has something."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count(what)
+
+
+def test_filters_leave_the_nodes_where_they_are(spark, built):
+    path, t, e, q = built
+    g = snapshot.load_graph(spark, path, "euclidean")[0].remove(e.where("id % 7 = 2").select("id"))
+    payload = e.where("id % 5 <> 3").select("id", (F.col("id") % 4).alias("level"), (F.col("id") % 3).alias("vector"))
+    told = g.search(q, 10, 1000, where="coalesce(level, 9) in (1, 9) and coalesce(vector, 0) < 2", payload=payload, counters=True)
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("vector" in x and "Join" in x for x in plan.splitlines())  # no join has vectors
+    left = [i for i in range(1000) if i % 7 != 2 and (i % 5 == 3 or (i % 4 == 1 and i % 3 < 2))]
+    exact = search.knn_join(q, e.join(ids(spark, left), "id", "left_semi"), 10)
+    assert told.select("query_id", "rank", "id").exceptAll(exact.select("query_id", "rank", "id")).isEmpty() and told.count() == exact.count()
+    assert {r.refused for r in told.select("refused").distinct().collect()} == {1000 - len(left)}
+    assert count_of(told, "Join LeftOuter") == 1  # of the counts with the results
+
+
 def test_scorers_and_lots(spark, built, monkeypatch):
     """Any distance of query and ids; queries in several lots give what one lot gives."""
     path, t, e, q = built

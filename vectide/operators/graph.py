@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -564,7 +565,7 @@ class GraphIndex:
         """(query_id, rank, id, distance) for queries (query_id, vector): the nearest that beams of ef find in each shard.
 
         where is a condition on id and the columns of payload (id, ...); rows it refuses, and removed ones, are walked
-        through but not returned. With codes (id, codes, scale) and their codec distances come from the codes; there must
+        through but not returned, and a row without a payload has nulls there. With codes (id, codes, scale) and their codec distances come from the codes; there must
         be codes for the nodes and no others. With a scorer(vector of a query, ids) they are what it returns. counters
         adds refused, how many refused rows the walks of a query met in all shards. Queries go to every shard, at most
         QUERY_COMPONENTS numbers at a time; each further lot is another pass.
@@ -574,28 +575,34 @@ class GraphIndex:
         if codec is not None and (codec.dim != self.dim or codec.metric != self.metric.name):
             raise IncompatibleIndex("the codes are of another dimension or metric than the graph")
         nodes = self.nodes.select("shard", "id", "vector", "level", "links")
-        ok = F.lit(True)
+        masked = where is not None or self.deleted is not None
+        told, marks = F.lit(True), None
         if where is not None:
-            seen = nodes if payload is None else nodes.join(payload.drop(*[c for c in payload.columns if c != "id" and c in nodes.columns]), "id", "left")
-            nodes = seen.withColumn("__ok", F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))).select("shard", "id", "vector", "level", "links", "__ok")
-            ok = F.col("__ok")
+            told = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
+        if payload is None:
+            nodes = nodes.withColumn("ok", told)
+        else:  # ids go to the shards with what is told of them; the nodes only meet an empty table, for those without a payload
+            marks = payload.where(F.col("id").isNotNull()).withColumn("ok", told).select(F.col("id").cast("long"), "ok")
+            alone = nodes.select(F.col("id"), F.struct("shard", "vector", "level", "links").alias("__node")).join(payload.where(F.lit(False)), "id", "left")
+            nodes = alone.withColumn("ok", told).select("__node.shard", "id", "__node.vector", "__node.level", "__node.links", "ok")
         if self.deleted is not None:
-            nodes = nodes.join(self.deleted.select("id", F.lit(True).alias("__gone")), "id", "left")
-            ok = ok & F.col("__gone").isNull()
-        masked = where is not None or self.deleted is not None
-        nodes = nodes.select("shard", "id", "vector", "level", "links", ok.alias("ok"))
+            gone = self.deleted.select(F.col("id").cast("long"), F.lit(None).cast("boolean").alias("ok"))
+            marks = gone if marks is None else marks.unionByName(gone)
         if codes is not None:
             both = self.nodes.select("id").join(codes.select("id", F.lit(True).alias("__coded")), "id", "full").agg(F.count("*"), F.count("__coded")).first()
             if both[0] != both[1] or both[0] != self.nodes.count():
                 raise IncompatibleIndex("the graph and the codes are not of the same rows")
             nodes = nodes.join(codes.select("id", "codes", "scale"), "id")
+        nodes = nodes.withColumn("mark", F.lit(False))
+        if marks is not None:
+            nodes = nodes.unionByName(marks.withColumns({"shard": _shard(F.col("id"), self.config.shards), "mark": F.lit(True)}), allowMissingColumns=True)
         dim, metric, config = self.dim, self.metric, self.config
 
         def searched(numbers: np.ndarray, q: np.ndarray):
             def run(rows: pa.Table) -> pa.Table:
-                rows = rows.sort_by("id")
+                marks, rows = rows.filter(rows.column("mark")), rows.filter(pc.invert(rows.column("mark"))).sort_by("id")
                 graph, walk, lists = Graph.of(rows, dim, metric, config), None, None
-                mask = rows.column("ok").to_numpy() if masked else None
+                mask = _marked(graph.ids, rows.column("ok").to_numpy(), marks, config.shards) if masked else None
                 if scorer is not None:
 
                     def score(who: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -700,6 +707,21 @@ def _shard(id: Column, shards: int) -> Column:
     return F.pmod(F.crc32(id.cast("string").cast("binary")), F.lit(shards)).cast("int")
 
 
+def _marked(ids: np.ndarray, ok: np.ndarray, marks: pa.Table, shards: int | None) -> np.ndarray:
+    """ok of ascending ids as marks (id, ok) have it where there are some; null is for removed rows, whatever else is marked."""
+    if not marks.num_rows or not len(ids):
+        return ok
+    if any(zlib.crc32(b"%d" % i) % shards != zlib.crc32(b"%d" % ids[0]) % shards for i in ids.tolist()):
+        raise IncompatibleIndex("a node is in another shard than its id tells")
+    ok, at = ok.copy(), np.searchsorted(ids, marks.column("id").to_numpy())
+    here = ids[np.minimum(at, len(ids) - 1)] == marks.column("id").to_numpy()
+    let = pc.cast(marks.column("ok"), pa.int8()).fill_null(-1).to_numpy()
+    ok[at[here]] = False
+    ok[at[here & (let == 1)]] = True
+    ok[at[here & (let == -1)]] = False
+    return ok
+
+
 def _apart(rows: DataFrame, config: IndexConfig) -> DataFrame:
     """rows with each shard in a task of its own, which a hash of few shards wouldn't give, nor ranges without reading all twice."""
     return rows.repartitionById(config.shards or 1, "shard")
