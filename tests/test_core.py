@@ -401,6 +401,30 @@ def test_filters_leave_the_nodes_where_they_are(spark, built):
     assert count_of(told, "Join LeftOuter") == 1  # of the counts with the results
 
 
+def test_integrity_finds_damage_and_makes_no_row_of_each_link(spark, built):
+    path, t, e, q = built
+    g, _ = snapshot.load_graph(spark, path, "euclidean")
+    assert not any(g.integrity().first())
+    shorter = F.when(F.col("id") == 5, F.transform("dists", lambda x: F.slice(x, 1, 2))).otherwise(F.col("dists"))
+    assert graph.GraphIndex(g.nodes.withColumn("dists", shorter), g.dim, g.metric, g.config).integrity().first().unknown_neighbours > 0
+    g = g.compact()
+
+    def told(change, where="id = 5"):
+        nodes = g.nodes.withColumns({k: F.when(F.expr(where), F.expr(v)).otherwise(F.col(k)) for k, v in change.items()})
+        return {k: v for k, v in graph.GraphIndex(nodes, g.dim, g.metric, g.config).integrity().first().asDict().items() if v}
+
+    other = g.nodes.where(f"shard <> {g.nodes.where('id = 5').first().shard} and level = 0").first().id
+    base = "transform(links, (x, i) -> case when i = 0 then {} else x end)"
+    assert told({}) == {}
+    assert told({"links": base.format("array(5L)")}) == {"loops": 1}
+    assert told({"links": base.format(f"array({other}L, {other}L)")}) == {"across_shards": 2, "double_links": 1}
+    assert told({"links": base.format("array(77777L, null)")}) == {"unknown_neighbours": 2}
+    assert told({"links": base.format("transform(sequence(100000, 100099), y -> cast(y as long))")}) == {"unknown_neighbours": 100, "too_many_links": 1}
+    assert told({"level": "level + 1"}) == {"wrong_levels": 1}
+    assert told({"links": "concat(links, array(array(other)))".replace("other", f"{g.nodes.where('id <> 5 and level = 0 and shard = ' + str(g.nodes.where('id = 5').first().shard)).first().id}L")}) == {"above_level": 1, "wrong_levels": 1}
+    assert count_of(g.integrity(), "Generate") == 0
+
+
 def test_scorers_and_lots(spark, built, monkeypatch):
     """Any distance of query and ids; queries in several lots give what one lot gives."""
     path, t, e, q = built

@@ -694,13 +694,56 @@ class GraphIndex:
 
     def integrity(self) -> DataFrame:
         """One row of counts that are all 0 in a sound index."""
-        e, n = self.edges(), self.nodes.select(F.col("id").alias("nbr"), F.col("level").alias("nbr_level"), F.col("shard").alias("nbr_shard"))
-        m = e.join(n, "nbr", "left")
-        limit = F.when(F.col("layer") == 0, self.config.m0).otherwise(self.config.m)
-        degrees = e.groupBy("node", "layer").agg(F.count("*").alias("d"), F.countDistinct("nbr").alias("u")).agg(F.count_if(F.col("d") > limit).alias("too_many_links"), F.count_if(F.col("d") != F.col("u")).alias("double_links"))
-        bad = m.agg(F.count_if(F.col("nbr_level").isNull()).alias("unknown_neighbours"), F.count_if(F.col("layer") > F.col("nbr_level")).alias("above_level"), F.count_if(F.col("shard") != F.col("nbr_shard")).alias("across_shards"), F.count_if(F.col("node") == F.col("nbr")).alias("loops"))
-        levels = self.nodes.agg(F.count_if((F.size("links") != F.col("level") + 1) | ~F.col("level").between(0, MOST_LEVEL)).alias("wrong_levels"))
-        return bad.join(F.broadcast(degrees)).join(F.broadcast(levels))
+        names = ("too_many_links", "double_links", "above_level", "loops", "wrong_levels")
+        config = self.config
+
+        def run(rows: pa.Table) -> pa.Table:
+            """A row of the counts of a shard, and a row for each link to a node that isn't in it."""
+            counts, far = _sound(rows.sort_by("id").combine_chunks(), config)
+            n = far.num_rows
+            return pa.table({"nbr": pa.concat_arrays([pa.nulls(1, pa.int64()), *far.column("nbr").chunks]), "layer": pa.concat_arrays([pa.nulls(1, pa.int32()), *far.column("layer").chunks]), **{k: np.append(counts[k], np.zeros(n, np.int64)) for k in names}})
+
+        told = self.nodes.select("shard", "id", "level", "links").groupBy("shard").applyInArrow(run, "nbr long, layer int, " + ", ".join(f"{k} long" for k in names))
+        n = self.nodes.select(F.col("id").alias("nbr"), F.col("level").alias("nbr_level"))
+        far = told.where("layer is not null").join(n, "nbr", "left")
+        beyond = far.agg(F.count_if(F.col("nbr_level").isNull()).alias("unknown_neighbours"), F.count_if(F.col("nbr_level").isNotNull()).alias("across_shards"), F.count_if(F.col("layer") > F.col("nbr_level")).alias("above"))
+        twice = self.nodes.groupBy("id").count().agg(F.count_if(F.col("count") > 1).alias("twice"))
+        within = told.agg(*[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in names])
+        unequal = F.lit(0)
+        if "dists" in self.nodes.columns:
+            length = lambda x: F.coalesce(F.size(x), F.lit(0))
+            unequal = F.aggregate(F.zip_with("links", "dists", lambda a, b: F.abs(length(a) - length(b))), F.lit(0), lambda a, b: a + b)
+        spare = self.nodes.agg(F.coalesce(F.sum(unequal), F.lit(0)).cast("long").alias("spare"))  # distances without links, or links without
+        row = within.join(F.broadcast(beyond)).join(F.broadcast(twice)).join(F.broadcast(spare))
+        return row.select((F.col("unknown_neighbours") + F.col("spare")).alias("unknown_neighbours"), (F.col("above_level") + F.col("above")).alias("above_level"), (F.col("across_shards") + F.col("twice")).alias("across_shards"), "loops", "too_many_links", "double_links", "wrong_levels")
+
+
+def _sound(rows: pa.Table, config: IndexConfig) -> tuple[dict[str, int], pa.Table]:
+    """Counts of what is wrong among the nodes (id, level, links) of a shard in ascending id, and links (nbr, layer) to others."""
+    ids = rows.column("id").to_numpy()
+    levels = rows.column("level").fill_null(-1).to_numpy()
+    table = pa.table({"node": np.arange(len(ids)), "lists": rows.column("links")})
+    lists = pa.table({"node": pc.take(table["node"], pc.list_parent_indices(table["lists"])), "list": pc.list_flatten(table["lists"])})
+    sizes = pc.fill_null(pc.list_value_length(table["lists"]), -1).to_numpy()
+    wrong = int(((sizes != levels + 1) | (levels < 0) | (levels > MOST_LEVEL)).sum())
+    owner = lists["node"].to_numpy()
+    layer = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    at = pc.list_parent_indices(lists["list"]).to_numpy()
+    nbr = pc.list_flatten(lists["list"])
+    unknown, nbr = pc.is_null(nbr).to_numpy(), nbr.fill_null(0).to_numpy()
+    place = np.minimum(np.searchsorted(ids, nbr), max(len(ids) - 1, 0))
+    here = (ids[place] == nbr) & ~unknown
+    degree = np.bincount(at, minlength=len(owner))
+    order = np.lexsort((nbr, at))
+    same = (at[order][1:] == at[order][:-1]) & (nbr[order][1:] == nbr[order][:-1])
+    counts = {
+        "too_many_links": int((degree > np.where(layer == 0, config.m0, config.m)).sum()),
+        "double_links": len(np.unique(at[order][1:][same])),
+        "above_level": int((layer[at] > levels[place])[here].sum()),
+        "loops": int(((ids[owner[at]] == nbr) & ~unknown).sum()),
+        "wrong_levels": wrong,
+    }
+    return counts, pa.table({"nbr": pa.array(nbr[~here], mask=unknown[~here]), "layer": pa.array(layer[at][~here].astype(np.int32))})
 
 
 def _shard(id: Column, shards: int) -> Column:
