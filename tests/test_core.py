@@ -425,6 +425,11 @@ def test_integrity_finds_damage_and_makes_no_row_of_each_link(spark, built):
     assert count_of(g.integrity(), "Generate") == 0
 
 
+@pytest.mark.parametrize("name", ["search_gates"])
+def test_gates_run_each_search_once(spark, sf, name):
+    assert count_of(ranking_queries.QUERIES[name](spark, sf), "FlatMapGroupsInArrow") == 0
+
+
 def test_scorers_and_lots(spark, built, monkeypatch):
     """Any distance of query and ids; queries in several lots give what one lot gives."""
     path, t, e, q = built

@@ -263,13 +263,20 @@ def gates(spark, sf_dir):
     return evaluate.gates(measured, {"recall_at_widest": "ef < 400 or recall >= 0.98", "filtered_at_widest": "ef < 400 or filtered_recall >= 0.98"})
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows from the scratch folder, so that a search that several conditions look at runs once."""
+    path = scratch_path(rows.sparkSession, "found")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def _evaluation(spark, sf_dir, spoiled: bool) -> DataFrame:
     """Gates of filtered searches of the graph; spoiled ones return an excluded row and lack a result."""
     g, e = index(spark, sf_dir)
     q, labels, n = batch(e), e.select("id", "label"), e.count()
     sets = {"exclude_none": "true", "exclude_label": "label <> 3"}
-    dense = g.search(q, K, n)
-    got = [g.search(q, K, n, where=w, payload=labels, counters=True).withColumn("set_name", F.lit(name)) for name, w in sets.items()]
+    dense = _kept(g.search(q, K, n))
+    got = [_kept(g.search(q, K, n, where=w, payload=labels, counters=True)).withColumn("set_name", F.lit(name)) for name, w in sets.items()]
     found = got[0].unionByName(got[1])
     excluded = e.where("label = 3").select(F.lit("exclude_label").alias("set_name"), "id").unionByName(spark.createDataFrame([("exclude_none", None)], "set_name string, id long"))
     if spoiled:
