@@ -425,7 +425,7 @@ def test_integrity_finds_damage_and_makes_no_row_of_each_link(spark, built):
     assert count_of(g.integrity(), "Generate") == 0
 
 
-@pytest.mark.parametrize("name", ["search_gates"])
+@pytest.mark.parametrize("name", ["search_gates", "search_gates_spoiled"])
 def test_gates_run_each_search_once(spark, sf, name):
     assert count_of(ranking_queries.QUERIES[name](spark, sf), "FlatMapGroupsInArrow") == 0
 
