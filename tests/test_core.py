@@ -430,6 +430,19 @@ def test_gates_run_each_search_once(spark, sf, name):
     assert count_of(ranking_queries.QUERIES[name](spark, sf), "FlatMapGroupsInArrow") == 0
 
 
+@pytest.mark.parametrize("name", ["search_gates", "search_gates_spoiled"])
+def test_gates_get_shards_by_rows(spark, sf, name, monkeypatch):
+    """A shard is held by one task, so it doesn't grow with the table; the gates are the same."""
+    built, build = [], graph.build
+    monkeypatch.setattr(graph, "SHARD_ROWS", 50)
+    monkeypatch.setattr(graph, "build", lambda *a: built.append(build(*a)) or built[-1])
+    row = ranking_queries.QUERIES[name](spark, sf).first()
+    sizes = [r["count"] for r in built[0].nodes.groupBy("shard").count().collect()]
+    assert sum(sizes) == 500 and max(sizes) < 100
+    spoiled = name.endswith("spoiled")
+    assert row.asDict() == {"all_results_complete": not spoiled, "accept_all_matches_dense": True, "no_excluded_emitted": not spoiled, "refused_observed": True, "passed": not spoiled}
+
+
 def test_scorers_and_lots(spark, built, monkeypatch):
     """Any distance of query and ids; queries in several lots give what one lot gives."""
     path, t, e, q = built

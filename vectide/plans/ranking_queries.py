@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, rank, search
+from ..operators import evaluate, graph, rank, search
 from ..scratch import scratch_path
 from ..sources import files, reports
 from . import search_queries as base
-from .search_queries import K, _E, batch, distance_sql, embeddings, held_out, index
+from .search_queries import GRAPH, K, _E, batch, distance_sql, embeddings, held_out, index
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -271,9 +272,14 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 
 def _evaluation(spark, sf_dir, spoiled: bool) -> DataFrame:
-    """Gates of filtered searches of the graph; spoiled ones return an excluded row and lack a result."""
-    g, e = index(spark, sf_dir)
-    q, labels, n = batch(e), e.select("id", "label"), e.count()
+    """Gates of filtered searches of the graph; spoiled ones return an excluded row and lack a result.
+
+    A task holds a whole shard, so a large table has more of them; the beam is as wide as the table, where any number of
+    shards gives the exact answer.
+    """
+    n = embeddings(spark, sf_dir).count()
+    g, e = index(spark, sf_dir, config=replace(GRAPH, shards=max(GRAPH.shards, -(-n // graph.SHARD_ROWS))))
+    q, labels = batch(e), e.select("id", "label")
     sets = {"exclude_none": "true", "exclude_label": "label <> 3"}
     dense = _kept(g.search(q, K, n))
     got = [_kept(g.search(q, K, n, where=w, payload=labels, counters=True)).withColumn("set_name", F.lit(name)) for name, w in sets.items()]

@@ -323,11 +323,11 @@ def quant_storage(spark, sf_dir):
 # graphs
 
 
-def index(spark, sf_dir, by: str = "euclidean") -> tuple[graph.GraphIndex, DataFrame]:
+def index(spark, sf_dir, by: str = "euclidean", config: IndexConfig = GRAPH) -> tuple[graph.GraphIndex, DataFrame]:
     """A graph of the whole table, kept in the scratch folder, and the table."""
     e = embeddings(spark, sf_dir)
     path = scratch_path(spark, "graph")
-    snapshot.save_graph(graph.build(VectorTable.create(e, by, id="id"), GRAPH), path)
+    snapshot.save_graph(graph.build(VectorTable.create(e, by, id="id"), config), path)
     return snapshot.load_graph(spark, path, by, verify=False)[0], e
 
 
