@@ -1,6 +1,7 @@
 """The pipeline stage by stage on the smallest table."""
 
 import glob
+import os
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vectide.llm import line_dedup, mixing, packing, secret_scan, similar, simhash, suffix_dedup
-from vectide.llm.common import shared_dir
+from vectide.llm.common import numbered, shared_dir
 
 
 def test_stages(spark, sf):
@@ -88,6 +89,41 @@ def test_sequences_follow_the_mix(spark, sf, monkeypatch):
     assert Counter(map(tuple, plain)) == Counter((x.doc_id, x.piece, x.start, x.length, zlib.crc32(x.ids)) for x in packed)
 
 
+@pytest.mark.parametrize("written", [True, False])
+def test_packing_takes_the_order_that_mixing_made(spark, tmp_path, monkeypatch, written):
+    """Also with weights that are not the default; files are written of unlike size, which a scan doesn't read in their order."""
+    monkeypatch.setattr(packing, "WINDOW", 64)
+    rows = [(i, "stone " * (1 + i % 7 * 60), "hot" if i % 4 else "cold") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mixed = mixing.in_order(docs, weights={"hot": 1, "cold": 3})
+    if written:
+        mixed.write.parquet(f"{tmp_path}/mixed")
+        mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    order = [r.doc_id for r in mixing.mix(docs, weights={"hot": 1, "cold": 3}).orderBy("mix_slot", "mix_index").collect()]
+    packed = corpus_pipeline.pack(spark, mixed, "").collect()
+    by = {}
+    for x in packed:
+        by.setdefault(x.sequence_id >> 32, set()).add(x.doc_id)
+    assert [by[k] for k in sorted(by)] == [set(order[i : i + 64]) for i in range(0, 1200, 64)]
+    assert abs(sum(rows[d][2] == "cold" for k in range(4) for d in by[k]) - 192) < 16
+
+
+def test_rows_are_numbered_in_the_order_of_their_files(spark, tmp_path):
+    """Files whose numbers have more digits come later, larger ones aren't first, empty ones count nothing."""
+    at = f"{tmp_path}/t"
+    for k, (a, b) in enumerate([(0, 5), (5, 5), (5, 900), (900, 1000)]):
+        spark.range(a, b).selectExpr("id as n", "repeat(string(id), 20) as `a.b`").coalesce(1).write.parquet(f"{tmp_path}/{k}")
+        (tmp_path / "t").mkdir(exist_ok=True)
+        for p in glob.glob(f"{tmp_path}/{k}/part-*"):
+            os.rename(p, f"{at}/part-{(9, 10, 99, 100000)[k]:05d}-x-c000.snappy.parquet")
+    docs = spark.read.parquet(at)
+    got = numbered(docs, ["n", "a.b"], "__row").collect()
+    assert len(got) == 1000 and all(r["n"] == r["__row"] and r["a.b"] == str(r["n"]) * 20 for r in got)
+    for given in (docs.orderBy(F.desc("n")), docs.where("n >= 0").withColumn("_metadata", F.lit(1)).orderBy(F.desc("n"))):
+        assert all(r["n"] == 999 - r["at"] for r in numbered(given, ["n"], "at").collect())
+    assert numbered(docs.where("false"), ["n"], "at").collect() == []
+
+
 HELPERS = (
     "score lang_pred mixture r_doc r_key b_src b_part b_n p_src p_first h_doc h_tag hits runs gone fp rep grid component component_id set_id keys key row n m t th bucket rn term which h levels "
     "doc tag units spans run piece place window seq part secret src __src __t __none __doc __key __units __order __data __hits edited before after own low high block other value plan first a.b x`y"

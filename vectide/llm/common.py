@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,6 +80,38 @@ def drop(df: DataFrame) -> None:
             delete(spark, p)
 
 
+def _parquet_scan(df: DataFrame) -> bool:
+    """Whether df is nothing but whole Parquet files."""
+    plan = df._jdf.queryExecution().analyzed()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and plan.simpleString(100).rstrip().lower().endswith("parquet")
+
+
+def _file_order(path: str) -> list[str | int]:
+    """Sorts by the numbers in paths as numbers, as Spark numbers the files that it writes."""
+    return [int(x) if x.isdecimal() else x for x in re.split(r"([0-9]+)", path)]
+
+
+def numbered(df: DataFrame, names: list[str], place: str) -> DataFrame:
+    """The columns of those names and the place of each row, from 0 without gaps, in the order in which the rows are.
+
+    Rows of Parquet files are in the order of the files and in that of the rows in each, however a scan deals them out.
+    Others are written to the shared folder first, in the order of their partitions. What the driver holds is a count for
+    each file.
+    """
+    if not _parquet_scan(df):
+        df = cut(df.select(*quoted(names)), "ordered")
+    at = df.metadataColumn("_metadata")
+    counts = df.select(at["file_path"].alias("file")).groupBy("file").agg(F.count("*").alias("n")).collect()
+    ahead, total = [], 0
+    for r in sorted(counts, key=lambda r: _file_order(r["file"])):
+        ahead.append((r["file"], total))
+        total += r["n"]
+    file, row, b_file, b_n = (free_name(df, x) for x in ("__file", "__row", "__b_file", "__b_n"))
+    before = df.sparkSession.createDataFrame(ahead, f"{b_file} string, {b_n} long")
+    rows = df.select(*quoted(names), at["file_path"].alias(file), at["row_index"].alias(row))
+    return rows.join(F.broadcast(before), F.col(file) == F.col(b_file)).select(*quoted(names), (F.col(b_n) + F.col(row)).alias(place))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the table does not have, whatever the case."""
     have = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import mixing
-from .common import cut, release
+from .common import cut, numbered, release
 
 CONTEXT, END_ID = 1024, 2
 #: The strings of the vocabulary that are tokens of their own wherever a text has them.
@@ -293,6 +293,17 @@ def _pack_window(context: int):
     return run
 
 
+def _pack_windows(rows: DataFrame, vocabulary: str | None, context: int, end_id: int) -> DataFrame:
+    """Rows (window, place, doc_id, text) to pieces with sequences and offsets; each window is packed by itself."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path(VOCABULARY)
+    rows = rows.select("window", "place", F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    made = rows.mapInArrow(_tokens(vocabulary, end_id, context), "window long, place long, doc_id long, piece int, start long, length long, ids binary")
+    return made.groupBy("window").applyInArrow(_pack_window(context), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+
+
 def pack_in_order(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT, end_id: int = END_ID, window: int | None = None, block: int = mixing.BLOCK, **options) -> DataFrame:
     """The rows of pack_documents(), with sequences numbered in the order of the mix of docs (doc_id, text, source, ...).
 
@@ -300,13 +311,12 @@ def pack_in_order(docs: DataFrame, vocabulary: str | None = None, context: int =
     sequences before a window hold the documents of a beginning of the mix, whole. Within a window sequences go by their
     first document. A window holds a bounded number of documents, so all windows are packed side by side.
     """
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = public_tokenizers.path(VOCABULARY)
-    window = window or WINDOW
     mixed = mixing.mix(docs.select("doc_id", "text", "source"), block=block, **options)
-    place = F.col("mix_slot") * block + F.col("mix_index")
-    rows = mixed.select(F.expr(f"(mix_slot * {block} + mix_index) div {window}").alias("window"), place.alias("place"), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    made = rows.mapInArrow(_tokens(vocabulary, end_id, context), "window long, place long, doc_id long, piece int, start long, length long, ids binary")
-    return made.groupBy("window").applyInArrow(_pack_window(context), "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    rows = mixed.select(F.expr(f"(mix_slot * {block} + mix_index) div {window or WINDOW}").alias("window"), (F.col("mix_slot") * block + F.col("mix_index")).alias("place"), "doc_id", "text")
+    return _pack_windows(rows, vocabulary, context, end_id)
+
+
+def pack_as_given(docs: DataFrame, vocabulary: str | None = None, context: int = CONTEXT, end_id: int = END_ID, window: int | None = None) -> DataFrame:
+    """As pack_in_order(), but in the order that the rows of docs (doc_id, text, ...) have, which mixing.in_order() may have made."""
+    rows = numbered(docs, ["doc_id", "text"], "place").withColumn("window", F.expr(f"place div {window or WINDOW}"))
+    return _pack_windows(rows, vocabulary, context, end_id)
