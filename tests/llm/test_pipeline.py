@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vectide.llm import line_dedup, mixing, packing, secret_scan, similar, simhash, suffix_dedup
-from vectide.llm.common import numbered, shared_dir
+from vectide.llm.common import BATCH_BYTES, bound_batches, numbered, shared_dir
 
 
 def test_stages(spark, sf):
@@ -124,6 +124,34 @@ def test_rows_are_numbered_in_the_order_of_their_files(spark, tmp_path):
     assert numbered(docs.where("false"), ["n"], "at").collect() == []
 
 
+def test_python_workers_get_batches_of_bounded_size(spark, sf, monkeypatch):
+    """Long texts don't go to a worker by the 10,000; a session's own bound stays, the bound is new once."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat(concat('lantern ', id, ' '), 300) as text", "'en' as lang", "'s' as source")
+    plain = corpus_pipeline.language_id._predict
+
+    def predict(*args):
+        run = plain(*args)
+
+        def told(batches):
+            def watched():
+                for b in batches:
+                    if b.nbytes > 5_000_000:
+                        raise AssertionError(f"a batch of {b.nbytes} bytes")
+                    yield b
+
+            return run(watched())
+
+        return told
+
+    monkeypatch.setattr(corpus_pipeline.language_id, "_predict", predict)
+    spark.conf.unset(BATCH_BYTES)
+    assert corpus_pipeline.keep_languages(spark, docs, sf).count() == 3000
+    assert not bound_batches(spark)
+    spark.conf.set(BATCH_BYTES, "2m")
+    assert not bound_batches(spark) and spark.conf.get(BATCH_BYTES) == "2m"
+    spark.conf.unset(BATCH_BYTES)
+
+
 HELPERS = (
     "score lang_pred mixture r_doc r_key b_src b_part b_n p_src p_first h_doc h_tag hits runs gone fp rep grid component component_id set_id keys key row n m t th bucket rn term which h levels "
     "doc tag units spans run piece place window seq part secret src __src __t __none __doc __key __units __order __data __hits edited before after own low high block other value plan first a.b x`y"

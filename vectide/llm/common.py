@@ -152,6 +152,21 @@ def parts(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[p
         at = end
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "4m") -> bool:
+    """From now on rows go to Python workers in batches of so many bytes and a row more; tells whether that is new.
+
+    Without a bound 10,000 rows are a batch, whatever they hold, of which executor and worker have copies. A bound that the
+    session has stays.
+    """
+    new = spark.conf.get(BATCH_BYTES, None) is None
+    if new:
+        spark.conf.set(BATCH_BYTES, most)
+    return new
+
+
 def release() -> None:
     """Gives memory that Arrow and the allocator hold for later back, so that workers that wait don't keep it."""
     pa.default_memory_pool().release_unused()

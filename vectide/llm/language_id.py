@@ -18,6 +18,8 @@ from .common import free_name, map_arrow, parts, quoted, release
 SYMBOL_BITS, GRAMS = 6, 1 << 18
 #: Texts are taken in pieces of so many bytes at most, which bounds memory; every piece counts.
 PIECE_BYTES = 1 << 20
+#: Bytes of texts, and a text at least, that are fitted together; their trigrams take some fifty times that.
+TOGETHER = 1 << 18
 #: Languages that a model has at most: each takes a megabyte in the driver and in every worker.
 MOST_LANGUAGES = 256
 #: Log likelihood that further steps of expectation-maximisation might add. A text that no set of languages can explain better
@@ -201,7 +203,7 @@ def _predict(languages: tuple[str, ...], table: Broadcast, steps: int, names: li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for whole in batches:
-            for b in parts(whole, 0, 1 << 20):
+            for b in parts(whole, 0, TOGETHER):
                 skip = b.column(1).to_pylist()
                 lang, score, mix = [None] * b.num_rows, [0.0] * b.num_rows, [""] * b.num_rows
                 if languages:
