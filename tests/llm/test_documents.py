@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import time
 import zlib
 from collections import Counter
@@ -755,6 +756,31 @@ def test_suffix_array():
         assert suffix_array.suffix_array(t, 5000).tolist() == want
 
 
+def test_suffix_array_takes_no_step_of_python_for_each_symbol():
+    """Python lines that run are a fraction of the symbols, though many substrings repeat and their alphabet is large."""
+    r = random.Random(3)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    text = " ".join(r.choice(words) for _ in range(6000)).encode()
+    text += text[:9000]
+    t = np.append(np.frombuffer(text, np.uint8).astype(np.int32) + 2, 0)
+    lines = 0
+
+    def trace(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        sa = suffix_array.suffix_array(t, 258).tolist()
+    finally:
+        sys.settrace(before)
+    assert lines < len(t)
+    assert sorted(sa) == list(range(len(t))) and sa[0] == len(text)
+    assert all(text[a:] < text[b:] for a, b in zip(sa[1:], sa[2:]))
+
+
 def brute_repeats(texts, w):
     data = [t.encode() for t in texts]
     seen = Counter(b[i : i + w] for b in data for i in range(len(b) - w + 1))

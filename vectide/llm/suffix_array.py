@@ -1,10 +1,10 @@
-"""Suffix arrays by induced sorting, and common prefixes in text order."""
+"""Suffix arrays by induced sorting, with doubling for large alphabets, and common prefixes in text order."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets up to this size are induced bucket by bucket with arrays, larger ones suffix by suffix.
+#: Alphabets up to this size are induced bucket by bucket; suffixes of larger ones are ordered by doubling.
 ARRAY_ALPHABET = 1024
 
 
@@ -22,10 +22,11 @@ def _by_symbol(at: np.ndarray, symbols: np.ndarray, into: list[list[np.ndarray]]
         return
     order = np.argsort(symbols, kind="stable")
     at, symbols = at[order], symbols[order]
-    cuts = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-    first = symbols[np.append(0, cuts)]
-    for c, part in zip(first.tolist(), np.split(at, cuts)):
-        into[c].append(part)
+    ends = (np.flatnonzero(symbols[1:] != symbols[:-1]) + 1).tolist()
+    start = 0
+    for c, end in zip(symbols[[0, *ends]].tolist(), [*ends, len(at)]):
+        into[c].append(at[start:end])
+        start = end
 
 
 def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
@@ -35,145 +36,129 @@ def _induce(t: np.ndarray, small: np.ndarray, seeds: np.ndarray, k: int) -> np.n
     """
     none = np.zeros(0, dtype=np.int32)
     symbol = t.astype(np.uint16)
-    start: list[list[np.ndarray]] = [[] for _ in range(k)]
-    _by_symbol(seeds, symbol[seeds], start)
-    wait: list[list[np.ndarray]] = [[] for _ in range(k)]
-    larger: list[np.ndarray] = []
-    for c in range(k):
+    # Of the suffix before each: its symbol, and whether it is a larger or a smaller one; none is before the first.
+    prior = np.append(symbol[:1], symbol[:-1])
+    to_larger, to_smaller = np.append(False, ~small[:-1]), np.append(False, small[:-1])
+
+    def bucket(c: int, wait: list[list[np.ndarray]], goes: np.ndarray) -> list[np.ndarray]:
         got, now = [], np.concatenate(wait[c]) if wait[c] else none
         while len(now):
             got.append(now)
-            p = now[now > 0] - 1
-            p = p[~small[p]]
-            s = symbol[p]
+            p = now[goes[now]]
+            s = prior[p]
+            p -= 1
             same = s == c
-            _by_symbol(p[~same], s[~same], wait)
-            now = p[same]
+            if same.any():
+                _by_symbol(p[~same], s[~same], wait)
+                now = p[same]
+            else:
+                _by_symbol(p, s, wait)
+                break
+        return got
+
+    start: list[list[np.ndarray]] = [[] for _ in range(k)]
+    _by_symbol(seeds.astype(np.int32), symbol[seeds], start)
+    wait: list[list[np.ndarray]] = [[] for _ in range(k)]
+    larger: list[np.ndarray] = []
+    for c in range(k):
+        got = bucket(c, wait, to_larger)
         larger.append(np.concatenate(got) if got else none)
         if start[c]:
             p = np.concatenate(start[c])
-            p = p[p > 0] - 1
-            _by_symbol(p, symbol[p], wait)
+            p = p[p > 0]
+            _by_symbol(p - 1, prior[p], wait)
     wait = [[] for _ in range(k)]
     out: list[np.ndarray] = []
     for c in range(k - 1, -1, -1):
-        got, now = [], np.concatenate(wait[c]) if wait[c] else none
-        while len(now):
-            got.append(now)
-            p = now[now > 0] - 1
-            p = p[small[p]]
-            s = symbol[p]
-            same = s == c
-            _by_symbol(p[~same], s[~same], wait)
-            now = p[same]
+        got = bucket(c, wait, to_smaller)
         if c == 0:
             got = [np.array([len(t) - 1], dtype=np.int32)]
         p = larger[c][::-1]
-        p = p[p > 0] - 1
-        p = p[small[p]]
-        _by_symbol(p, symbol[p], wait)
+        p = p[to_smaller[p]]
+        _by_symbol(p - 1, prior[p], wait)
         if got:
             out.append(np.concatenate(got)[::-1])
         out.append(larger[c])
     return np.concatenate(out[::-1])
 
 
-def _names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The rank of each leftmost-smaller substring, by place in the order; equal ones share it."""
-    end = np.append(lms[1:], len(t) - 1)
-    length = np.zeros(len(t), dtype=np.int64)
-    length[lms] = end - lms + 1
-    a, b = order[:-1], order[1:]
-    differ = length[a] != length[b]
-    live = np.flatnonzero(~differ)
-    o = 0
+def _packed(t: np.ndarray, at: np.ndarray, count: int, bits: int, ends: np.ndarray) -> np.ndarray:
+    """The symbols of t at each place and behind it as one number, zero from the ends on."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for o in range(count):
+        i = at + o
+        out <<= bits
+        out |= np.where(i < ends, t[np.minimum(i, len(t) - 1)], 0)
+    return out
+
+
+def _settle(order: np.ndarray, rank: np.ndarray, live: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Orders what is at the live places by the keys, and returns the places of those that still share a rank.
+
+    A rank is the first place of those that share it; keys of what shares none so far go by rank.
+    """
+    by = np.argsort(key)
+    key, own = key[by], order[live[by]]
+    order[live] = own
+    new = np.append(True, key[1:] != key[:-1])
+    rank[own] = live[new][np.cumsum(new) - 1]
+    return live[~(new & np.append(new[1:], True))]
+
+
+def _sorted_substrings(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the leftmost-smaller substrings, as numbers in text order, and their ranks; equal ones share a rank.
+
+    A symbol with its type is more than the same of a larger suffix. So no substring begins another, as its end, known by
+    two types, would be that of the other too.
+    """
+    m = len(lms)
+    typed = t.astype(np.int64) * 2 + small
+    bits = (2 * k - 1).bit_length()
+    count = 63 // bits
+    ends = np.append(lms[1:], len(t) - 1) + 1
+    order, rank, live, at = np.arange(m), np.zeros(m, dtype=np.int64), np.arange(m), lms.astype(np.int64)
+    live = _settle(order, rank, live, _packed(typed, at, count, bits, ends))
+    o = count
+    while True:
+        own = order[live]
+        more = at[own] + o < ends[own]  # all that share a rank, or none
+        live, own = live[more], own[more]
+        if not len(live):
+            return order, rank
+        word = np.unique(_packed(typed, at[own] + o, count, bits, ends[own]), return_inverse=True)[1]
+        live = _settle(order, rank, live, rank[own] * len(live) + word)
+        o += count
+
+
+def _by_doubling(t: np.ndarray, k: int) -> np.ndarray:
+    """suffix_array() by ranks of prefixes of twice the length each time, of suffixes that are not alone in theirs."""
+    n = len(t)
+    bits = max(1, (k - 1).bit_length())
+    length = 63 // bits
+    order, rank = np.arange(n), np.zeros(n, dtype=np.int64)
+    live = _settle(order, rank, np.arange(n), _packed(t, np.arange(n), length, bits, np.int64(n)))
     while len(live):
-        bad = t[a[live] + o] != t[b[live] + o]
-        differ[live[bad]] = True
-        o += 1
-        live = live[~bad]
-        live = live[length[a[live]] > o]
-    return np.append(0, np.cumsum(differ))
+        own = order[live]  # neither reaches the last symbol, which is the only one of its kind
+        live = _settle(order, rank, live, rank[own] * n + rank[own + length])
+        length *= 2
+    return order
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
-    """The suffixes of t in order, by induced sorting; symbols are 0 to k - 1, the last one is 0 and no other is."""
-    if k > ARRAY_ALPHABET:
-        return np.array(_suffix_list(t.tolist(), k), dtype=np.int64)
+    """The suffixes of t in order, by induced sorting; symbols are 0 to k - 1, the last one is 0 and no other is.
+
+    Leftmost-smaller substrings are sorted by words of several symbols. Their suffixes, having a large alphabet, are
+    ordered by doubling.
+    """
     n = len(t)
+    if k > ARRAY_ALPHABET or n < 2:
+        return _by_doubling(t, k)
     small = _types(t)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
-    if not len(lms):
-        return np.arange(n - 1, -1, -1) if n < 2 else _induce(t, small, np.array([n - 1]), k)
-    sa = _induce(t, small, lms, k)
-    is_lms = np.zeros(n, dtype=bool)
-    is_lms[lms] = True
-    order = sa[is_lms[sa]]
-    rank = _names(t, lms, order)
-    if rank[-1] + 1 < len(lms):
-        name = np.empty(n, dtype=np.int64)
-        name[order] = rank
-        order = lms[suffix_array(name[lms], int(rank[-1]) + 1)]
-    return _induce(t, small, order, k)
-
-
-def _suffix_list(t: list[int], k: int) -> list[int]:
-    """suffix_array() with lists, for alphabets of many symbols with few suffixes each."""
-    n = len(t)
-    if n == 1:
-        return [0]
-    small = bytearray(n)
-    small[n - 1] = 1
-    last = 1
-    for i in range(n - 2, -1, -1):
-        a, b = t[i], t[i + 1]
-        if a < b or (a == b and last):
-            small[i] = last = 1
-        else:
-            last = 0
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    head = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=k))]).tolist()
-
-    def induce(seeds: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = head[1:]
-        for i in reversed(seeds):
-            c = t[i]
-            tail[c] -= 1
-            sa[tail[c]] = i
-        at = head[:-1]
-        for i in sa_up(sa):
-            j = i - 1
-            if not small[j]:
-                c = t[j]
-                sa[at[c]] = j
-                at[c] += 1
-        tail = head[1:]
-        for r in range(n - 1, -1, -1):
-            j = sa[r] - 1
-            if j >= 0 and small[j]:
-                c = t[j]
-                tail[c] -= 1
-                sa[tail[c]] = j
-        sa[0] = n - 1
-        return sa
-
-    def sa_up(sa: list[int]):
-        for i in sa:  # grows behind the place that is read
-            if i > 0:
-                yield i
-
-    sa = induce(lms)
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    order = np.array([i for i in sa if is_lms[i]])
-    rank = _names(np.array(t), np.array(lms), order)
-    if rank[-1] + 1 < len(lms):
-        name = np.empty(n, dtype=np.int64)
-        name[order] = rank
-        order = np.array(lms)[suffix_array(name[lms], int(rank[-1]) + 1)]
-    return induce(order.tolist())
+    order, rank = _sorted_substrings(t, small, lms, k)
+    if len(np.unique(rank)) < len(lms):
+        order = _by_doubling(rank, len(lms))
+    return _induce(t, small, lms[order], k)
 
 
 def common_prefixes(data: bytes, sa: np.ndarray, ok: np.ndarray, most: int) -> np.ndarray:
